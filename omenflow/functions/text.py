@@ -1,6 +1,8 @@
 """Text normalisation, token and matching expressions (all Catalyst, no UDF)."""
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -87,8 +89,9 @@ def _alternation(words_: list[str]) -> str:
 
 
 def contains_any(c, words_: list[str]) -> Column:
-    """Any listed text is a substring."""
-    return as_col(c).rlike(_alternation(words_))
+    """Any listed text is a substring (byte search; no regular expression)."""
+    c = as_col(c)
+    return reduce(or_, [F.contains(c, F.lit(w)) for w in words_])
 
 
 def count_contains(c, words_: list[str]) -> Column:
@@ -101,8 +104,8 @@ def count_contains(c, words_: list[str]) -> Column:
 
 
 def has_word(c, words_: list[str]) -> Column:
-    """Any listed term between word boundaries."""
-    return as_col(c).rlike(rf"\b(?:{_alternation(words_)})\b")
+    """Any listed term between word boundaries; the pattern runs only where a term occurs at all."""
+    return contains_any(c, words_) & as_col(c).rlike(rf"\b(?:{_alternation(words_)})\b")
 
 
 def first_word(c, words_: list[str]) -> Column:
