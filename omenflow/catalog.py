@@ -43,3 +43,304 @@ def deadline_repair(spark, sf):
     return drafts(spark, sf).select(
         "question_id", dates.repair_deadline("deadline", "candidate_deadlines", QDAY).alias("deadline")
     )
+
+
+# ---- scoring --------------------------------------------------------------------------
+def scoring_rows(spark, sf):
+    """Valid, unscored questions with their cluster's features."""
+    from .plans import stages
+
+    return stages.scoring_input(
+        b.view(spark, sf, "questions"), b.view(spark, sf, "extracted"), b.view(spark, sf, "clusters"),
+        b.view(spark, sf, "validation"),
+    )
+
+
+def question_texts(spark, sf):
+    return b.view(spark, sf, "questions").select("question_id", "question_text")
+
+
+def scored_all(spark, sf):
+    from .operators import scoring
+
+    return scoring.score(scoring_rows(spark, sf), question_texts(spark, sf), QDAY)
+
+
+def novelty(spark, sf):
+    from .operators import scoring
+
+    return scoring.novelty(question_texts(spark, sf))
+
+
+def near_duplicate_theme(spark, sf):
+    from .operators import scoring
+
+    return scoring.theme_repeats(question_texts(spark, sf))
+
+
+def scored_rank(spark, sf):
+    from .operators import scoring
+
+    cols = ["question_id", "rank", "quality_flags", "explanation"] + [
+        F.round(c, 6).alias(c) for c in scoring.COMPONENTS + ["penalty_total", "total_score"]
+    ]
+    return scored_all(spark, sf).select(*cols)
+
+
+def top_questions(spark, sf):
+    from .operators import scoring
+
+    top = scoring.top_rows(scored_all(spark, sf))
+    return top.select(
+        "rank", "question_text", F.round("total_score", 6).alias("total_score"), "category", "deadline",
+        "resolution_source", "explanation",
+        *[F.round(F.col(f"score_breakdown.{c}"), 6).alias(c) for c in scoring.COMPONENTS],
+        F.col("score_breakdown.quality_flags").alias("quality_flags"),
+    )
+
+
+def soft_flags(spark, sf):
+    from .operators import scoring
+
+    return scoring.prepare(scoring_rows(spark, sf), QDAY).select("question_id", "quality_flags")
+
+
+# ---- clusters and priorities -------------------------------------------------------------
+def event_members(spark, sf):
+    """Events as cluster members: user as cluster, event type as source."""
+    role = F.when(F.col("event_type") == "click", "discovery").when(F.col("event_type") == "purchase", "resolution").otherwise("attention")
+    return b.table(spark, sf, "events").select(
+        F.col("user_id").alias("cluster_id"), F.col("event_type").alias("source"), role.alias("signal_role"),
+        F.col("ts").alias("timestamp"),
+    )
+
+
+def cluster_features(spark, sf):
+    out = clusters.cluster_features(event_members(spark, sf), ETIME)
+    entries = F.array_sort(F.map_entries("source_role_mix"))
+    mix = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.withColumn("source_role_mix", mix)
+
+
+def labelled_vectors(spark, sf):
+    return b.table(spark, sf, "embeddings").select(F.col("label").alias("cluster_id"), "embedding")
+
+
+def cluster_coherence(spark, sf):
+    return clusters.coherence(labelled_vectors(spark, sf)).withColumn("coherence_score", F.round("coherence_score", 5))
+
+
+def cluster_priority_topk(spark, sf):
+    members = b.view(spark, sf, "labelled_members")
+    ranked = priority.cluster_priorities(members, ETIME, clusters.coherence(labelled_vectors(spark, sf)))
+    return priority.extraction_queue(ranked).withColumn("coherence_score", F.round("coherence_score", 4)).select(
+        "cluster_id", "size", "mention_velocity", "source_diversity", "recency", "weighted_mention_velocity",
+        "coherence_score", "priority_topic", "priority_score",
+    )
+
+
+def priority_tiered(spark, sf):
+    return priority.cluster_priorities_tiered(b.view(spark, sf, "labelled_members"), ETIME).select(
+        "cluster_id", "priority_score"
+    )
+
+
+def generation_input(spark, sf):
+    """Suitable extracted events with their cluster's features and priority."""
+    events = b.view(spark, sf, "extracted").where("tradability = 'suitable'").join(b.view(spark, sf, "clusters"), "cluster_id")
+    bridge = b.view(spark, sf, "cluster_events").join(
+        b.view(spark, sf, "articles").select(F.col("id").alias("event_id"), "source"), "event_id"
+    )
+    return priority.event_priorities(events, priority.source_flags(bridge))
+
+
+def event_priority_queue(spark, sf):
+    return generation_input(spark, sf).select("id", "priority_topic", "priority_score")
+
+
+def event_priority_tiered(spark, sf):
+    events = b.view(spark, sf, "extracted").join(b.view(spark, sf, "clusters"), "cluster_id")
+    return priority.event_priorities_tiered(events).select("id", "priority_score")
+
+
+# ---- pending work -------------------------------------------------------------------------
+def pending_anti(spark, sf):
+    """Questions that have no score yet."""
+    from .operators.pending import without_match
+
+    return without_match(question_texts(spark, sf), b.view(spark, sf, "scored"), "question_id", "question_id")
+
+
+def pending_not_in(spark, sf):
+    """Clusters not extracted yet, null-aware: articles' clusters against customers' clusters."""
+    from .operators.pending import not_in
+
+    ids = b.view(spark, sf, "cluster_events").select("cluster_id").distinct()
+    return not_in(ids, b.view(spark, sf, "extracted"), "cluster_id", "cluster_id")
+
+
+def pending_not_in_null(spark, sf):
+    """The same against a column with nulls: no row is left."""
+    from .operators.pending import not_in
+
+    return not_in(question_texts(spark, sf), b.view(spark, sf, "questions"), "question_id", "repair_parent_question_id")
+
+
+# ---- dashboards ---------------------------------------------------------------------------
+def review_rows(spark, sf, with_validation=False):
+    from .plans import dashboard
+
+    return dashboard.review_queue(
+        b.view(spark, sf, "scored"), b.view(spark, sf, "questions"), b.view(spark, sf, "review"), QDAY,
+        b.view(spark, sf, "validation") if with_validation else None,
+    )
+
+
+def dashboard_queue(spark, sf):
+    from .plans import dashboard
+
+    return dashboard.display_ranks(review_rows(spark, sf)).select(
+        "question_id", "question_text", "category", "total_score", "deadline", "review_status", "effective_status", "rank"
+    )
+
+
+def filtered_queue(spark, sf):
+    from .plans import dashboard
+
+    rows = dashboard.filter_review(
+        review_rows(spark, sf).where("effective_status = 'active'"), "price",
+        ["finance", "politics", "other"], "Binary", 40, "Deadline (Soonest)",
+    )
+    return rows.select("question_id", "question_text", "category", "total_score", "deadline")
+
+
+def status_stats(spark, sf):
+    from .plans import dashboard
+
+    return dashboard.status_stats(review_rows(spark, sf)).withColumn("avg_score", F.round("avg_score", 6)).withColumn("max_score", F.round("max_score", 6))
+
+
+def repair_rows(spark, sf):
+    from .plans import dashboard
+
+    return dashboard.repair_queue(*[b.view(spark, sf, v) for v in ("questions", "validation", "extracted", "clusters")])
+
+
+def repair_queue(spark, sf):
+    from .plans import dashboard
+
+    return dashboard.repair_ranks(repair_rows(spark, sf)).select(
+        "question_id", "rank", "validation_flags", "extraction_confidence", "weighted_mention_velocity"
+    )
+
+
+def repair_children(spark, sf):
+    return repair_rows(spark, sf).select("question_id", "has_repair_child")
+
+
+def review_latest(spark, sf):
+    """Latest decision per user from the event stream read as a change log."""
+    from .plans import dashboard
+
+    kind = F.col("event_type")
+    log = b.table(spark, sf, "events").select(
+        F.col("user_id").alias("question_id"),
+        F.when(kind == "click", "selected").when(kind == "error", "removed").otherwise("active").alias("status"),
+        F.col("props").alias("reason"), F.col("event_id").cast("string").alias("notes"), F.col("ts").alias("changed_at"),
+    )
+    return dashboard.latest_review(log)
+
+
+def run_log(spark, sf):
+    kind = F.col("event_type")
+    return b.table(spark, sf, "events").select(
+        F.col("user_id").alias("run_id"), (F.col("event_id") % 6 + 1).cast("int").alias("stage_number"),
+        F.concat(F.lit("FR"), (F.col("event_id") % 6 + 1).cast("string")).alias("stage_name"),
+        F.when(kind == "click", "completed").when(kind == "error", "failed").when(kind == "view", "running").otherwise("pending").alias("status"),
+        F.create_map(
+            F.lit("clusters_processed"), F.get_json_object("props", "$.k"), F.lit("pending_clusters"), F.lit("100")
+        ).alias("summary"),
+        F.lit("").alias("error_message"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
+    )
+
+
+def run_stages(spark, sf):
+    from .plans import runlog
+
+    return runlog.fold_stages(run_log(spark, sf)).withColumn("progress", runlog.stage_progress()).drop("summary", "error_message")
+
+
+def run_progress(spark, sf):
+    from .plans import runlog
+
+    return runlog.run_progress(runlog.fold_stages(run_log(spark, sf))).withColumn("progress", F.round("progress", 6))
+
+
+# ---- discovery ----------------------------------------------------------------------------
+def market_rows(spark, sf):
+    from .plans import discovery
+
+    tracked = b.view(spark, sf, "review").where("status = 'selected'")
+    return discovery.markets(review_rows(spark, sf, True), QDAY, tracked)
+
+
+def discovery_markets(spark, sf):
+    return market_rows(spark, sf).drop("score_breakdown", "resolution_criteria", "resolution_source", "rationale", "created_at")
+
+
+def discovery_filter(spark, sf):
+    from .plans import discovery
+
+    rows = discovery.filter_markets(market_rows(spark, sf), "priority 1", "World News", "All", "Binary", 0.3, "Active")
+    return rows.orderBy(*discovery.market_order("Ending Soon")).select("id", "question", "total_score", "status")
+
+
+def discovery_top(how):
+    def run(spark, sf):
+        from .plans import discovery
+
+        return market_rows(spark, sf).orderBy(*discovery.market_order(how)).limit(20).select("id", "total_score", "days_left", "status")
+
+    return run
+
+
+def topics(spark, sf):
+    from .plans import discovery
+
+    return discovery.topic_rollup(*[b.view(spark, sf, v) for v in ("extracted", "cluster_events", "articles", "questions", "scored")])
+
+
+def topic_rollup(spark, sf):
+    return topics(spark, sf).withColumn("avg_candidate_score", F.round("avg_candidate_score", 6))
+
+
+def trend_topk(spark, sf):
+    from .plans import discovery
+
+    scored = topics(spark, sf).withColumn("trend_score", discovery.trend_score(ETIME))
+    return discovery.top_topics(scored).select("id", "title", "category", "event_count", "trend_score")
+
+
+def topic_notes(spark, sf):
+    from .plans import discovery
+
+    cols = ["id", "focus_sentence", "what_is_uncertain", "watching_points", "key_dates", "data_sources", "adjacent_topics"]
+    return discovery.enrich_topics(topics(spark, sf)).select(*cols)
+
+
+def summary_metrics(spark, sf):
+    from .plans import discovery
+
+    return discovery.summary_metrics(market_rows(spark, sf), topics(spark, sf), QDAY)
+
+
+def category_counts(spark, sf):
+    from .plans import discovery
+
+    return discovery.category_counts(market_rows(spark, sf))
+
+
+discovery_newest = discovery_top("Newest")
+discovery_ending = discovery_top("Ending Soon")
+discovery_emerging = discovery_top("Emerging")
+discovery_highest = discovery_top("Highest Score")

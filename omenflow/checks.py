@@ -248,3 +248,425 @@ def deadline_repair() -> str:
     return f"""{views('questions', 'extracted')}
 SELECT q.question_id, {repair_sql('q.deadline', 'e.candidate_deadlines')} AS deadline
 FROM v_questions q JOIN v_extracted e ON e.id = q.extracted_event_id"""
+
+
+# ---- scoring ------------------------------------------------------------------------------
+def D(x) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+def earlier_cte(name: str, rel: str, words: int = 5) -> str:
+    """Best Jaccard to a smaller id over all pairs, on bit masks of the token sets."""
+    masks = ", ".join(
+        f"bit_or(CASE WHEN i // 60 = {w} THEN CAST(1 AS UBIGINT) << (i % 60) ELSE CAST(0 AS UBIGINT) END) AS w{w}" for w in range(words)
+    )
+    inter = " + ".join(f"bit_count(a.w{w} & z.w{w})" for w in range(words))
+    return f"""
+{name}_tok AS (SELECT question_id, unnest(list_distinct(list_filter(string_split({plain('question_text')}, ' '), lambda w: w <> ''))) AS tok FROM {rel}),
+{name}_voc AS (SELECT tok, row_number() OVER (ORDER BY tok) - 1 AS i FROM (SELECT DISTINCT tok FROM {name}_tok)),
+{name}_m AS (SELECT question_id, count(*) AS n, {masks} FROM {name}_tok JOIN {name}_voc USING (tok) GROUP BY question_id),
+{name}_best AS (SELECT question_id, max(common / CAST(an + zn - common AS DOUBLE)) AS best FROM (
+  SELECT a.question_id, a.n AS an, z.n AS zn, CAST({inter} AS INTEGER) AS common
+  FROM {name}_m a JOIN {name}_m z ON z.question_id < a.question_id) GROUP BY question_id)"""
+
+
+def novelty_case(best) -> str:
+    return f"CASE WHEN {best} >= 0.9 THEN {D(0)} WHEN {best} >= 0.7 THEN {D(.25)} WHEN {best} >= 0.4 THEN {D(.5)} ELSE {D(1)} END"
+
+
+def novelty() -> str:
+    return f"""{views('questions')}, {earlier_cte('nov', 'v_questions')}
+SELECT q.question_id, {novelty_case('coalesce(best, 0)')} AS novelty_score FROM v_questions q LEFT JOIN nov_best USING (question_id)"""
+
+
+def near_duplicate_theme() -> str:
+    return f"""{views('questions')}, {earlier_cte('th', 'v_questions')}
+SELECT q.question_id, coalesce(best, 0) >= 0.75 AS near_duplicate_theme FROM v_questions q LEFT JOIN th_best USING (question_id)"""
+
+
+def homepage(url, path) -> str:
+    return f"({url} = '' OR {path} = '' OR {one_of(path, t.HOMEPAGE_PATHS)})"
+
+
+def url_cols(x) -> str:
+    """url, host, path of the first link of x."""
+    url = rf"regexp_replace(regexp_extract(coalesce({x}, ''), '(?i)https?://[^\s)]+'), '[.,;]+$', '')"
+    return (rf"{url} AS url, regexp_extract({url}, '(?i)^https?://([^/?#]*)', 1) AS host, "
+            rf"regexp_extract({url}, '(?i)^https?://[^/?#]*([^?#]*)', 1) AS path")
+
+
+def score_cte() -> str:
+    zero = lambda cond, x: f"CASE WHEN {cond} THEN {D(x)} ELSE {D(0)} END"
+    reg = " ".join([f"WHEN {one_of('f', t.REGULATORY_EXACT)} THEN {D(.15)}"] + [
+        f"WHEN starts_with(f, {L(p)}) THEN {D(a)}" for p, a in t.REGULATORY_PREFIX_PENALTIES])
+    hard = " OR ".join(f"starts_with(f, {L(p)})" for p in t.HARD_EXCLUDE_PREFIXES)
+    e = t.EXPLANATIONS
+    return f"""
+joined AS (
+  SELECT q.*, c.mention_velocity, c.source_diversity, v.clarity_score, v.flags AS vflags
+  FROM v_questions q JOIN v_extracted x ON x.id = q.extracted_event_id JOIN v_clusters c ON c.cluster_id = x.cluster_id
+  JOIN v_validation v ON v.question_id = q.question_id WHERE v.is_valid),
+texted AS (SELECT *, {plain('question_text')} AS low, {deadline('deadline')} AS due, {url_cols('resolution_source')} FROM joined),
+kept AS (SELECT *, regexp_replace(path, '^/+|/+$', '', 'g') AS bare FROM texted
+  WHERE NOT ({any_of('low', t.MEDIA_TERMS)} AND {any_of('low', t.OUTLET_TERMS)}) AND NOT coalesce(due < {Q_DAY}, false)),
+{earlier_cte('th', 'kept')}, {earlier_cte('nov', 'v_questions')},
+flagged AS (
+  SELECT kept.*, {homepage('url', 'bare')} AS f_home, {any_of('low', t.PROMO_TERMS)} AS f_promo, {any_of('low', t.RETAIL_TERMS)} AS f_retail,
+    {any_of('low', t.WEATHER_TERMS)} AS f_weather,
+    {any_of('low', t.LOW_SIGNIFICANCE_TERMS)} OR (category = 'other' AND {any_of('low', ['launch', 'release'])}) AS f_low,
+    coalesce(th_best.best, 0) >= 0.75 AS f_theme, {novelty_case('coalesce(nov_best.best, 0)')} AS novelty_score,
+    {any_of('low', t.PRICE_TERMS)} AS price, {any_of('low', t.MAJOR_SPORTS_TERMS)} AS sports
+  FROM kept LEFT JOIN th_best USING (question_id) LEFT JOIN nov_best USING (question_id)),
+flags2 AS (SELECT *, list_filter([CASE WHEN f_home THEN 'homepage_source' END, CASE WHEN f_promo THEN 'promo_event' END,
+    CASE WHEN f_retail THEN 'retail_promo_event' END, CASE WHEN f_weather THEN 'weather_event' END,
+    CASE WHEN f_low THEN 'low_significance_event' END, CASE WHEN f_theme THEN 'near_duplicate_theme' END], lambda f: f IS NOT NULL) AS quality_flags
+  FROM flagged),
+lim AS (SELECT min(mention_velocity) AS v0, max(mention_velocity) AS v1, CAST(min(source_diversity) AS DOUBLE) AS d0, CAST(max(source_diversity) AS DOUBLE) AS d1 FROM flags2),
+comp AS (
+  SELECT *, CASE WHEN v1 = v0 THEN {D(1)} ELSE (mention_velocity - v0) / (v1 - v0) END AS vel,
+    CASE WHEN d1 = d0 THEN {D(1)} ELSE (source_diversity - d0) / (d1 - d0) END AS source_diversity_score,
+    CASE WHEN coalesce(clarity_score, 0) = 0 THEN {D(1)} ELSE clarity_score END AS clarity,
+    CASE WHEN {any_of('low', t.INTEREST_SPORTS_TERMS)} OR {any_of('low', t.INTEREST_HIGH_TERMS)} THEN {D(1)} WHEN category = 'sports' THEN {D(.4)}
+      WHEN {any_of('low', t.INTEREST_LOW_TERMS)} THEN {D(.1)} ELSE {D(.4)} END AS interest,
+    {D(.5)} * (CASE WHEN f_home THEN {D(.2)} WHEN {any_of('lower(host)', t.STRONG_HOSTS)} THEN {D(1)} WHEN {any_of('lower(path)', t.STRONG_PATHS)} THEN {D(1)}
+      WHEN {one_of('lower(host)', t.WEAK_NEWS_HOSTS)} THEN {D(.2)} WHEN {any_of(plain('resolution_source'), t.WEAK_SOURCE_TEXT)} THEN {D(.2)} ELSE {D(.6)} END)
+      + {D(.5)} * (resolution_confidence * source_independence) AS strength,
+    {D(.7)} * (CASE WHEN due IS NULL OR due < {Q_DAY} THEN {D(0)} WHEN due - {Q_DAY} <= 2 THEN {D(.2)} WHEN due - {Q_DAY} <= 30 THEN {D(1)}
+      WHEN due - {Q_DAY} <= 180 THEN {D(.9)} WHEN due - {Q_DAY} <= 365 THEN {D(.6)} ELSE {D(.3)} END) + {D(.3)} * timing_reliability AS time_horizon_score
+  FROM flags2, lim WHERE len(list_filter(vflags, lambda f: {hard})) = 0),
+lifted AS (
+  SELECT *, CASE WHEN sports THEN greatest(CASE WHEN price THEN greatest(vel, {D(.8)}) ELSE vel END, {D(.6)}) WHEN price THEN greatest(vel, {D(.8)}) ELSE vel END AS mention_velocity_score,
+    CASE WHEN sports THEN greatest(CASE WHEN price THEN greatest(strength, {D(.8)}) ELSE strength END, {D(.6)}) WHEN price THEN greatest(strength, {D(.8)}) ELSE strength END AS resolution_strength_score,
+    CASE WHEN sports THEN greatest(interest, {D(1)}) ELSE interest END AS market_interest_score
+  FROM comp),
+totals AS (
+  SELECT *, {D(.25)} * market_interest_score + {D(.25)} * resolution_strength_score + {D(.2)} * clarity + {D(.1)} * mention_velocity_score
+      + {D(.1)} * novelty_score + {D(.05)} * time_horizon_score + {D(.05)} * source_diversity_score AS base,
+    ({any_of('low', t.ORDINARY_MATCH_TERMS)} OR ({any_of('low', t.ORDINARY_MATCH_WORDS)} AND {rx('low', t.ORDINARY_MATCH_DATE)})) AND NOT sports AS ordinary,
+    {zero(f"f_home AND NOT {any_of('lower(resolution_source)', t.TRUSTED_DOMAINS)}", .05)} + {zero('f_promo', .25)} + {zero('f_retail', .1)}
+    + {zero("f_retail AND (contains(low, 'discount') OR contains(low, '%'))", .05)} + {zero("f_retail AND contains(low, 'all purchases')", .05)}
+    + {zero('f_weather', .15)} + {zero('f_low', .1)} + {zero('f_theme', .1)}
+    + coalesce(list_sum(list_transform(vflags, lambda f: CASE {reg} ELSE {D(0)} END)), {D(0)}) AS penalty_total
+  FROM lifted),
+scored AS (
+  SELECT *, greatest({D(0)}, least({D(1)}, CASE WHEN ordinary THEN base * {D(.85)} ELSE base END - penalty_total)) AS total,
+    CASE WHEN f_promo OR f_retail THEN {L(e['promo'])} WHEN market_interest_score >= 1 AND resolution_strength_score >= 1 AND len(quality_flags) = 0 THEN {L(e['strong'])}
+      WHEN market_interest_score <= 0.1 THEN {L(e['low_interest'])} WHEN resolution_strength_score <= 0.2 THEN {L(e['weak_source'])}
+      WHEN time_horizon_score <= 0.3 THEN {L(e['horizon'])} WHEN len(quality_flags) > 0 THEN {L(e['penalties'])} ELSE {L(e['middle'])} END AS explanation
+  FROM totals),
+ranked AS (
+  SELECT question_id, row_number() OVER (ORDER BY total DESC, question_id) AS rank, quality_flags, explanation, question_text, category, deadline, resolution_source,
+    round(clarity, 6) AS clarity_score, round(mention_velocity_score, 6) AS mention_velocity_score, round(source_diversity_score, 6) AS source_diversity_score,
+    round(novelty_score, 6) AS novelty_score, round(market_interest_score, 6) AS market_interest_score, round(resolution_strength_score, 6) AS resolution_strength_score,
+    round(time_horizon_score, 6) AS time_horizon_score, round(penalty_total, 6) AS penalty_total, round(total, 6) AS total_score
+  FROM scored)"""
+
+
+SCORE_VIEWS = ("questions", "extracted", "clusters", "validation")
+
+
+def scored_rank() -> str:
+    return f"""{views(*SCORE_VIEWS)}, {score_cte()}
+SELECT * EXCLUDE (question_text, category, deadline, resolution_source) FROM ranked"""
+
+
+def top_questions() -> str:
+    return f"""{views(*SCORE_VIEWS)}, {score_cte()}
+SELECT * EXCLUDE (question_id, penalty_total) FROM ranked ORDER BY rank LIMIT 10"""
+
+
+def soft_flags() -> str:
+    return f"""{views(*SCORE_VIEWS)}, {score_cte()} SELECT question_id, quality_flags FROM flags2"""
+
+
+# ---- clusters and priorities -----------------------------------------------------------------
+EVENT_MEMBERS = """SELECT user_id AS cluster_id, event_type AS source, CASE event_type WHEN 'click' THEN 'discovery' WHEN 'purchase' THEN 'resolution'
+  ELSE 'attention' END AS signal_role, ts AS timestamp FROM events"""
+
+
+def feature_cols() -> str:
+    span = "((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / CAST(3600000000 AS DOUBLE))"
+    weight = f"sum({in_map('source', t.SOURCE_WEIGHTS, t.DEFAULT_SOURCE_WEIGHT)})"
+    return f"""count(*) AS size,
+  CASE WHEN {span} < 0.01 THEN CAST(count(*) AS DOUBLE) ELSE round(count(*) / {span}, 4) END AS mention_velocity,
+  count(DISTINCT source) AS source_diversity,
+  round((epoch_us({E_TIME}) - epoch_us(max(timestamp))) / CAST(3600000000 AS DOUBLE), 4) AS recency,
+  CASE WHEN {span} < 0.01 THEN {weight} ELSE round({weight} / {span}, 4) END AS weighted_mention_velocity"""
+
+
+def cluster_features() -> str:
+    return f"""WITH m AS ({EVENT_MEMBERS}),
+r AS (SELECT cluster_id, string_agg(signal_role || '=' || n, ',' ORDER BY signal_role) AS source_role_mix
+      FROM (SELECT cluster_id, signal_role, count(*) AS n FROM m GROUP BY ALL) GROUP BY cluster_id)
+SELECT f.*, source_role_mix, {D(0)} AS coherence_score FROM (SELECT cluster_id, {feature_cols()} FROM m GROUP BY cluster_id) f JOIN r USING (cluster_id) WHERE size >= 3"""
+
+
+COHERENCE = """SELECT a.label AS cluster_id, avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(z.embedding AS DOUBLE[]))) AS coherence_score
+  FROM embeddings a JOIN embeddings z ON a.label = z.label AND a.vec_id < z.vec_id GROUP BY a.label"""
+
+
+def cluster_coherence() -> str:
+    return f"SELECT cluster_id, round(coherence_score, 5) AS coherence_score FROM ({COHERENCE})"
+
+
+def topic_case(hits: dict, outlet: str, bench: str) -> tuple[str, str]:
+    score = dict(hits)
+    score["major_news"] = f"({score['major_news']} + CASE WHEN {outlet} THEN {D(.75)} ELSE 0 END)"
+    for k, v in (("crypto", .25), ("finance", .2), ("sports", .15)):
+        score[k] = f"({score[k]} + CASE WHEN {bench} THEN {D(v)} ELSE 0 END)"
+    best = f"greatest({', '.join(score.values())})"
+    arms = " ".join(f"WHEN {s} = {best} THEN '{k}'" for k, s in score.items())
+    topic = f"CASE WHEN {best} <= 0 THEN 'other' {arms} END"
+    prior = f"CASE WHEN {best} <= 0 THEN {D(.2)} ELSE greatest({D(0)}, least({D(1)}, {D(.2)} + {D(.18)} * least({best}, {D(4)}))) END"
+    return topic, prior
+
+
+def cluster_score_sql(prior, hits, wv, div, rec, coh, bench) -> str:
+    return (f"round({D(.38)} * {prior} + {D(.24)} * CASE WHEN {wv} <= 0 THEN {D(0)} ELSE least(ln(1 + {wv}) / ln({D(13)}), {D(1)}) END "
+            f"+ {D(.14)} * greatest({D(0)}, least({D(1)}, {div} / {D(6)})) + {D(.1)} * greatest({D(0)}, least({D(1)}, 1 - greatest({rec}, 0) / {D(168)})) "
+            f"+ {D(.08)} * greatest({D(0)}, least({D(1)}, {coh})) + {D(.06)} * CASE WHEN {bench} THEN 1 ELSE 0 END "
+            f"- greatest({D(0)}, least({D(.72)}, {hits} * {D(.18)})), 4)")
+
+
+def cluster_priority_topk() -> str:
+    hay = squash("title || ' ' || content || CASE WHEN entities = '' THEN '' ELSE ' ' || entities END")
+    words = {k: t.TOPIC_TERMS[k] for k in t.TOPIC_TERMS} | {"procedural": t.PROCEDURAL_TERMS}
+    flags = ", ".join(f"bool_or(contains(hay, {L(w)})) AS {k}_{i}" for k, ws in words.items() for i, w in enumerate(ws))
+    sums = ", ".join("(" + " + ".join(f"CAST({k}_{i} AS INT)" for i in range(len(ws))) + f") AS n_{k}" for k, ws in words.items())
+    topic, prior = topic_case({k: f"CAST(n_{k} AS DOUBLE)" for k in t.TOPIC_TERMS}, "outlet", "bench")
+    score = cluster_score_sql("prior", "n_procedural", "weighted_mention_velocity", "source_diversity", "recency", "coherence_score", "bench")
+    return f"""{views('labelled_members')},
+h AS (SELECT *, {hay} AS hay FROM v_labelled_members),
+f AS (SELECT cluster_id, {feature_cols()}, bool_or({one_of('source', t.MAJOR_OUTLETS)}) AS outlet, bool_or({one_of('source', t.BENCHMARK_SOURCES)}) AS bench, {flags} FROM h GROUP BY cluster_id),
+n AS (SELECT *, {sums} FROM f),
+p AS (SELECT n.*, round(coalesce(c.coherence_score, 0), 4) AS coherence_score, {topic} AS priority_topic, {prior} AS prior FROM n LEFT JOIN ({COHERENCE}) c USING (cluster_id))
+SELECT cluster_id, size, mention_velocity, source_diversity, recency, weighted_mention_velocity, coherence_score, priority_topic, {score} AS priority_score
+FROM p ORDER BY priority_score DESC, weighted_mention_velocity DESC, mention_velocity DESC, source_diversity DESC, recency, cluster_id LIMIT 10"""
+
+
+def tier_case(hay, outlet) -> str:
+    arms = " ".join(f"WHEN {h} THEN {D(v)}" for (v, _), h in zip(t.TIERED_TERMS, hay))
+    return f"CASE {arms} WHEN {outlet} THEN {D(.8)} ELSE {D(.2)} END"
+
+
+def lin(x, s) -> str:
+    return f"greatest({D(0)}, least({D(1)}, {x} / {D(s)}))"
+
+
+def priority_tiered() -> str:
+    # word boundaries written out, as letters of every script count as word characters
+    word = lambda x, ws: rx(x, r"(?:^|[^\p{L}\p{N}_])(?:" + esc(ws) + r")(?:$|[^\p{L}\p{N}_])")
+    tiers = ", ".join(f"bool_or({word('hay', ws)}) AS tier{i}" for i, (_, ws) in enumerate(t.TIERED_TERMS))
+    return f"""{views('labelled_members')},
+h AS (SELECT *, {squash("title || ' ' || content")} AS hay FROM v_labelled_members),
+f AS (SELECT cluster_id, {feature_cols()}, {tiers}, bool_or({word('source', t.TIERED_OUTLETS)}) AS outlet, bool_or({word('hay', t.TIERED_PROCEDURAL)}) AS proc,
+  bool_or(signal_role = 'benchmark' OR {one_of('source', t.BENCHMARK_SOURCES)}) AS bench FROM h GROUP BY cluster_id)
+SELECT cluster_id, round({D(.45)} * {tier_case([f'tier{i}' for i in range(6)], 'outlet')} + {D(.25)} * {lin('weighted_mention_velocity', 15)}
+  + {D(.15)} * {lin('source_diversity', 6)} + {D(.1)} * greatest({D(0)}, least({D(1)}, 1 - greatest(recency, 0) / {D(168)}))
+  + {D(.05)} * CASE WHEN bench THEN {D(.08)} ELSE 0 END - CASE WHEN proc THEN {D(.35)} ELSE 0 END, 4) AS priority_score FROM f"""
+
+
+EVENT_TEXT = """event_summary || ' ' || market_angle || ' ' || outcome_variable || ' ' || event_type || ' ' || array_to_string(entities, ' ') || ' ' || array_to_string(resolution_sources, ' ')"""
+
+
+def event_priority_queue() -> str:
+    hits = {k: f"CAST({count_of('hay', ws)} AS DOUBLE)" for k, ws in t.TOPIC_TERMS.items()}
+    topic, prior = topic_case({k: f"n_{k}" for k in hits}, "outlet", "bench")
+    counts = ", ".join(f"{h} AS n_{k}" for k, h in hits.items())
+    clus = cluster_score_sql("prior", "n_proc", "weighted_mention_velocity", "source_diversity", "recency", "coherence_score", "bench")
+    return f"""{views('extracted', 'clusters', 'cluster_events', 'articles')},
+s AS (SELECT cluster_id, bool_or({one_of('source', t.MAJOR_OUTLETS)}) AS outlet, bool_or({one_of('source', t.BENCHMARK_SOURCES)}) AS bench
+  FROM v_cluster_events JOIN v_articles ON id = event_id GROUP BY cluster_id),
+h AS (SELECT e.*, c.* EXCLUDE (cluster_id), coalesce(outlet, false) AS outlet, coalesce(bench, false) AS bench, {squash(EVENT_TEXT)} AS hay
+  FROM v_extracted e JOIN v_clusters c USING (cluster_id) LEFT JOIN s USING (cluster_id) WHERE tradability = 'suitable'),
+n AS (SELECT *, {counts}, {count_of('hay', t.PROCEDURAL_TERMS)} AS n_proc FROM h),
+p AS (SELECT *, {topic} AS priority_topic, {prior} AS prior FROM n)
+SELECT id, priority_topic, round({D(.4)} * {clus} + {D(.22)} * prior + {D(.2)} * greatest({D(0)}, least({D(1)}, confidence))
+  + {D(.12)} * {in_map("replace(lower(event_type), ' ', '_')", t.EVENT_TYPE_PRIORS, .45)} + {D(.06)} - CASE WHEN contradiction_flag THEN {D(.12)} ELSE 0 END
+  - {D(.6)} * greatest({D(0)}, least({D(.72)}, n_proc * {D(.18)})), 4) AS priority_score FROM p"""
+
+
+def event_priority_tiered() -> str:
+    hay = squash(EVENT_TEXT)
+    return f"""{views('extracted', 'clusters')},
+h AS (SELECT e.*, c.* EXCLUDE (cluster_id), {hay} AS hay, {squash("array_to_string(resolution_sources, ' ')")} AS src FROM v_extracted e JOIN v_clusters c USING (cluster_id))
+SELECT id, round({D(.4)} * {tier_case([word_of('hay', ws) for _, ws in t.TIERED_TERMS], word_of('src', t.TIERED_OUTLETS))} + {D(.2)} * {lin('confidence', 1)}
+  + {D(.2)} * {lin('weighted_mention_velocity', 15)} + {D(.1)} * {lin('source_diversity', 6)} + {D(.1)} * greatest({D(0)}, least({D(1)}, 1 - greatest(recency, 0) / {D(168)}))
+  - CASE WHEN {word_of('hay', t.TIERED_PROCEDURAL)} THEN {D(.35)} ELSE 0 END - CASE WHEN contradiction_flag THEN {D(.1)} ELSE 0 END, 4) AS priority_score FROM h"""
+
+
+# ---- pending work ---------------------------------------------------------------------------------
+def pending_anti() -> str:
+    return f"""{views('questions', 'scored')} SELECT question_id, question_text FROM v_questions q
+WHERE NOT EXISTS (SELECT 1 FROM v_scored s WHERE s.question_id = q.question_id)"""
+
+
+def pending_not_in() -> str:
+    return f"""{views('cluster_events', 'extracted')} SELECT DISTINCT cluster_id FROM v_cluster_events
+WHERE cluster_id NOT IN (SELECT cluster_id FROM v_extracted)"""
+
+
+def pending_not_in_null() -> str:
+    return f"""{views('questions')} SELECT question_id, question_text FROM v_questions
+WHERE question_id NOT IN (SELECT repair_parent_question_id FROM v_questions)"""
+
+
+# ---- dashboards -------------------------------------------------------------------------------------
+REVIEW_CTE = f"""rv AS (
+  SELECT s.*, q.* EXCLUDE (question_id), r.status AS review_status, {deadline('q.deadline')} AS due,
+    CASE WHEN r.status IS NOT NULL THEN r.status WHEN {deadline('q.deadline')} < {Q_DAY} THEN 'expired' ELSE 'active' END AS effective_status
+  FROM v_scored s JOIN v_questions q USING (question_id) LEFT JOIN v_review r USING (question_id))"""
+
+
+def dashboard_queue() -> str:
+    return f"""{views('scored', 'questions', 'review')}, {REVIEW_CTE}
+SELECT question_id, question_text, category, total_score, deadline, review_status, effective_status,
+  row_number() OVER (PARTITION BY effective_status ORDER BY total_score DESC, question_id) AS rank FROM rv"""
+
+
+def filtered_queue() -> str:
+    return f"""{views('scored', 'questions', 'review')}, {REVIEW_CTE}
+SELECT question_id, question_text, category, total_score, deadline FROM rv WHERE effective_status = 'active' AND lower(question_text) LIKE '%price%'
+  AND category IN ('finance', 'politics', 'other') AND question_type = 'binary' AND total_score >= 0.4 ORDER BY due NULLS LAST, question_id"""
+
+
+def status_stats() -> str:
+    return f"""{views('scored', 'questions', 'review')}, {REVIEW_CTE}
+SELECT effective_status, count(*) AS n, count(DISTINCT category) AS categories, round(avg(total_score), 6) AS avg_score, round(max(total_score), 6) AS max_score,
+  count(*) FILTER (question_type = 'binary') AS binary, count(*) FILTER (question_type = 'multiple_choice') AS multiple_choice FROM rv GROUP BY effective_status"""
+
+
+REPAIR_CTE = """rp AS (
+  SELECT q.question_id, v.flags AS validation_flags, e.confidence AS extraction_confidence, c.*,
+    EXISTS (SELECT 1 FROM v_questions k WHERE k.repair_parent_question_id = q.question_id) AS has_repair_child
+  FROM v_questions q JOIN v_validation v USING (question_id) JOIN v_extracted e ON e.id = q.extracted_event_id JOIN v_clusters c ON c.cluster_id = e.cluster_id
+  WHERE NOT v.is_valid)"""
+
+
+def repair_queue() -> str:
+    return f"""{views('questions', 'validation', 'extracted', 'clusters')}, {REPAIR_CTE}
+SELECT question_id, row_number() OVER (ORDER BY weighted_mention_velocity DESC NULLS LAST, mention_velocity DESC NULLS LAST, source_diversity DESC NULLS LAST,
+  extraction_confidence DESC NULLS LAST, recency NULLS LAST, question_id) AS rank, validation_flags, extraction_confidence, weighted_mention_velocity
+FROM rp WHERE NOT has_repair_child AND {salvageable('validation_flags')}"""
+
+
+def repair_children() -> str:
+    return f"""{views('questions', 'validation', 'extracted', 'clusters')}, {REPAIR_CTE} SELECT question_id, has_repair_child FROM rp"""
+
+
+def review_latest() -> str:
+    return """SELECT question_id, status, reason, notes, changed_at FROM (
+  SELECT user_id AS question_id, CASE event_type WHEN 'click' THEN 'selected' WHEN 'error' THEN 'removed' ELSE 'active' END AS status, props AS reason,
+    CAST(event_id AS VARCHAR) AS notes, ts AS changed_at, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1 AND status <> 'active'"""
+
+
+STAGES_CTE = """WITH log AS (SELECT user_id AS run_id, CAST(event_id % 6 + 1 AS INT) AS stage_number, 'FR' || (event_id % 6 + 1) AS stage_name,
+    CASE event_type WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'running' ELSE 'pending' END AS status,
+    CAST(json_extract(props, '$.k') AS DOUBLE) AS k, ts, event_id FROM events),
+stages AS (SELECT run_id, stage_number, stage_name, status, (SELECT min(ts) FROM log b WHERE b.run_id = a.run_id AND b.stage_number = a.stage_number AND b.status = 'running') AS started_at,
+    CASE WHEN status IN ('completed', 'failed') THEN ts END AS finished_at, least(greatest(k / CAST(100 AS DOUBLE), 0), 1) AS progress
+  FROM (SELECT *, row_number() OVER (PARTITION BY run_id, stage_number ORDER BY ts DESC, event_id DESC) AS rn FROM log) a WHERE rn = 1)"""
+
+
+def run_stages() -> str:
+    return f"{STAGES_CTE} SELECT * FROM stages"
+
+
+def run_progress() -> str:
+    return f"{STAGES_CTE} SELECT run_id, round(count(*) FILTER (status = 'completed') / CAST(count(*) AS DOUBLE), 6) AS progress FROM stages GROUP BY run_id"
+
+
+# ---- discovery ------------------------------------------------------------------------------------------
+def label_case(x) -> str:
+    key = f"trim(lower(replace({x}, '_', ' ')))"
+    arms = " ".join(f"WHEN {L(k)} THEN {L(v)}" for k, v in t.CATEGORY_ALIASES.items())
+    own = " ".join(f"WHEN {L(c.lower())} THEN {L(c)}" for c in t.DISCOVERY_CATEGORIES if c.lower() not in t.CATEGORY_ALIASES)
+    return f"CASE {key} {arms} {own} ELSE 'Other' END"
+
+
+MARKET_CTE = f"""{REVIEW_CTE}, mk AS (
+  SELECT question_id AS id, question_text AS question, {label_case('category')} AS category, question_type, total_score, deadline, CAST(due - {Q_DAY} AS INT) AS days_left,
+    deadline_source, CASE WHEN is_valid THEN 'Valid' WHEN len(flags) > 0 THEN 'Needs Review' ELSE 'Unknown' END AS validation_status, flags AS warnings, review_status,
+    CASE WHEN review_status = 'selected' THEN 'Tracked' WHEN due - {Q_DAY} < 0 THEN 'Expired' WHEN due - {Q_DAY} <= 14 THEN 'Ending Soon' ELSE 'Active' END AS status,
+    rationale, created_at, CASE WHEN due IS NULL THEN 1 WHEN due < {Q_DAY} THEN 2 ELSE 0 END AS grp, coalesce(abs(due - {Q_DAY}), 999999) AS dist
+  FROM rv LEFT JOIN v_validation USING (question_id))"""
+MARKET_VIEWS = ("scored", "questions", "review", "validation")
+
+
+def discovery_markets() -> str:
+    return f"""{views(*MARKET_VIEWS)}, {MARKET_CTE} SELECT * EXCLUDE (rationale, created_at, grp, dist) FROM mk"""
+
+
+def discovery_filter() -> str:
+    return f"""{views(*MARKET_VIEWS)}, {MARKET_CTE} SELECT id, question, total_score, status FROM mk
+WHERE (contains(lower(question), 'priority 1') OR contains(lower(rationale), 'priority 1') OR contains(lower(category), 'priority 1'))
+  AND category = 'World News' AND question_type = 'binary' AND total_score >= 0.3 AND status = 'Active'"""
+
+
+def discovery_top(order):
+    return f"""{views(*MARKET_VIEWS)}, {MARKET_CTE} SELECT id, total_score, days_left, status FROM mk ORDER BY {order}, id LIMIT 20"""
+
+
+def discovery_newest() -> str:
+    return discovery_top("created_at DESC NULLS LAST, total_score DESC")
+
+
+def discovery_ending() -> str:
+    return discovery_top("grp, dist, total_score DESC")
+
+
+def discovery_emerging() -> str:
+    return discovery_top("total_score DESC, created_at DESC NULLS LAST, dist")
+
+
+def discovery_highest() -> str:
+    return discovery_top("total_score DESC, grp, dist, created_at DESC NULLS LAST")
+
+
+TOPIC_VIEWS = ("extracted", "cluster_events", "articles", "questions", "scored")
+TOPIC_CTE = """tp AS (
+  SELECT e.id, e.cluster_id, e.event_summary, e.event_type FROM v_extracted e),
+ne AS (SELECT cluster_id, count(DISTINCT event_id) AS event_count, count(DISTINCT source) AS source_count, max(timestamp) AS latest_event_at
+  FROM v_cluster_events LEFT JOIN v_articles ON id = event_id GROUP BY cluster_id),
+qs AS (SELECT extracted_event_id AS id, count(DISTINCT q.question_id) AS suggested_market_count, avg(total_score) AS avg_candidate_score,
+  list(nullif(category, '') ORDER BY total_score DESC NULLS LAST, q.question_id)[1] AS cat, list(question_text ORDER BY total_score DESC NULLS LAST, q.question_id)[1] AS ex
+  FROM v_questions q LEFT JOIN v_scored s USING (question_id) GROUP BY 1),
+topics AS (SELECT id, coalesce(nullif(event_summary, ''), 'Emerging topic') AS title, event_summary AS summary, coalesce(cat, nullif(event_type, ''), 'other') AS category,
+  coalesce(event_count, 0) AS event_count, coalesce(source_count, 0) AS source_count, coalesce(suggested_market_count, 0) AS suggested_market_count,
+  avg_candidate_score, latest_event_at, ex AS example_question
+  FROM tp LEFT JOIN ne USING (cluster_id) LEFT JOIN qs USING (id))"""
+
+
+def topic_rollup() -> str:
+    return f"{views(*TOPIC_VIEWS)}, {TOPIC_CTE} SELECT * REPLACE (round(avg_candidate_score, 6) AS avg_candidate_score) FROM topics"
+
+
+def trend_topk() -> str:
+    age = f"greatest((epoch_us({E_TIME}) - epoch_us(latest_event_at)) / CAST(86400000000 AS DOUBLE), 0)"
+    return f"""{views(*TOPIC_VIEWS)}, {TOPIC_CTE} SELECT id, title, category, event_count, round(least(CAST(event_count AS DOUBLE), 20) * {D(2.2)}
+  + least(CAST(source_count AS DOUBLE), 15) * {D(2)} + least(CAST(suggested_market_count AS DOUBLE), 10) * {D(2.4)} + coalesce(avg_candidate_score, 0) * {D(24)}
+  + CASE WHEN latest_event_at IS NULL THEN 0 ELSE 25 - least({age}, 25) END, 1) AS trend_score FROM topics ORDER BY trend_score DESC, event_count DESC, id LIMIT 6"""
+
+
+def topic_notes() -> str:
+    def arms(table, show):
+        return "CASE lab " + " ".join(f"WHEN {L(k)} THEN {show(v)}" for k, v in table.items() if k != "Other") + f" ELSE {show(table['Other'])} END"
+
+    arr = lambda v: "[" + ", ".join(L(x) for x in v) + "]"
+    return f"""{views(*TOPIC_VIEWS)}, {TOPIC_CTE}, lb AS (SELECT *, {label_case('category')} AS lab FROM topics)
+SELECT id, trim(split_part(trim(summary), '.', 1)) || '.' AS focus_sentence, replace({arms(t.TOPIC_UNCERTAINTY, L)}, '{{t}}', lower(title)) AS what_is_uncertain,
+  ['Watch whether mention velocity stays elevated beyond the current ' || event_count || '-event burst.', 'Track whether coverage broadens beyond the current ' || source_count || ' distinct sources.',
+   {arms(t.TOPIC_WATCH, L)}] AS watching_points,
+  CASE WHEN latest_event_at IS NULL THEN ['Near-term follow-up timing is still unclear.'] ELSE ['Near-term follow-up window: by ' || strftime(latest_event_at + INTERVAL 7 DAY, '%b %d'),
+   'If the story is durable, expect a clearer milestone before ' || strftime(latest_event_at + INTERVAL 30 DAY, '%b %d')] END AS key_dates,
+  {arms(t.TOPIC_SOURCES, arr)} AS data_sources, {arms(t.ADJACENT_TOPICS, arr)} AS adjacent_topics FROM lb"""
+
+
+def summary_metrics() -> str:
+    return f"""{views('scored', 'questions', 'review', 'validation', 'extracted')}, {MARKET_CTE}
+SELECT count(*) FILTER (status <> 'Expired') AS active_markets, printf('%.1f', avg(total_score) * 100) AS average_market_score,
+  count(*) FILTER (created_at >= {Q_DAY} - INTERVAL 7 DAY) AS new_this_week, (SELECT count(*) FROM v_extracted) AS emerging_topics FROM mk"""
+
+
+def category_counts() -> str:
+    return f"{views(*MARKET_VIEWS)}, {MARKET_CTE} SELECT category, count(*) AS n FROM mk GROUP BY category"

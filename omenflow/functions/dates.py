@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from .text import as_col, collapse, or_empty
+from .text import as_col, collapse, let, or_empty
 
 # Accepted deadline shapes and the format that reads each.
 DEADLINE_FORMATS = [
@@ -23,15 +23,18 @@ def parse_deadline(c, strip_lead: bool = False, extra_iso: bool = False) -> Colu
     v = collapse(or_empty(c))
     if strip_lead:
         v = F.regexp_replace(v, r"(?i)^(by|before) ", "")
-    out = None
-    for shape, fmt in DEADLINE_FORMATS:
-        hit = F.try_to_date(v, fmt)
-        out = F.when(v.rlike(shape), hit) if out is None else out.when(v.rlike(shape), hit)
-    if extra_iso:
-        out = out.when(
-            v.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), F.to_date(F.substring(v, 1, 10))
-        )
-    return out
+
+    def read(x):
+        out = None
+        for shape, fmt in DEADLINE_FORMATS:
+            hit = F.try_to_date(x, fmt)
+            out = F.when(x.rlike(shape), hit) if out is None else out.when(x.rlike(shape), hit)
+        if extra_iso:
+            iso = x.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}")
+            out = out.when(iso, F.try_to_date(F.substring(x, 1, 10), "yyyy-MM-dd"))
+        return out
+
+    return let(v, read)
 
 
 def format_date(c) -> Column:

@@ -1,9 +1,6 @@
 """Text normalisation, token and matching expressions (all Catalyst, no UDF)."""
 
 import re
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, functions as F
 
 from . import terms
@@ -88,19 +85,27 @@ def _alternation(words_: list[str]) -> str:
     return "|".join(re.escape(w) for w in words_)
 
 
+def let(c, use) -> Column:
+    """`use(x)` with x bound to the value of `c`.
+
+    The value is computed once, however often `use` mentions it and wherever the optimizer moves the
+    expression; it also keeps long term lists out of the generated code.
+    """
+    return F.transform(F.array(as_col(c)), use)[0]
+
+
+def term_array(words_: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words_])
+
+
 def contains_any(c, words_: list[str]) -> Column:
     """Any listed text is a substring (byte search; no regular expression)."""
-    c = as_col(c)
-    return reduce(or_, [F.contains(c, F.lit(w)) for w in words_])
+    return let(c, lambda x: F.exists(term_array(words_), lambda w: F.contains(x, w)))
 
 
 def count_contains(c, words_: list[str]) -> Column:
     """How many of the listed texts are substrings (each counted once)."""
-    c = as_col(c)
-    total = F.lit(0)
-    for w in words_:
-        total = total + F.contains(c, F.lit(w)).cast("int")
-    return total
+    return let(c, lambda x: F.size(F.filter(term_array(words_), lambda w: F.contains(x, w))))
 
 
 def has_word(c, words_: list[str]) -> Column:
@@ -108,20 +113,16 @@ def has_word(c, words_: list[str]) -> Column:
     return contains_any(c, words_) & as_col(c).rlike(rf"\b(?:{_alternation(words_)})\b")
 
 
-def first_word(c, words_: list[str]) -> Column:
-    """The first term in listed order found between word boundaries, else null."""
-    c = as_col(c)
-    return F.when(
-        has_word(c, words_),
-        F.coalesce(*[F.when(c.rlike(rf"\b{re.escape(w)}\b"), F.lit(w)) for w in words_]),
-    )
+def all_words(c, words_: list[str]) -> Column:
+    """Every listed term found between word boundaries, in listed order."""
+    pairs = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(rf"\b{re.escape(w)}\b").alias("p")) for w in words_])
+    found = let(c, lambda x: F.filter(pairs, lambda t: F.contains(x, t["w"]) & F.rlike(x, t["p"])))
+    return F.transform(found, lambda t: t["w"])
 
 
-def all_words(c, words_: list[str]) -> Column:
-    """Array of every listed term found, in listed order."""
-    c = as_col(c)
-    hits = F.array(*[F.when(c.rlike(rf"\b{re.escape(w)}\b"), F.lit(w)) for w in words_])
-    return F.when(has_word(c, words_), F.array_compact(hits)).otherwise(F.array().cast("array<string>"))
+def first_word(c, words_: list[str]) -> Column:
+    """The first term in listed order found between word boundaries, else null."""
+    return F.try_element_at(all_words(c, words_), F.lit(1))
 
 
 def matches_any(c, patterns: list[str]) -> Column:

@@ -49,13 +49,9 @@ def _beyond(side: DataFrame) -> DataFrame:
     return heads.join(sizes, "key").select("key", "last")
 
 
-def _later(pairs: DataFrame) -> Column:
-    return F.greatest("l_pos", "r_pos")
-
-
 def similar_pairs(keys: Keys, rule: Column, salted: bool = False) -> DataFrame:
     """a < b for every pair of the relation, once."""
-    pairs = meet(keys.left, keys.right, salted).where((F.col("l_pos") != F.col("r_pos")) & rule)
+    pairs = meet(keys.left, keys.right, salted, (F.col("l_pos") != F.col("r_pos")) & rule)
     return pairs.select(F.least("l_pos", "r_pos").alias("a"), F.greatest("l_pos", "r_pos").alias("b")).distinct()
 
 
@@ -72,8 +68,8 @@ def keep_first(nodes: DataFrame, keys: Keys, rule: Column, budget: int = PAIR_BU
         lh, rh = _heads(left), _heads(right)
         earlier = lambda a, b: (F.col(f"{a}_pos") < F.col(f"{b}_pos")) & rule
         blocked = (
-            meet(left, rh).where(earlier("r", "l")).select(F.col("l_pos").alias("pos"))
-            .union(meet(lh, right).where(earlier("l", "r")).select(F.col("r_pos").alias("pos")))
+            meet(left, rh, where=earlier("r", "l"), semi=True).select(F.col("l_pos").alias("pos"))
+            .union(meet(lh, right, where=earlier("l", "r")).select(F.col("r_pos").alias("pos")))
         )
         unseen = (
             left.join(_beyond(right), "key").where("pos > last").select("pos")
@@ -83,8 +79,8 @@ def keep_first(nodes: DataFrame, keys: Keys, rule: Column, budget: int = PAIR_BU
         kept = keep if kept is None else kept.unionByName(keep)
         kl, kr = left.join(keep, "pos", "left_semi"), right.join(keep, "pos", "left_semi")
         gone = (
-            meet(left, kr).where(earlier("r", "l")).select(F.col("l_pos").alias("pos"))
-            .union(meet(kl, right).where(earlier("l", "r")).select(F.col("r_pos").alias("pos")))
+            meet(left, kr, where=earlier("r", "l"), semi=True).select(F.col("l_pos").alias("pos"))
+            .union(meet(kl, right, where=earlier("l", "r")).select(F.col("r_pos").alias("pos")))
         ).distinct()
         decided = written(keep.unionByName(gone))
         undecided = written(undecided.join(decided, "pos", "left_anti"))

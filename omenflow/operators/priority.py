@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import terms
 from ..functions.numeric import clamp, log_scale
-from ..functions.text import as_col, has_word, or_empty, squash
+from ..functions.text import as_col, has_word, let, or_empty, squash
 from .clusters import feature_columns, source_slices
 
 TOPICS = list(terms.TOPIC_TERMS)
@@ -14,10 +14,9 @@ TOPICS = list(terms.TOPIC_TERMS)
 
 def hit_mask(text, words: list[str]) -> Column:
     """Bit i is set when the i-th term is a substring: masks of many rows combine with bit_or."""
-    mask = F.lit(0).cast("bigint")
-    for i, w in enumerate(words):
-        mask = mask.bitwiseOR(F.when(F.contains(as_col(text), F.lit(w)), F.lit(1 << i)).otherwise(F.lit(0)))
-    return mask
+    bits = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(1 << i).cast("bigint").alias("bit")) for i, w in enumerate(words)])
+    hit = lambda x, t: F.when(F.contains(x, t["w"]), t["bit"]).otherwise(F.lit(0).cast("bigint"))
+    return let(text, lambda x: F.aggregate(bits, F.lit(0).cast("bigint"), lambda m, t: m.bitwiseOR(hit(x, t))))
 
 
 def topic_and_prior(hits: dict[str, Column], has_outlet: Column, has_benchmark: Column) -> tuple[Column, Column]:
