@@ -344,3 +344,69 @@ discovery_newest = discovery_top("Newest")
 discovery_ending = discovery_top("Ending Soon")
 discovery_emerging = discovery_top("Emerging")
 discovery_highest = discovery_top("Highest Score")
+
+
+# ---- vectors ---------------------------------------------------------------------------
+VECTOR_THRESHOLD, VECTOR_EPS = 0.40, 0.65
+
+
+def vector_rows(spark, sf):
+    return b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
+
+
+def vector_dedupe(spark, sf):
+    from .operators import vectors
+
+    return vectors.dedupe_vectors(vector_rows(spark, sf), VECTOR_THRESHOLD).select(F.col("pos").alias("vec_id"))
+
+
+def vector_dedupe_strict(spark, sf):
+    """The default threshold, which keeps every vector of this data."""
+    from .operators import vectors
+
+    return vectors.dedupe_vectors(vector_rows(spark, sf)).select(F.col("pos").alias("vec_id"))
+
+
+def dbscan(spark, sf):
+    from .operators import vectors
+
+    return vectors.dbscan(vector_rows(spark, sf), VECTOR_EPS).withColumnRenamed("pos", "vec_id")
+
+
+def dbscan_features(spark, sf):
+    """Density clusters, then the features of each cluster with its coherence."""
+    from .operators import vectors
+    from .operators.durable import written
+
+    labels = written(vectors.dbscan(vector_rows(spark, sf), VECTOR_EPS))
+    joined = labels.select("pos", F.col("label").alias("cluster_id"))
+    members = joined.join(b.view(spark, sf, "articles").withColumnRenamed("id", "pos"), "pos")
+    vecs = joined.join(vector_rows(spark, sf), "pos")
+    return clusters.cluster_features(members, ETIME, vecs).drop("source_role_mix")
+
+
+# ---- stories ---------------------------------------------------------------------------
+def story_dedupe(spark, sf):
+    from .operators import stories
+
+    return stories.dedupe_stories(generation_input(spark, sf), priority.generation_order()).select("id", "priority_score")
+
+
+def question_dedupe(spark, sf):
+    """Near-duplicates within one event."""
+    from .operators import stories
+
+    return stories.dedupe_questions(b.view(spark, sf, "questions")).select("question_id", "extracted_event_id")
+
+
+def capped_story_dedupe(spark, sf):
+    """Questions accepted over all stories, at most two each."""
+    from .operators import stories
+
+    return stories.accept_questions(b.view(spark, sf, "questions")).select("question_id", "extracted_event_id")
+
+
+def token_fingerprint(spark, sf):
+    from .operators import stories
+
+    return stories.token_fingerprint(b.table(spark, sf, "documents"), "doc_id", F.col("text"))

@@ -670,3 +670,107 @@ SELECT count(*) FILTER (status <> 'Expired') AS active_markets, printf('%.1f', a
 
 def category_counts() -> str:
     return f"{views(*MARKET_VIEWS)}, {MARKET_CTE} SELECT category, count(*) AS n FROM mk GROUP BY category"
+
+
+# ---- vectors ----------------------------------------------------------------------------------
+def vec_pairs(t_) -> str:
+    return f"""vp AS MATERIALIZED (SELECT a.vec_id AS a, z.vec_id AS b FROM embeddings a JOIN embeddings z ON a.vec_id < z.vec_id
+  WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(z.embedding AS DOUBLE[])) >= {t_})"""
+
+
+def vector_dedupe(t_=0.40) -> str:
+    """A scan in order that carries the list of kept ids."""
+    return f"""WITH RECURSIVE {vec_pairs(t_)},
+near AS MATERIALIZED (SELECT b, list(a) AS before FROM vp GROUP BY b),
+item AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings),
+scan AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS kept UNION ALL
+  SELECT i.rn, CASE WHEN len(list_intersect(s.kept, coalesce(n.before, []))) > 0 THEN s.kept ELSE list_append(s.kept, i.vec_id) END
+  FROM scan s JOIN item i ON i.rn = s.rn + 1 LEFT JOIN near n ON n.b = i.vec_id)
+SELECT unnest(kept) AS vec_id FROM (SELECT kept FROM scan ORDER BY rn DESC LIMIT 1)"""
+
+
+def vector_dedupe_strict() -> str:
+    return vector_dedupe(0.92)
+
+
+DBSCAN_CTE = f"""WITH RECURSIVE {vec_pairs(0.35)},
+nb AS MATERIALIZED (SELECT a, b FROM vp UNION ALL SELECT b, a FROM vp),
+core AS MATERIALIZED (SELECT vec_id AS v FROM embeddings LEFT JOIN nb ON nb.a = vec_id GROUP BY vec_id HAVING count(nb.b) + 1 >= 3),
+reach AS (SELECT v AS root, v FROM core UNION SELECT r.root, nb.b FROM reach r JOIN nb ON nb.a = r.v JOIN core ON core.v = nb.b),
+comp AS (SELECT v, min(root) AS root FROM reach GROUP BY v),
+lab AS (SELECT root, dense_rank() OVER (ORDER BY root) - 1 AS label FROM (SELECT DISTINCT root FROM comp)),
+cored AS (SELECT v, label FROM comp JOIN lab USING (root)),
+db AS (SELECT v AS vec_id, label FROM cored UNION ALL
+  SELECT nb.a, min(label) FROM nb JOIN cored ON cored.v = nb.b WHERE nb.a NOT IN (SELECT v FROM core) GROUP BY nb.a)"""
+
+
+def dbscan() -> str:
+    return f"{DBSCAN_CTE} SELECT vec_id, label FROM db"
+
+
+def dbscan_features() -> str:
+    return f"""{DBSCAN_CTE}, art AS ({b.check_sql('articles')}), m AS (SELECT label AS cluster_id, art.* FROM db JOIN art ON art.id = db.vec_id),
+coh AS (SELECT x.label AS cluster_id, avg(list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) AS c
+  FROM db x JOIN db y ON x.label = y.label AND x.vec_id < y.vec_id JOIN embeddings p ON p.vec_id = x.vec_id JOIN embeddings q ON q.vec_id = y.vec_id GROUP BY x.label)
+SELECT f.*, round(coalesce(c, 0), 4) AS coherence_score FROM (SELECT cluster_id, {feature_cols()} FROM m GROUP BY cluster_id) f LEFT JOIN coh USING (cluster_id) WHERE size >= 3"""
+
+
+# ---- stories ------------------------------------------------------------------------------------
+def fingerprint_cte(name, rel, key, text) -> str:
+    return f"""{name}_t AS (SELECT {key}, unnest(w) AS token, generate_subscripts(w, 1) AS ix FROM (SELECT {key}, {story_tokens(text)} AS w FROM {rel})),
+{name} AS (SELECT {key}, list(token ORDER BY token) AS tokens FROM (
+  SELECT {key}, token, row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, min(ix)) AS rk FROM {name}_t GROUP BY {key}, token) WHERE rk <= 14 GROUP BY {key})"""
+
+
+def token_fingerprint() -> str:
+    return f"WITH {fingerprint_cte('fp', 'documents', 'doc_id', 'text')} SELECT * FROM fp"
+
+
+def story_dedupe() -> str:
+    queue = event_priority_queue()
+    head, body = queue.split("SELECT id, priority_topic,", 1)
+    text = "event_summary || ' ' || market_angle || ' ' || outcome_variable || ' ' || event_type || ' ' || array_to_string(entities, ' ')"
+    inter = "CAST(len(list_intersect(a.tokens, z.tokens)) AS INTEGER)"
+    return f"""{head.rstrip().rstrip(',')}, pq AS (SELECT p.*, {body.split(' AS priority_score FROM p')[0]} AS priority_score FROM p),
+ord AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY priority_score DESC, weighted_mention_velocity DESC, mention_velocity DESC, confidence DESC, source_diversity DESC, recency, id) AS rn,
+  list_distinct({story_tokens("array_to_string(entities, ' ')")}) AS ents FROM pq),
+{fingerprint_cte('fp', 'ord', 'rn', text)},
+it AS MATERIALIZED (SELECT ord.rn, tokens, len(tokens) AS n, ents, lower(event_type) AS kind FROM ord JOIN fp USING (rn)),
+pr AS MATERIALIZED (SELECT ar AS a, zr AS b FROM (SELECT a.rn AS ar, z.rn AS zr, {inter} AS i, a.n AS an, z.n AS zn, a.kind = z.kind AS k, len(list_intersect(a.ents, z.ents)) AS e
+    FROM it a JOIN it z ON a.rn < z.rn)
+  WHERE i / CAST(an + zn - i AS DOUBLE) >= 0.42 OR (k AND e >= 2 AND (i / CAST(an + zn - i AS DOUBLE) >= 0.24 OR i / CAST(least(an, zn) AS DOUBLE) >= 0.42))
+    OR (i / CAST(least(an, zn) AS DOUBLE) >= 0.6 AND e >= 1) OR (k AND i / CAST(least(an, zn) AS DOUBLE) >= 0.75)),
+nr AS MATERIALIZED (SELECT b, list(a) AS before FROM pr GROUP BY b),
+scan AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS kept UNION ALL
+  SELECT o.rn, CASE WHEN len(list_intersect(s.kept, coalesce(nr.before, []))) > 0 THEN s.kept ELSE list_append(s.kept, o.rn) END
+  FROM scan s JOIN (SELECT rn FROM ord) o ON o.rn = s.rn + 1 LEFT JOIN nr ON nr.b = o.rn)
+SELECT id, priority_score FROM ord WHERE rn IN (SELECT unnest(kept) FROM (SELECT kept FROM scan ORDER BY rn DESC LIMIT 1))"""
+
+
+NEAR = "(i / CAST(an + zn - i AS DOUBLE) >= 0.66 OR i / CAST(least(an, zn) AS DOUBLE) >= 0.8)"
+
+
+def question_dedupe() -> str:
+    """Per event, a scan by id over its own pairs."""
+    return f"""{views('questions')},
+it AS MATERIALIZED (SELECT question_id AS q, extracted_event_id AS ev, question_type AS kind, {aliased('question_text')} AS norm, list_distinct({story_tokens('question_text')}) AS w FROM v_questions),
+pr AS MATERIALIZED (SELECT ev, a, b FROM (SELECT a.ev, a.q AS a, z.q AS b, CAST(len(list_intersect(a.w, z.w)) AS INTEGER) AS i, len(a.w) AS an, len(z.w) AS zn, a.kind = z.kind AS k, a.norm = z.norm AS same
+  FROM it a JOIN it z ON a.ev = z.ev AND a.q < z.q) WHERE same OR (k AND {NEAR})),
+nr AS MATERIALIZED (SELECT b, list(a) AS before FROM pr GROUP BY b),
+o AS MATERIALIZED (SELECT ev, q, coalesce(before, []) AS before, row_number() OVER (PARTITION BY ev ORDER BY q) AS rn FROM it LEFT JOIN nr ON b = q),
+scan AS (SELECT DISTINCT ev, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS kept FROM it UNION ALL
+  SELECT o.ev, o.rn, CASE WHEN len(list_intersect(s.kept, o.before)) > 0 THEN s.kept ELSE list_append(s.kept, o.q) END FROM scan s JOIN o ON o.ev = s.ev AND o.rn = s.rn + 1)
+SELECT question_id, extracted_event_id FROM v_questions WHERE question_id IN (SELECT unnest(kept) FROM (SELECT ev, arg_max(kept, rn) AS kept FROM scan GROUP BY ev))"""
+
+
+def capped_story_dedupe() -> str:
+    """A scan over all questions in order, carrying the accepted token sets and stories."""
+    return f"""{views('questions')},
+it AS MATERIALIZED (SELECT question_id AS q, extracted_event_id AS ev, list_sort(list_distinct({story_tokens('question_text')})) AS w FROM v_questions),
+st AS MATERIALIZED (SELECT w, row_number() OVER (ORDER BY w) AS g, len(w) AS n FROM (SELECT DISTINCT w FROM it)),
+nr AS MATERIALIZED (SELECT ag AS g, list(zg) AS near FROM (SELECT a.g AS ag, z.g AS zg, CAST(len(list_intersect(a.w, z.w)) AS INTEGER) AS i, a.n AS an, z.n AS zn FROM st a, st z WHERE a.n > 0 AND z.n > 0) WHERE {NEAR} GROUP BY ag),
+o AS MATERIALIZED (SELECT q, ev, st.g, near, row_number() OVER (ORDER BY q) AS rn FROM it JOIN st USING (w) JOIN nr USING (g)),
+scan AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS sets, CAST([] AS BIGINT[]) AS evs, CAST([] AS BIGINT[]) AS kept UNION ALL
+  SELECT rn, CASE WHEN ok THEN list_append(sets, g) ELSE sets END, CASE WHEN ok THEN list_append(evs, ev) ELSE evs END, CASE WHEN ok THEN list_append(kept, q) ELSE kept END
+  FROM (SELECT o.*, s.sets, s.evs, s.kept, len(list_intersect(s.sets, o.near)) = 0 AND len(list_filter(s.evs, lambda e: e = o.ev)) < 2 AS ok FROM scan s JOIN o ON o.rn = s.rn + 1))
+SELECT question_id, extracted_event_id FROM v_questions WHERE question_id IN (SELECT unnest(kept) FROM (SELECT kept FROM scan ORDER BY rn DESC LIMIT 1))"""
