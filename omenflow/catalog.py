@@ -410,3 +410,230 @@ def token_fingerprint(spark, sf):
     from .operators import stories
 
     return stories.token_fingerprint(b.table(spark, sf, "documents"), "doc_id", F.col("text"))
+
+
+# ---- feeds -----------------------------------------------------------------------------
+FEED_TIME = "2024-02-01 00:00:00"
+FEED_ORDER = ["rss", "gdelt", "reddit", "hackernews", "wikipedia", "federal_register", "congress", "sec_edgar", "bls", "fred",
+              "eia", "polymarket", "kalshi"]
+
+
+def raw_payloads(spark, sf):
+    """Every document landed as the payload of one of the 13 feeds (by id), whole text inside."""
+    d = b.table(spark, sf, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"[\s\p{Cntrl}]+", " ")).alias("text"), "source")
+    k, sid = F.col("doc_id"), F.col("doc_id").cast("string")
+    title = F.concat(F.lit("Item "), sid)
+    iso = F.date_format(F.timestamp_seconds(k * 60 + 1704067200), "yyyy-MM-dd'T'HH:mm:ss")
+    day = F.substring(iso, 1, 10)
+    esc = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    js, st, arr = F.to_json, F.struct, F.array
+    n = lambda c, name: c.alias(name)
+    body = [
+        F.concat(F.lit("<rss version=\"2.0\"><channel><title>Wire "), F.col("source"), F.lit(" - Top</title><item><title>"), title,
+                 F.lit("</title><description>"), esc, F.lit("</description><link>https://wire.example.com/"), sid, F.lit("</link><pubDate>"),
+                 F.date_format(F.timestamp_seconds(k * 60 + 1704067200), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item></channel></rss>")),
+        js(st(n(arr(st(n(F.col("text"), "title"), n(F.concat(F.lit("https://n.example.com/"), sid), "url"), n(F.col("source"), "domain"),
+                       n(F.date_format(F.timestamp_seconds(k * 60 + 1704067200), "yyyyMMdd'T'HHmmss'Z'"), "seendate"))), "articles"))),
+        js(st(n(st(n(arr(st(n(st(n(title, "title"), n(F.col("text"), "selftext"), n(F.concat(F.lit("/r/x/"), sid), "permalink"),
+                                   n((k * 60 + 1704067200).cast("double"), "created_utc")), "data"))), "children")), "data"))),
+        js(st(n(F.when(k % 2 == 0, "story").otherwise("job"), "type"), n(F.col("text"), "title"), n(F.lit(""), "url"), n(k * 60 + 1704067200, "time"))),
+        js(st(n(arr(st(n(arr(st(n(F.concat(F.lit("Page_"), sid), "article"), n(k * 37 % 50000, "views"))), "articles"))), "items"))),
+        js(st(n(arr(st(n(title, "title"), n(F.col("text"), "abstract"), n(day, "publication_date"), n(F.lit("Rule"), "type"),
+                       n(arr(st(n(F.lit("EPA"), "name")), st(n(F.lit(""), "name")), st(n(F.lit("SEC"), "name"))), "agencies"), n(F.lit("https://fr.example.com"), "html_url"))), "results"))),
+        js(st(n(arr(st(n(title, "title"), n(F.lit("HR"), "type"), n(sid, "number"), n(F.lit(118), "congress"), n(F.lit("https://bill.example.com"), "url"),
+                       n(st(n(F.col("text"), "text"), n(day, "actionDate")), "latestAction"))), "bills"))),
+        F.concat(F.lit("<feed xmlns=\"http://www.w3.org/2005/Atom\"><title>Filings</title><entry><title>"), title, F.lit("</title><summary>"), esc,
+                 F.lit("</summary><link href=\"https://sec.example.com/"), sid, F.lit("\"/><updated>"), iso, F.lit("-05:00</updated></entry></feed>")),
+        js(st(n(st(n(arr(st(n(F.lit("LNS14000000"), "seriesID"), n(arr(st(n(sid, "value"), n(F.lit("2024"), "year"), n(F.lit("May"), "periodName"))), "data"))), "series")), "Results"))),
+        js(st(n(arr(st(n(sid, "value"), n(day, "date"))), "observations"))),
+        js(st(n(st(n(arr(st(n(sid, "value"), n(day, "period"))), "data")), "response"))),
+        js(arr(st(n(F.col("text"), "question"), n(F.lit(""), "description"), n(F.concat(iso, F.lit("Z")), "endDate"), n(sid, "slug")))),
+        F.when(k % 3 == 0, "{broken").otherwise(
+            js(st(n(arr(st(n(title, "title"), n(F.col("text"), "subtitle"), n(F.lit("Politics"), "category"), n(sid, "ticker"), n(F.concat(iso, F.lit("Z")), "close_time"))), "markets")))),
+    ]
+    feed, payload = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+    for i, (name, p) in enumerate(zip(FEED_ORDER, body)):
+        feed, payload = feed.when(k % 13 == i, name), payload.when(k % 13 == i, p)
+    hint = F.when(feed == "fred", "UNRATE").when(feed == "eia", "OTHER").when(feed == "sec_edgar", "8-K")
+    return d.select(feed.alias("source"), F.lit(FEED_TIME).cast("timestamp").alias("received_at"), payload.alias("payload"), hint.alias("hint"))
+
+
+def feed_events(spark, sf):
+    from .sources.adapters import fan_in
+
+    return fan_in(raw_payloads(spark, sf))
+
+
+def feed_counts(spark, sf):
+    from .sources.adapters import feed_counts as counts
+
+    return counts(raw_payloads(spark, sf))
+
+
+def exact_dedupe(spark, sf):
+    """First document per content hash."""
+    from .sources.sinks import new_events
+
+    docs = b.table(spark, sf, "documents").select("doc_id", "source", text.content_hash("text").alias("content_hash"))
+    return new_events(docs, order=["doc_id"])
+
+
+def ingest_counts(spark, sf):
+    """Documents fetched, new and deduplicated per source."""
+    from .sources.sinks import ingest_counts as counts
+
+    docs = b.table(spark, sf, "documents").select(
+        "doc_id", "source", text.content_hash("text").alias("content_hash"), F.col("doc_id").alias("timestamp"),
+        F.lit("").alias("title"), F.lit("").alias("url"),
+    )
+    return counts(docs)
+
+
+def windowed_velocity(spark, sf):
+    from .streaming.incremental import windowed_velocity as velocity
+
+    events = b.table(spark, sf, "events").select(F.col("ts").alias("timestamp"), F.col("event_type").alias("source"), "user_id")
+    return velocity(events, "6 hours").select("window_start", "source", "mentions", "weighted_mentions", "users")
+
+
+# ---- text and URL scans ------------------------------------------------------------------
+def url_parts(spark, sf):
+    url = urls.first_url("url")
+    return b.table(spark, sf, "pages").select(
+        "page_id", url.alias("link"), urls.url_host(url).alias("host"), urls.url_path(url).alias("path"),
+        urls.is_homepage("url").alias("homepage"), urls.is_trusted("url").alias("trusted"),
+        urls.resolution_strength("url").alias("strength"), urls.source_label("url").alias("label"),
+    )
+
+
+def pii_scan(spark, sf):
+    return b.table(spark, sf, "documents").select("doc_id", text.has_pii("text").alias("pii"))
+
+
+def garbled_scan(spark, sf):
+    return b.table(spark, sf, "documents").select(
+        "doc_id", text.is_garbled("text").alias("garbled"), text.has_blocked_term("text").alias("blocked")
+    )
+
+
+def display_values(spark, sf):
+    s = "total_score"
+    return b.view(spark, sf, "scored").select(
+        "question_id", numeric.score_band(s).alias("band"), numeric.percent_text(s).alias("pct"), numeric.score_text(s).alias("points"),
+        numeric.days_bucket(F.col("question_id").cast("int") % 40 - 3).alias("chip"),
+    )
+
+
+# ---- inference tables ----------------------------------------------------------------------
+def event_responses(spark, sf):
+    """A response text per extracted event, as a model might send it: fenced, broken, incomplete or good."""
+    k = F.col("id") % 10
+    e = b.view(spark, sf, "extracted")
+    fields = [
+        F.when(k == 6, "short").otherwise(F.col("event_summary")).alias("event_summary"),
+        F.when(k == 7, F.array().cast("array<string>")).otherwise(F.col("entities")).alias("entities"),
+        F.when(k == 2, "gossip").otherwise(F.col("event_type")).alias("event_type"),
+        F.concat(F.lit("the "), "outcome_variable").alias("outcome_variable"),
+        "candidate_deadlines", "resolution_sources", "tradability", "rejection_reason",
+        F.when(k == 3, 1.5).otherwise(F.col("confidence")).alias("confidence"), "market_angle", "contradiction_flag", "contradiction_details",
+        F.when(k != 1, F.col("time_horizon")).alias("time_horizon"), "resolution_hints",
+        F.when(k == 4, "extra").alias("note"),
+    ]
+    json = F.to_json(F.struct(*fields))
+    text_ = F.when(k == 0, F.concat(F.lit("```json\n"), json, F.lit("\n```"))).when(k == 5, F.concat(json, F.lit(" trailing"))).otherwise(json)
+    return e.select("id", F.concat(F.lit("prompt "), F.col("id").cast("string")).alias("prompt"), text_.alias("response"))
+
+
+def event_contract(spark, sf):
+    from .operators.responses import event_contract as contract
+
+    return contract(event_responses(spark, sf)).select("id", "error")
+
+
+def event_response_rows(spark, sf):
+    from .operators import responses
+
+    return responses.event_rows(responses.event_contract(event_responses(spark, sf))).select(
+        "id", "event_summary", "entities", "event_type", "outcome_variable", "tradability", "confidence", "contradiction_flag", "resolution_hints"
+    )
+
+
+def event_retries(spark, sf):
+    from .operators import responses
+
+    return responses.retry_set(responses.event_contract(event_responses(spark, sf)), 0).select("id", "prompt")
+
+
+def question_responses(spark, sf):
+    q = b.view(spark, sf, "questions")
+    item = F.struct(
+        "question_text", "category", "question_type", "options", "deadline", "deadline_source", "resolution_source", "resolution_criteria",
+        "rationale", "resolution_confidence", F.lit("needs checking").alias("resolution_confidence_reason"), "source_independence",
+        "timing_reliability", "already_resolved",
+    )
+    return q.select("question_id", F.to_json(F.struct(F.array(item).alias("questions"))).alias("response"))
+
+
+def question_contract(spark, sf):
+    from .operators.responses import question_contract as contract
+
+    return contract(question_responses(spark, sf), "question_id").select("question_id", "error")
+
+
+def question_response_rows(spark, sf):
+    from .operators import responses
+
+    rows = responses.question_rows(responses.question_contract(question_responses(spark, sf), "question_id"))
+    return rows.select("question_id", "item", "question_text", "category", "options", "deadline", "resolution_confidence")
+
+
+def extraction_prompts(spark, sf):
+    from .operators import prompts
+
+    members = b.view(spark, sf, "labelled_members")
+    features = clusters.cluster_features(members, ETIME)
+    return prompts.extraction_prompts(members, features)
+
+
+def generation_prompts(spark, sf):
+    from .operators import prompts
+
+    return prompts.generation_prompts(b.view(spark, sf, "extracted"), QDAY)
+
+
+def repair_prompts(spark, sf):
+    """Failed, repairable questions without a repair, joined to their event."""
+    from .operators import prompts
+
+    failed = repair_rows(spark, sf).where(~F.col("has_repair_child") & gate.is_salvageable("validation_flags"))
+    events = b.view(spark, sf, "extracted").select(
+        F.col("id").alias("extracted_event_id"), "event_summary", "entities", "time_horizon", "candidate_deadlines", "resolution_sources", "market_angle"
+    )
+    return prompts.repair_prompts(failed.join(events, "extracted_event_id"), QDAY)
+
+
+QUERIES = [
+    # text, dates, URLs
+    deadline_parse, deadline_repair, url_parts, pii_scan, garbled_scan, token_fingerprint, display_values,
+    # feeds and storage
+    feed_events, feed_counts, exact_dedupe, ingest_counts, windowed_velocity,
+    # clusters and priorities
+    cluster_features, cluster_coherence, cluster_priority_topk, priority_tiered, event_priority_queue, event_priority_tiered,
+    # similarity
+    vector_dedupe, vector_dedupe_strict, dbscan, dbscan_features, story_dedupe, question_dedupe, capped_story_dedupe,
+    novelty, near_duplicate_theme,
+    # gate, admission, scoring
+    gate_flags, gate_summary, salvage_flags, admission_errors, soft_flags, scored_rank, top_questions,
+    # inference tables
+    event_contract, event_response_rows, event_retries, question_contract, question_response_rows,
+    extraction_prompts, generation_prompts, repair_prompts,
+    # pending work, dashboards, run log
+    pending_anti, pending_not_in, pending_not_in_null, dashboard_queue, filtered_queue, status_stats, repair_queue, repair_children,
+    review_latest, run_stages, run_progress,
+    # discovery
+    discovery_markets, discovery_filter, topic_rollup, trend_topk, topic_notes, summary_metrics, category_counts,
+]
+NAMED = {f.__name__: f for f in QUERIES} | {
+    "discovery_newest": discovery_newest, "discovery_ending": discovery_ending, "discovery_emerging": discovery_emerging,
+    "discovery_highest": discovery_highest,
+}

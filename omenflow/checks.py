@@ -774,3 +774,192 @@ scan AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS sets, CAST([] A
   SELECT rn, CASE WHEN ok THEN list_append(sets, g) ELSE sets END, CASE WHEN ok THEN list_append(evs, ev) ELSE evs END, CASE WHEN ok THEN list_append(kept, q) ELSE kept END
   FROM (SELECT o.*, s.sets, s.evs, s.kept, len(list_intersect(s.sets, o.near)) = 0 AND len(list_filter(s.evs, lambda e: e = o.ev)) < 2 AS ok FROM scan s JOIN o ON o.rn = s.rn + 1))
 SELECT question_id, extracted_event_id FROM v_questions WHERE question_id IN (SELECT unnest(kept) FROM (SELECT kept FROM scan ORDER BY rn DESC LIMIT 1))"""
+
+
+# ---- feeds ----------------------------------------------------------------------------------------
+# what the feed payloads hold, stated as events: (feed, title, content, source, type, url, entities, hash text, role, time, condition)
+def feed_rows() -> str:
+    at, day, noon = "base", "date_trunc('day', base)", "TIMESTAMP '2024-02-01 00:00:00'"
+    title = "'Item ' || doc_id"
+    specs = [
+        ("rss", title, f"{title} || '. ' || body", "'wire_' || source", "rss", "'https://wire.example.com/' || doc_id", "''", None, "discovery", at, "true"),
+        ("gdelt", "body", "body", "source", "gdelt", "'https://n.example.com/' || doc_id", "''", None, "discovery", at, "true"),
+        ("reddit", title, f"{title} || '. ' || substring(body, 1, 500)", "'reddit'", "social", "'https://reddit.com/r/x/' || doc_id", "''", None, "attention", at, "true"),
+        ("hackernews", "body", "body", "'hackernews'", "social", "''", "''", None, "attention", at, "doc_id % 2 = 0"),
+        ("wikipedia", "'Page ' || doc_id", "'Wikipedia attention spike: Page ' || doc_id || ' received ' || format('{:,}', doc_id * 37 % 50000) || ' pageviews'", "'wikipedia'", "social",
+         "'https://en.wikipedia.org/wiki/Page_' || doc_id", "''", "'wiki-Page ' || doc_id || '-2024/01/31'", "attention", f"{noon} - INTERVAL 1 DAY", "doc_id * 37 % 50000 >= 10000"),
+        ("federal_register", title, f"'[Rule] ' || {title} || '. ' || substring(body, 1, 500) || ' (Agencies: EPA, SEC)'", "'federal_register'", "official", "'https://fr.example.com'", "'EPA, SEC'", None, "resolution", day, "true"),
+        ("congress", title, f"'[HR' || doc_id || ', 118th Congress] ' || {title} || '. Latest action: ' || body", "'congress'", "official", "'https://bill.example.com'", "''", None, "resolution", day, "true"),
+        ("sec_edgar", title, f"'[SEC 8-K] ' || {title} || '. ' || substring(body, 1, 500)", "'sec_edgar'", "official", "'https://sec.example.com/' || doc_id", "''", None, "resolution", at, "true"),
+        ("bls", "'Unemployment Rate — May 2024'", "'BLS Unemployment Rate: ' || doc_id || ' (May 2024)'", "'bls'", "official", "'https://data.bls.gov/timeseries/LNS14000000'", "''", "'bls-LNS14000000-2024-May'", "resolution", noon, "true"),
+        ("fred", f"'Unemployment Rate — ' || strftime({day}, '%Y-%m-%d')", f"'FRED Unemployment Rate: ' || doc_id || ' (as of ' || strftime({day}, '%Y-%m-%d') || ')'", "'fred'", "official",
+         "'https://fred.stlouisfed.org/series/UNRATE'", "''", f"'fred-UNRATE-' || strftime({day}, '%Y-%m-%d')", "resolution", day, "true"),
+        ("eia", f"'OTHER — ' || strftime({day}, '%Y-%m-%d')", f"'EIA OTHER: ' || doc_id || ' (period: ' || strftime({day}, '%Y-%m-%d') || ')'", "'eia'", "official",
+         "'https://www.eia.gov/opendata/browser/?id=OTHER'", "''", f"'eia-OTHER-' || strftime({day}, '%Y-%m-%d')", "resolution", day, "true"),
+        ("polymarket", "body", "body", "'polymarket'", "market", "'https://polymarket.com/event/' || doc_id", "''", None, "benchmark", at, "true"),
+        ("kalshi", title, f"{title} || '. ' || body || ' [Category: Politics]'", "'kalshi'", "market", "'https://kalshi.com/markets/' || doc_id", "''", None, "benchmark", at, "doc_id % 3 <> 0"),
+    ]
+    parts = [
+        f"SELECT '{feed}' AS feed, {ti} AS title, {co} AS content, {so} AS source, '{ty}' AS source_type, {u} AS url, {en} AS entities, "
+        f"sha256(lower(trim({ha or co}))) AS content_hash, '{ro}' AS signal_role, CAST({when} AS TIMESTAMP) AS timestamp FROM docs WHERE doc_id % 13 = {i} AND {cond}"
+        for i, (feed, ti, co, so, ty, u, en, ha, ro, when, cond) in enumerate(specs)
+    ]
+    return rf"""WITH docs AS (SELECT doc_id, source, trim(regexp_replace(text, '[\s\x0b\x00-\x1f\x7f]+', ' ', 'g')) AS body, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS base FROM documents),
+fe AS ({' UNION ALL '.join(parts)})"""
+
+
+def feed_events() -> str:
+    return f"{feed_rows()} SELECT * FROM fe"
+
+
+def feed_counts() -> str:
+    names = "['rss','gdelt','reddit','hackernews','wikipedia','federal_register','congress','sec_edgar','bls','fred','eia','polymarket','kalshi']"
+    return f"""{feed_rows()}, p AS (SELECT {names}[doc_id % 13 + 1] AS feed, count(*) AS payloads, count(*) FILTER (doc_id % 13 = 12 AND doc_id % 3 = 0) AS rejected FROM documents GROUP BY 1)
+SELECT p.feed, payloads, rejected, coalesce(events, 0) AS events FROM p LEFT JOIN (SELECT feed, count(*) AS events FROM fe GROUP BY feed) USING (feed)"""
+
+
+DOC_HASH = r"sha256(lower(regexp_replace(regexp_replace(text, '^[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ''), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '')))"
+
+
+def exact_dedupe() -> str:
+    return f"""SELECT doc_id, source, content_hash FROM (SELECT doc_id, source, {DOC_HASH} AS content_hash, row_number() OVER (PARTITION BY {DOC_HASH} ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1"""
+
+
+def ingest_counts() -> str:
+    return f"""WITH h AS (SELECT doc_id, source, row_number() OVER (PARTITION BY {DOC_HASH} ORDER BY doc_id) AS rn FROM documents)
+SELECT source, count(*) AS fetched, count(*) FILTER (rn = 1) AS new, count(*) FILTER (rn > 1) AS deduplicated FROM h GROUP BY source"""
+
+
+def windowed_velocity() -> str:
+    return f"""SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS window_start, event_type AS source, count(*) AS mentions,
+  sum({in_map('event_type', t.SOURCE_WEIGHTS, t.DEFAULT_SOURCE_WEIGHT)}) AS weighted_mentions, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2"""
+
+
+# ---- text and URL scans -------------------------------------------------------------------------------
+def url_parts() -> str:
+    home = homepage("u.url", "bare")
+    return f"""WITH u AS (SELECT page_id, pages.url AS raw, {url_cols('pages.url')} FROM pages), w AS (SELECT *, regexp_replace(path, '^/+|/+$', '', 'g') AS bare FROM u)
+SELECT page_id, u.url AS link, host, path, {home} AS homepage, {any_of('lower(raw)', t.TRUSTED_DOMAINS)} AS trusted,
+  CASE WHEN {home} THEN {D(.2)} WHEN {any_of('lower(host)', t.STRONG_HOSTS)} THEN {D(1)} WHEN {any_of('lower(path)', t.STRONG_PATHS)} THEN {D(1)}
+    WHEN {one_of('lower(host)', t.WEAK_NEWS_HOSTS)} THEN {D(.2)} WHEN {any_of(plain('raw'), t.WEAK_SOURCE_TEXT)} THEN {D(.2)} ELSE {D(.6)} END AS strength,
+  CASE WHEN u.url <> '' THEN replace(host, 'www.', '') WHEN length(trim(raw)) > 55 THEN substring(trim(raw), 1, 55) || '...' ELSE trim(raw) END AS label FROM w u"""
+
+
+def pii_scan() -> str:
+    # word boundaries written out, as letters of every script count as word characters
+    lead, tail = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+    pats = [lead + r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}" + tail, lead + r"\d{3}[-.\s]?\d{3}[-.\s]?\d{4}" + tail, lead + r"\d{3}-\d{2}-\d{4}" + tail]
+    return f"SELECT doc_id, {rx_any('text', pats)} AS pii FROM documents"
+
+
+def garbled_scan() -> str:
+    blocked_ = rx("lower(text)", r"(?:^|[^\p{L}\p{N}_])(?:" + esc(t.BLOCKED_TERMS) + ")")
+    return f"SELECT doc_id, {garbled('text')} AS garbled, {blocked_} AS blocked FROM documents"
+
+
+def display_values() -> str:
+    d = "question_id % 40 - 3"
+    return f"""{views('scored')} SELECT question_id, CASE WHEN total_score >= 0.75 THEN 'high' WHEN total_score >= 0.55 THEN 'good' WHEN total_score >= 0.4 THEN 'fair' ELSE 'low' END AS band,
+  CAST(round_even(total_score * 100, 0) AS INT) || '%' AS pct, CAST(CAST(round_even(total_score * 100, 0) AS INT) AS VARCHAR) AS points,
+  CASE WHEN {d} < 0 THEN 'Expired' WHEN {d} = 0 THEN 'Today' ELSE ({d}) || 'd left' END AS chip FROM v_scored"""
+
+
+# ---- inference tables -----------------------------------------------------------------------------------
+EVENT_ERROR = """CASE id % 10 WHEN 1 THEN 'missing: time_horizon' WHEN 2 THEN 'not allowed: event_type' WHEN 3 THEN 'out of range: confidence'
+  WHEN 4 THEN 'extra keys: note' WHEN 5 THEN 'not a JSON object' WHEN 6 THEN 'too short: event_summary' WHEN 7 THEN 'too few: entities' END"""
+
+
+def event_contract() -> str:
+    return f"{views('extracted')} SELECT id, {EVENT_ERROR} AS error FROM v_extracted"
+
+
+def event_response_rows() -> str:
+    return f"""{views('extracted')} SELECT id, event_summary, entities, event_type, 'the ' || outcome_variable AS outcome_variable, tradability, confidence,
+  contradiction_flag, resolution_hints FROM v_extracted WHERE {EVENT_ERROR} IS NULL"""
+
+
+def event_retries() -> str:
+    return f"""{views('extracted')} SELECT id, 'Your previous response had a validation error:' || chr(10) || {EVENT_ERROR} || chr(10) || chr(10)
+  || 'Please fix the JSON and respond again. Original request:' || chr(10) || chr(10) || 'prompt ' || id AS prompt FROM v_extracted WHERE {EVENT_ERROR} IS NOT NULL"""
+
+
+def question_error() -> str:
+    checks = []
+    for name, (low, high) in t.QUESTION_STRING_FIELDS.items():
+        if name == "resolution_confidence_reason":
+            continue
+        checks.append(f"CASE WHEN length({name}) < {low} THEN 'too short: {name}' END")
+        if high is not None:
+            checks.append(f"CASE WHEN length({name}) > {high} THEN 'too long: {name}' END")
+    checks.append("CASE WHEN len(options) < 2 THEN 'too few: options' WHEN len(options) > 5 THEN 'too many: options' END")
+    return f"coalesce({', '.join(checks)})"
+
+
+def question_contract() -> str:
+    return f"{views('questions')} SELECT question_id, {question_error()} AS error FROM v_questions"
+
+
+def question_response_rows() -> str:
+    return f"""{views('questions')} SELECT question_id, CAST(0 AS INT) AS item, question_text, category, options, deadline, resolution_confidence FROM v_questions
+WHERE {question_error()} IS NULL"""
+
+
+NL = "chr(10)"
+
+
+def extraction_prompts() -> str:
+    from .operators.prompts import EXTRACTION_HEAD, EXTRACTION_TAIL
+
+    head, tail = [f"replace({L(x)}, '@', {NL})" for x in (EXTRACTION_HEAD.replace("\n", "@"), EXTRACTION_TAIL.replace("\n", "@"))]
+    return f"""{views('labelled_members')}, m AS (SELECT * FROM v_labelled_members),
+r AS (SELECT cluster_id, string_agg(signal_role || ': ' || n, ', ' ORDER BY signal_role) AS mix FROM (SELECT cluster_id, signal_role, count(*) AS n FROM m GROUP BY ALL) GROUP BY cluster_id),
+f AS (SELECT cluster_id, {feature_cols()} FROM m GROUP BY cluster_id),
+h AS (SELECT cluster_id, string_agg('- ' || content, {NL} ORDER BY rn) AS bullets FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY timestamp DESC, id) AS rn FROM m) WHERE rn <= 20 GROUP BY cluster_id),
+s AS (SELECT cluster_id, string_agg(source, ', ' ORDER BY source) AS sources FROM (SELECT DISTINCT cluster_id, source FROM m) GROUP BY cluster_id)
+SELECT f.cluster_id, replace({head}, '{{n}}', CAST(size AS VARCHAR)) || bullets || {NL} || {NL} || 'Sources: ' || sources || {NL} || {NL} || 'Cluster Metadata:' || {NL}
+  || '- Mention velocity: ' || printf('%.2f', mention_velocity) || ' events/hour' || {NL} || '- Source diversity: ' || source_diversity || ' unique sources' || {NL}
+  || '- Recency: ' || printf('%.1f', recency) || ' hours since latest item' || {NL} || '- Source role mix: ' || mix
+  || {NL} || '- Weighted velocity (official sources count more): ' || printf('%.2f', weighted_mention_velocity) || {tail} AS prompt
+FROM f JOIN r USING (cluster_id) JOIN h USING (cluster_id) JOIN s USING (cluster_id) WHERE size >= 3"""
+
+
+def section(title, x) -> str:
+    return f"{L(title + ':')} || {NL} || {x}"
+
+
+def stacked(*parts) -> str:
+    return f" || {NL} || {NL} || ".join(f"({p})" for p in parts)
+
+
+def generation_prompts() -> str:
+    from .operators.prompts import ELECTION_CATEGORY, ELECTION_SOURCE, GEOPOLITICS_SOURCE
+
+    lines = ", ".join([
+        "'Event type: ' || event_type", f"CASE WHEN event_type = 'election' THEN {L(ELECTION_CATEGORY)} END", f"CASE WHEN event_type = 'election' THEN {L(ELECTION_SOURCE)} END",
+        f"CASE WHEN event_type = 'geopolitics' THEN {L(GEOPOLITICS_SOURCE)} END", "'Outcome variable: ' || outcome_variable",
+        "'Candidate deadlines: ' || array_to_string(candidate_deadlines, ', ')", "'Authoritative resolution sources (from FR3): ' || array_to_string(resolution_sources, ', ')",
+        "'Market angle: ' || market_angle",
+        "CASE WHEN confidence < 0.5 THEN 'Note: FR3 extraction confidence was low (' || printf('%.2f', confidence) || ') — apply extra scrutiny' END",
+        "CASE WHEN contradiction_flag THEN 'Note: FR3 detected conflicting signals in source cluster — ' || contradiction_details END",
+    ])
+    body = stacked(
+        section("TODAY'S DATE", L(b.AS_OF_QUESTIONS)), section("EVENT SUMMARY", "event_summary"), section("KEY ENTITIES", "array_to_string(entities, ', ')"),
+        section("EXPECTED TIME HORIZON", "time_horizon"), section("FR3 STRUCTURED CONTEXT (use these fields to craft precise, well-sourced questions)", f"concat_ws({NL}, {lines})"),
+        section("RESOLUTION HINTS (observable outcomes that could resolve this event)", f"'- ' || array_to_string(resolution_hints, {NL} || '- ')"),
+    )
+    return f"{views('extracted')} SELECT id, {body} AS prompt FROM v_extracted WHERE tradability <> 'unsuitable'"
+
+
+def repair_prompts() -> str:
+    body = stacked(
+        section("TODAY'S DATE", L(b.AS_OF_QUESTIONS)), section("ORIGINAL QUESTION", "question_text"), section("ORIGINAL TYPE", "question_type"),
+        section("ORIGINAL OPTIONS", "'[''' || array_to_string(options, ''', ''') || ''']'"), section("ORIGINAL DEADLINE", "deadline"),
+        section("ORIGINAL DEADLINE SOURCE", "deadline_source"), section("ORIGINAL RESOLUTION SOURCE", "resolution_source"),
+        section("ORIGINAL RESOLUTION CRITERIA", "resolution_criteria"), section("VALIDATION FLAGS TO FIX", "array_to_string(flags, ', ')"),
+        section("EVENT SUMMARY", "event_summary"), section("KEY ENTITIES", "array_to_string(entities, ', ')"), section("EXPECTED TIME HORIZON", "time_horizon"),
+        section("CANDIDATE DEADLINES FROM FR3", "array_to_string(candidate_deadlines, ', ')"),
+        section("AUTHORITATIVE RESOLUTION SOURCES FROM FR3", "array_to_string(resolution_sources, ', ')"), section("MARKET ANGLE", "market_angle"),
+    )
+    return f"""{views('questions', 'validation', 'extracted')} SELECT q.question_id, {body} AS prompt
+FROM v_questions q JOIN v_validation v USING (question_id) JOIN v_extracted e ON e.id = q.extracted_event_id
+WHERE NOT is_valid AND {salvageable('flags')} AND NOT EXISTS (SELECT 1 FROM v_questions k WHERE k.repair_parent_question_id = q.question_id)"""
