@@ -219,11 +219,20 @@ VIEWS = {
     "review": review, "scored": scored,
 }
 SPARK, CHECK = Dialect("spark"), Dialect("duckdb")
+SPREAD = ["orders", "documents"]  # much work per row follows
 TABLES = ["nation", "customer", "part", "orders", "documents", "embeddings"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that is read as fewer partitions than there are cores is spread out first.
+
+    Large inputs come in many partitions and are left as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -577,13 +577,13 @@ def question_responses(spark, sf):
 def question_contract(spark, sf):
     from .operators.responses import question_contract as contract
 
-    return contract(question_responses(spark, sf), "question_id").select("question_id", "error")
+    return contract(question_responses(spark, sf)).select("question_id", "error")
 
 
 def question_response_rows(spark, sf):
     from .operators import responses
 
-    rows = responses.question_rows(responses.question_contract(question_responses(spark, sf), "question_id"))
+    rows = responses.question_rows(responses.question_contract(question_responses(spark, sf)))
     return rows.select("question_id", "item", "question_text", "category", "options", "deadline", "resolution_confidence")
 
 

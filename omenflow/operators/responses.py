@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import terms as t
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 EVENT_SCHEMA = (
     "event_summary STRING, entities ARRAY<STRING>, event_type STRING, outcome_variable STRING, candidate_deadlines ARRAY<STRING>, "
@@ -59,45 +59,55 @@ def unfenced(c) -> Column:
 
 
 
-def _type_of(root: str, name: str) -> Column:
-    """Type of a JSON member; null when it is absent."""
+def _member(root, name: str, as_type: str) -> Column:
+    """Type and value of a JSON member, read once; the type is null when it is absent."""
+    return F.struct(
+        F.schema_of_variant(F.variant_get(root, f"$.{name}", "variant")).alias("kind"),
+        F.try_variant_get(root, f"$.{name}", as_type).alias("value"),
+    )
+
+
+def _type_of(root, name: str) -> Column:
     return F.schema_of_variant(F.variant_get(root, f"$.{name}", "variant"))
 
 
-def _string_errors(root: str, name: str, low: int, high: int | None) -> list[Column]:
-    kind, value = _type_of(root, name), F.try_variant_get(root, f"$.{name}", "string")
-    out = [F.when(kind.isNull(), F.lit(f"missing: {name}")).when(kind != "STRING", F.lit(f"type: {name}"))
-           .when(F.length(value) < low, F.lit(f"too short: {name}"))]
-    if high is not None:
-        out.append(F.when((kind == "STRING") & (F.length(value) > high), F.lit(f"too long: {name}")))
-    return out
+def _string_error(root, name: str, low: int, high: int | None) -> Column:
+    def check(m):
+        out = (F.when(m["kind"].isNull(), F.lit(f"missing: {name}")).when(m["kind"] != "STRING", F.lit(f"type: {name}"))
+               .when(F.length(m["value"]) < low, F.lit(f"too short: {name}")))
+        return out if high is None else out.when(F.length(m["value"]) > high, F.lit(f"too long: {name}"))
 
+    return let(_member(root, name, "string"), check)
 
-def _enum_error(root: str, name: str, values: list[str]) -> Column:
-    value = F.try_variant_get(root, f"$.{name}", "string")
-    return F.when(value.isNotNull() & ~value.isin(values), F.lit(f"not allowed: {name}"))
 
+def _enum_error(root, name: str, values: list[str]) -> Column:
+    return F.when(~F.try_variant_get(root, f"$.{name}", "string").isin(values), F.lit(f"not allowed: {name}"))
 
-def _number_error(root: str, name: str) -> Column:
-    kind, value = _type_of(root, name), F.try_variant_get(root, f"$.{name}", "double")
-    numeric = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
-    return (F.when(kind.isNull(), F.lit(f"missing: {name}")).when(~numeric, F.lit(f"type: {name}"))
-            .when(~value.between(0.0, 1.0), F.lit(f"out of range: {name}")))
 
+def _number_error(root, name: str) -> Column:
+    numeric = "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
+    return let(_member(root, name, "double"), lambda m: (
+        F.when(m["kind"].isNull(), F.lit(f"missing: {name}")).when(~m["kind"].rlike(numeric), F.lit(f"type: {name}"))
+        .when(~m["value"].between(0.0, 1.0), F.lit(f"out of range: {name}"))))
 
-def _flag_error(root: str, name: str) -> Column:
-    kind = _type_of(root, name)
-    return F.when(kind.isNull(), F.lit(f"missing: {name}")).when(kind != "BOOLEAN", F.lit(f"type: {name}"))
 
+def _flag_error(root, name: str) -> Column:
+    return let(_type_of(root, name), lambda k: F.when(k.isNull(), F.lit(f"missing: {name}")).when(k != "BOOLEAN", F.lit(f"type: {name}")))
 
-def _list_error(root: str, name: str, low: int, high: int | None, required: bool) -> Column:
-    """A list of strings with bounded length."""
-    kind = _type_of(root, name)
-    items = F.try_variant_get(root, f"$.{name}", "array<string>")
-    out = F.when(kind.isNull(), F.lit(f"missing: {name}") if required else F.lit(None).cast("string"))
-    out = out.when(~kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(f"type: {name}"))
-    out = out.when(F.size(items) < low, F.lit(f"too few: {name}"))
-    return out if high is None else out.when(F.size(items) > high, F.lit(f"too many: {name}"))
+
+def _list_error(root, name: str, low: int, high: int | None, required: bool, item: tuple[int, int] | None = None) -> Column:
+    """A list of strings with bounded length, and items of bounded length."""
+    def check(m):
+        out = F.when(m["kind"].isNull(), F.lit(f"missing: {name}") if required else F.lit(None).cast("string"))
+        out = out.when(~m["kind"].isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(f"type: {name}"))
+        out = out.when(F.size(m["value"]) < low, F.lit(f"too few: {name}"))
+        if high is not None:
+            out = out.when(F.size(m["value"]) > high, F.lit(f"too many: {name}"))
+        if item is not None:
+            out = out.when(F.exists(m["value"], lambda o: ~F.length(o).between(*item)), F.lit(f"item length: {name}"))
+        return out
+
+    return let(_member(root, name, "array<string>"), check)
 
 
 def _extra_error(json: Column, allowed: list[str]) -> Column:
@@ -128,7 +138,7 @@ def event_contract(responses: DataFrame) -> DataFrame:
     """Check event responses; `error` is null for those that meet the contract."""
     checks = [F.col("error")]
     for name, (low, high) in t.EVENT_STRING_FIELDS.items():
-        checks += _string_errors("v", name, low, high)
+        checks.append(_string_error("v", name, low, high))
     checks += [_enum_error("v", "event_type", t.EVENT_TYPES), _enum_error("v", "tradability", ["suitable", "unsuitable"])]
     checks += [_list_error("v", n, low, None, req) for n, (low, req) in t.EVENT_LIST_FIELDS.items()]
     checks += [_number_error("v", "confidence"), _flag_error("v", "contradiction_flag")]
@@ -154,34 +164,25 @@ def event_rows(checked: DataFrame) -> DataFrame:
     )
 
 
-def question_contract(responses: DataFrame, key: str) -> DataFrame:
+def question_contract(responses: DataFrame) -> DataFrame:
     """Check question responses: a list of 1 to 5 items, each within its bounds."""
-    df = parse(responses)
-    items = F.try_variant_get("v", "$.questions", "array<variant>")
-    df = df.withColumn("items", items)
+    def item_error(q):
+        checks = [F.when(~F.schema_of_variant(q).startswith("OBJECT"), F.lit("type: question"))]
+        checks += [_string_error(q, name, low, high) for name, (low, high) in t.QUESTION_STRING_FIELDS.items()]
+        checks += [_enum_error(q, "category", t.QUESTION_CATEGORIES), _enum_error(q, "question_type", t.QUESTION_TYPES)]
+        checks.append(_list_error(q, "options", 2, 5, True, (1, 200)))
+        checks += [_number_error(q, n) for n in t.QUESTION_NUMBER_FIELDS] + [_flag_error(q, "already_resolved")]
+        allowed = [*t.QUESTION_STRING_FIELDS, "options", *t.QUESTION_NUMBER_FIELDS, "already_resolved"]
+        return _first([*checks, _extra_error(F.to_json(q), allowed)])
+
+    df = parse(responses).withColumn("items", F.try_variant_get("v", "$.questions", "array<variant>"))
     outer = _first([
         F.col("error"), F.when(_type_of("v", "questions").isNull(), F.lit("missing: questions")),
         F.when(F.col("items").isNull(), F.lit("type: questions")), F.when(F.size("items") < 1, F.lit("too few: questions")),
         F.when(F.size("items") > 5, F.lit("too many: questions")), _extra_error(F.col("json"), ["questions"]),
     ])
-    df = df.withColumn("error", outer)
-    checks = []
-    for name, (low, high) in t.QUESTION_STRING_FIELDS.items():
-        checks += _string_errors("q", name, low, high)
-    checks += [_enum_error("q", "category", t.QUESTION_CATEGORIES), _enum_error("q", "question_type", t.QUESTION_TYPES)]
-    options = F.try_variant_get("q", "$.options", "array<string>")
-    checks += [_list_error("q", "options", 2, 5, True),
-               F.when(F.exists(options, lambda o: ~F.length(o).between(1, 200)), F.lit("option length"))]
-    checks += [_number_error("q", n) for n in t.QUESTION_NUMBER_FIELDS] + [_flag_error("q", "already_resolved")]
-    allowed = [*t.QUESTION_STRING_FIELDS, "options", *t.QUESTION_NUMBER_FIELDS, "already_resolved"]
-    checks.append(_extra_error(F.to_json("q"), allowed))
-    not_object = F.when(~F.schema_of_variant("q").startswith("OBJECT"), F.lit("type: question"))
-    inner = (
-        df.where(F.col("error").isNull()).select(key, F.posexplode("items").alias("at", "q"))
-        .select(key, "at", _first([not_object, *checks]).alias("e")).where(F.col("e").isNotNull())
-        .groupBy(key).agg(F.min_by("e", "at").alias("inner_error"))
-    )
-    return df.join(inner, key, "left").withColumn("error", F.coalesce("error", "inner_error")).drop("v", "items", "inner_error")
+    worst = F.try_element_at(F.array_compact(F.transform("items", item_error)), F.lit(1))
+    return df.withColumn("error", F.coalesce(outer, worst)).drop("v", "items")
 
 
 def question_rows(checked: DataFrame) -> DataFrame:
