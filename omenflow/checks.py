@@ -12,7 +12,8 @@ L = b.text
 
 
 def esc(words) -> str:
-    return "|".join(re.sub(r"([.+*?()\[\]{}|^$\\&-])", r"\\\1", w) if False else re.escape(w).replace("\\ ", " ").replace("\\&", "&").replace("\\-", "-").replace("\\%", "%") for w in words)
+    """Alternation of literal words; only the characters special to the pattern language are escaped."""
+    return "|".join(re.sub(r"([.+*?()|^$\[\]{}\\])", r"\\\1", w) for w in words)
 
 
 def any_of(x, words) -> str:
