@@ -120,31 +120,42 @@ def _first(checks: list[Column]) -> Column:
     return F.coalesce(*checks)
 
 
-def parse(responses: DataFrame) -> DataFrame:
-    """Add `json` (text), `v` (variant) and `error` for text that is not one JSON object.
+def _parsed(json) -> Column:
+    """The text and its JSON value; the value is null unless the text is one JSON object.
 
     The parser stops at the end of the first value; set inside a list and inside an object, a text
     with anything after its value breaks one of the two.
     """
+    json = F.col(json)
+    in_list = F.try_parse_json(F.concat(F.lit("["), json, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), json, F.lit("}")))
+    v = F.when(in_list.isNotNull(), F.try_variant_get(in_object, "$.v", "variant"))
+    return F.struct(json.alias("json"), v.alias("v"))
+
+
+def _whole(v: Column) -> Column:
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return F.when(~is_object, F.lit("not a JSON object"))
+
+
+def _checked(responses: DataFrame, error: Callable[[Column, Column], Column]) -> DataFrame:
+    """Add `json` and `error`. The response is parsed once, also where a filter on `error` is moved."""
     df = responses.withColumn("json", unfenced("response"))
-    in_list = F.try_parse_json(F.concat(F.lit("["), F.col("json"), F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), F.col("json"), F.lit("}")))
-    df = df.withColumn("v", F.when(in_list.isNotNull(), F.try_variant_get(in_object, "$.v", "variant")))
-    whole = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    return df.withColumn("error", F.when(~whole, F.lit("not a JSON object")))
+    return df.withColumn("error", let(_parsed("json"), lambda p: error(p["json"], p["v"])))
 
 
 def event_contract(responses: DataFrame) -> DataFrame:
     """Check event responses; `error` is null for those that meet the contract."""
-    checks = [F.col("error")]
-    for name, (low, high) in t.EVENT_STRING_FIELDS.items():
-        checks.append(_string_error("v", name, low, high))
-    checks += [_enum_error("v", "event_type", t.EVENT_TYPES), _enum_error("v", "tradability", ["suitable", "unsuitable"])]
-    checks += [_list_error("v", n, low, None, req) for n, (low, req) in t.EVENT_LIST_FIELDS.items()]
-    checks += [_number_error("v", "confidence"), _flag_error("v", "contradiction_flag")]
     allowed = [*t.EVENT_STRING_FIELDS, *t.EVENT_LIST_FIELDS, "confidence", "contradiction_flag"]
-    checks.append(_extra_error(F.col("json"), allowed))
-    return parse(responses).withColumn("error", _first(checks)).drop("v")
+
+    def error(json, v):
+        checks = [_whole(v)] + [_string_error(v, name, low, high) for name, (low, high) in t.EVENT_STRING_FIELDS.items()]
+        checks += [_enum_error(v, "event_type", t.EVENT_TYPES), _enum_error(v, "tradability", ["suitable", "unsuitable"])]
+        checks += [_list_error(v, n, low, None, req) for n, (low, req) in t.EVENT_LIST_FIELDS.items()]
+        checks += [_number_error(v, "confidence"), _flag_error(v, "contradiction_flag"), _extra_error(json, allowed)]
+        return _first(checks)
+
+    return _checked(responses, error)
 
 
 def event_rows(checked: DataFrame) -> DataFrame:
@@ -175,14 +186,16 @@ def question_contract(responses: DataFrame) -> DataFrame:
         allowed = [*t.QUESTION_STRING_FIELDS, "options", *t.QUESTION_NUMBER_FIELDS, "already_resolved"]
         return _first([*checks, _extra_error(F.to_json(q), allowed)])
 
-    df = parse(responses).withColumn("items", F.try_variant_get("v", "$.questions", "array<variant>"))
-    outer = _first([
-        F.col("error"), F.when(_type_of("v", "questions").isNull(), F.lit("missing: questions")),
-        F.when(F.col("items").isNull(), F.lit("type: questions")), F.when(F.size("items") < 1, F.lit("too few: questions")),
-        F.when(F.size("items") > 5, F.lit("too many: questions")), _extra_error(F.col("json"), ["questions"]),
-    ])
-    worst = F.try_element_at(F.array_compact(F.transform("items", item_error)), F.lit(1))
-    return df.withColumn("error", F.coalesce(outer, worst)).drop("v", "items")
+    def error(json, v):
+        outer = lambda items: _first([
+            F.when(items.isNull(), F.lit("type: questions")), F.when(F.size(items) < 1, F.lit("too few: questions")),
+            F.when(F.size(items) > 5, F.lit("too many: questions")), _extra_error(json, ["questions"]),
+            F.try_element_at(F.array_compact(F.transform(items, item_error)), F.lit(1)),
+        ])
+        missing = F.when(_type_of(v, "questions").isNull(), F.lit("missing: questions"))
+        return _first([_whole(v), missing, let(F.try_variant_get(v, "$.questions", "array<variant>"), outer)])
+
+    return _checked(responses, error)
 
 
 def question_rows(checked: DataFrame) -> DataFrame:
