@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from .text import as_col
+from .text import as_col, let
 
 
 def clamp(c, low: float = 0.0, high: float = 1.0) -> Column:
@@ -78,3 +78,27 @@ def summary_text(m, decimals: bool = True) -> Column:
 
     text = F.array_join(F.transform(kept, show), " | ")
     return F.when(text == "", F.lit("no additional details" if decimals else "")).otherwise(text)
+
+
+def fixed_text(c, digits: int = 2) -> Column:
+    """A number with 1 to 3 decimals, rounded half to even on its exact binary value.
+
+    The fraction is scaled by a power of two, which is exact, and rounded in whole numbers; `round`
+    and `format_string` go by the shortest decimal form and differ on values such as 0.415.
+    """
+    scale, bits = 10**digits, {1: 58, 2: 56, 3: 53}[digits]
+    half = 1 << (bits - 1)
+
+    def show(x):
+        size = F.abs(x)
+        scaled = (size - F.floor(size)) * F.lit(float(1 << bits))
+        tail = (scaled - F.floor(scaled)) * F.lit(float(scale))  # small values have bits below the scale
+        n = F.floor(scaled) * F.lit(scale) + F.floor(tail)
+        cut = tail != F.floor(tail)
+        q, rest = F.shiftright(n, bits), n.bitwiseAND(F.lit((1 << bits) - 1))
+        up = (rest > half) | ((rest == half) & (cut | (F.pmod(q, F.lit(2)) == 1)))
+        total = F.floor(size) * scale + q + F.when(up, 1).otherwise(0)
+        body = F.format_string(f"%d.%0{digits}d", F.floor(total / scale).cast("bigint"), F.pmod(total, F.lit(scale)))
+        return F.concat(F.when(x < 0, "-").otherwise(""), body)
+
+    return let(as_col(c).cast("double"), show)

@@ -5,13 +5,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import terms as t
 from ..functions import text as tx
 from ..functions.dates import as_date, parse_deadline
-from ..functions.numeric import clarity
+from ..functions.numeric import clarity, fixed_text
 from ..functions.text import as_col, or_empty, squash
 from ..options import DEFAULTS, Options
 
 
 def two_decimals(c) -> Column:
-    return F.format_string("%.2f", F.bround(as_col(c), 2))
+    return fixed_text(c, 2)
 
 
 def pair_text(a, b) -> Column:

@@ -56,6 +56,14 @@ def test_min_equals_max(spark):
     assert one(spark, 3.0, numeric.min_max("x", F.lit(3.0), F.lit(3.0)), "x double") == 1.0
 
 
+@pytest.mark.parametrize("digits", [1, 2, 3])
+def test_fixed_text_rounds_like_python(spark, digits):
+    values = [i / 1000 for i in range(0, 1200, 5)] + [0.125, 2.675, 1e-9, 12.345, 999.9995, -0.04, -7.25, 70.5]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r.r for r in df.select(numeric.fixed_text("x", digits).alias("r")).collect()]
+    assert got == [f"{v:.{digits}f}" for v in values]
+
+
 def test_urls(spark):
     src = "See (https://www.sec.gov/edgar/browse/). More"
     assert one(spark, src, urls.first_url("x")) == "https://www.sec.gov/edgar/browse/"
