@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "cluster_features", "cluster_priority_topk", "event_priority_queue", "gate_flags", "admission_errors", "exact_dedupe",
-    "feed_events", "novelty", "scored_rank", "question_dedupe", "capped_story_dedupe", "vector_dedupe", "dbscan",
+    "feed_events", "novelty", "question_dedupe", "capped_story_dedupe", "vector_dedupe", "dbscan",
     "dashboard_queue", "repair_queue", "topic_rollup", "windowed_velocity", "token_fingerprint", "question_contract",
     "extraction_prompts",
 ]
