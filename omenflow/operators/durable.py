@@ -5,14 +5,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: list[str] = []
+
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a temporary folder only where it is unset."""
+    """`spark.checkpoint.dir` of the session. Only a local master may do without it and gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="omenflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    if not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no shared folder: tables written by executors would be lost")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="omenflow-"))
+    return _LOCAL[0]
 
 
 def written(df: DataFrame) -> DataFrame:
