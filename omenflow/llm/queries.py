@@ -2,21 +2,29 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing
+from . import licenses, line_dedup, mixing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-NAMED = {f.__name__: f for f in (op2_mix_sources, op9_license_scan)}
-ORACLE = {"op2_mix_sources": mixing.mix_sql()}
+NAMED = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op4_simhash, op9_license_scan)}
+ORACLE = {"op1_line_dedup": line_dedup.LINE_SQL, "op2_mix_sources": mixing.mix_sql()}
