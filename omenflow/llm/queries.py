@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, line_dedup, mixing, simhash
+from . import licenses, line_dedup, minhash, mixing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,5 +26,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-NAMED = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op4_simhash, op9_license_scan)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_digest(_table(spark, sf_dir, "documents"))
+
+
+NAMED = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op4_simhash, op9_license_scan, op10_fingerprints)}
 ORACLE = {"op1_line_dedup": line_dedup.LINE_SQL, "op2_mix_sources": mixing.mix_sql()}
