@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, line_dedup, minhash, mixing, simhash, toxicity
+from . import decontaminate, langid, licenses, line_dedup, minhash, mixing, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_digest(_table(spark, sf_dir, "documents"))
 
 
-NAMED = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_toxicity, op4_simhash, op7_decontaminate, op9_license_scan, op10_fingerprints)}
+NAMED = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_toxicity, op4_simhash, op7_decontaminate, op8_language_id, op9_license_scan, op10_fingerprints)}
 ORACLE = {"op1_line_dedup": line_dedup.LINE_SQL, "op2_mix_sources": mixing.mix_sql()}
