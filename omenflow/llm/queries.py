@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, line_dedup, minhash, mixing, simhash, toxicity
+from . import decontaminate, langid, licenses, line_dedup, minhash, mixing, simhash, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digest(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digest(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -42,5 +52,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_digest(_table(spark, sf_dir, "documents"))
 
 
-NAMED = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_toxicity, op4_simhash, op7_decontaminate, op8_language_id, op9_license_scan, op10_fingerprints)}
+NAMED = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_toxicity, op4_simhash, op5_token_files, op7_decontaminate, op8_language_id, op9_license_scan, op10_fingerprints)}
 ORACLE = {"op1_line_dedup": line_dedup.LINE_SQL, "op2_mix_sources": mixing.mix_sql()}
