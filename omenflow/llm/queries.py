@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, line_dedup, minhash, mixing, simhash, token_files, toxicity
+from . import decontaminate, html_main, langid, licenses, line_dedup, minhash, mixing, simhash, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -52,5 +56,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_digest(_table(spark, sf_dir, "documents"))
 
 
-NAMED = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_toxicity, op4_simhash, op5_token_files, op7_decontaminate, op8_language_id, op9_license_scan, op10_fingerprints)}
+NAMED = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_toxicity, op4_simhash, op5_token_files, op6_main_text, op7_decontaminate, op8_language_id, op9_license_scan, op10_fingerprints)}
 ORACLE = {"op1_line_dedup": line_dedup.LINE_SQL, "op2_mix_sources": mixing.mix_sql()}
