@@ -1,6 +1,6 @@
 """Mixing sources to target weights by thresholds on a hash, found from histograms."""
 
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..operators.durable import written
 from ..operators.ranks import global_rank
@@ -12,15 +12,21 @@ BITS, LEVELS = 12, 5
 SALTS = 32
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """id, source key, size in words and a 60-bit hash of the id; the texts are read once, here."""
+def _key(source_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
+
+
+def _hash(id_col: str) -> Column:
+    """60 bits that depend on the id alone."""
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """id, source, its key, size in words and the hash of the id; the texts are read once, here."""
     return docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("key"),
-        F.size(words(F.col(text_col))).cast("long").alias("size"),
-        F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("h"),
+        F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), _key(source_col).alias("key"),
+        F.size(words(F.col(text_col))).cast("long").alias("size"), _hash(id_col).alias("h"),
     )
 
 
@@ -79,6 +85,21 @@ def _cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return last.select("key", F.col("upper").alias("cut"), F.col("base").alias("below"), "at")
 
 
+def _plan(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """key, salt, source_size, target, whole, rest, cut, below, at: one source's line in SALTS places."""
+    plan = source_targets(rows, weights, most)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    plan = plan.withColumn("whole", whole)
+    plan = written(plan.withColumn("rest", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")))
+    cuts = _cuts(rows, plan)
+    return plan.join(cuts, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _copies() -> Column:
+    extra = (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & (2 * (F.col("rest") - F.col("below")) >= F.col("at")))
+    return F.col("whole") + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
@@ -94,20 +115,25 @@ def mix(
     order. Rows with one id are taken alike; null ids count as one. No rows give no rows.
     """
     rows = written(_sized(docs, id_col, text_col, source_col))
-    plan = source_targets(rows, weights, most)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.withColumn("whole", whole)
-    plan = written(plan.withColumn("rest", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")))
-    cuts = _cuts(rows, plan)
-    plan = plan.join(cuts, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    extra = (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & (2 * (F.col("rest") - F.col("below")) >= F.col("at")))
-    rows = rows.withColumn("salt", (F.col("h") % SALTS).cast("int")).join(plan, ["key", "salt"])
-    copies = F.col("whole") + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)
+    rows = rows.withColumn("salt", (F.col("h") % SALTS).cast("int")).join(_plan(rows, weights, most), ["key", "salt"])
     return rows.select(
-        F.col("id").alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
+        F.col("id").alias("doc_id"), "source", "size", "source_size", "target", _copies().alias("copies"), (F.col("size") * _copies()).alias("taken")
     )
 
 
+def take_mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
+) -> DataFrame:
+    """The rows of `docs` as often as `mix` takes them, with all columns: from 0 to `most` times."""
+    plan = _plan(written(_sized(docs, id_col, text_col, source_col)), weights, most)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    key, h = _key(source_col), _hash(id_col)
+    rows = docs.select(row, key.alias("key"), h.alias("h"), (h % SALTS).cast("int").alias("salt")).join(plan, ["key", "salt"])
+    rows = rows.select("row", _copies().cast("int").alias("copies")).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+
+
 def mix_sql(tables: str = "documents") -> str:
     """The words each document gives, in SQL, with running sums in place of the histograms."""
     return f"""
