@@ -185,7 +185,7 @@ def near_links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """id, tid, fp, component_id for each row of `docs`.
+    """id, tid, fp, root, component_id for each row of `docs`; root is the least fingerprint of the group.
 
     Fingerprints link at three or fewer differing bits; component_id is the smallest id that can be
     reached. A null or blank text has fingerprint 0 and links like any other. A null id gets the
@@ -197,15 +197,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(prints.select(F.col("fp").alias("pos")), near_links(prints))
     classes = prints.join(roots.select(F.col("pos").alias("fp"), "root"), "fp")
     heads = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = written(classes.join(heads, "root").select("fp", "n", "component_id"))
+    classes = written(classes.join(heads, "root").select("fp", "n", "root", "component_id"))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # at most a thousand fingerprints hold more than a thousandth of the rows each
     hot = F.col("n") > F.lit(total // 1000)
-    often = classes.where(hot).select("fp", F.struct("component_id").alias("often"))
+    often = classes.where(hot).select("fp", F.struct("root", "component_id").alias("often"))
     rows = rows.join(F.broadcast(often), "fp", "left")
-    hot_rows = rows.where("often is not null").select("id", "tid", "fp", "often.component_id")
-    cold_rows = rows.where("often is null").select("id", "tid", "fp").join(classes.where(~hot).select("fp", "component_id"), "fp")
-    return hot_rows.union(cold_rows.select("id", "tid", "fp", "component_id"))
+    hot_rows = rows.where("often is not null").select("id", "tid", "fp", "often.root", "often.component_id")
+    cold_rows = rows.where("often is null").select("id", "tid", "fp").join(classes.where(~hot).drop("n"), "fp")
+    return hot_rows.union(cold_rows.select("id", "tid", "fp", "root", "component_id"))
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Of rows with that id, one with the smallest text hash stays. Null ids stay only in groups without an id.
     """
     found = near_duplicates(docs, id_col, text_col)
-    stay = found.where(F.coalesce("component_id", F.lit(NO_ID)) == F.col("id")).groupBy("id").agg(F.min("tid").alias("tid"))
+    stay = found.where(F.coalesce("component_id", F.lit(NO_ID)) == F.col("id")).groupBy("root", "id").agg(F.min("tid").alias("tid"))
     mark = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     keyed_docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                              F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), mark.alias("tid"))
