@@ -785,19 +785,19 @@ def feed_rows() -> str:
     specs = [
         ("rss", title, f"{title} || '. ' || body", "'wire_' || source", "rss", "'https://wire.example.com/' || doc_id", "''", None, "discovery", at, "true"),
         ("gdelt", "body", "body", "source", "gdelt", "'https://n.example.com/' || doc_id", "''", None, "discovery", at, "true"),
-        ("reddit", title, f"{title} || '. ' || substring(body, 1, 500)", "'reddit'", "social", "'https://reddit.com/r/x/' || doc_id", "''", None, "attention", at, "true"),
+        ("reddit", title, f"{title} || '. ' || body", "'reddit'", "social", "'https://reddit.com/r/x/' || doc_id", "''", None, "attention", at, "true"),
         ("hackernews", "body", "body", "'hackernews'", "social", "''", "''", None, "attention", at, "doc_id % 2 = 0"),
         ("wikipedia", "'Page ' || doc_id", "'Wikipedia attention spike: Page ' || doc_id || ' received ' || format('{:,}', doc_id * 37 % 50000) || ' pageviews'", "'wikipedia'", "social",
          "'https://en.wikipedia.org/wiki/Page_' || doc_id", "''", "'wiki-Page ' || doc_id || '-2024/01/31'", "attention", f"{noon} - INTERVAL 1 DAY", "doc_id * 37 % 50000 >= 10000"),
-        ("federal_register", title, f"'[Rule] ' || {title} || '. ' || substring(body, 1, 500) || ' (Agencies: EPA, SEC)'", "'federal_register'", "official", "'https://fr.example.com'", "'EPA, SEC'", None, "resolution", day, "true"),
+        ("federal_register", title, f"'[Rule] ' || {title} || '. ' || body || ' (Agencies: EPA, SEC)'", "'federal_register'", "official", "'https://fr.example.com'", "'EPA, SEC'", None, "resolution", day, "true"),
         ("congress", title, f"'[HR' || doc_id || ', 118th Congress] ' || {title} || '. Latest action: ' || body", "'congress'", "official", "'https://bill.example.com'", "''", None, "resolution", day, "true"),
-        ("sec_edgar", title, f"'[SEC 8-K] ' || {title} || '. ' || substring(body, 1, 500)", "'sec_edgar'", "official", "'https://sec.example.com/' || doc_id", "''", None, "resolution", at, "true"),
+        ("sec_edgar", title, f"'[SEC 8-K] ' || {title} || '. ' || body", "'sec_edgar'", "official", "'https://sec.example.com/' || doc_id", "''", None, "resolution", at, "true"),
         ("bls", "'Unemployment Rate — May 2024'", "'BLS Unemployment Rate: ' || doc_id || ' (May 2024)'", "'bls'", "official", "'https://data.bls.gov/timeseries/LNS14000000'", "''", "'bls-LNS14000000-2024-May'", "resolution", noon, "true"),
         ("fred", f"'Unemployment Rate — ' || strftime({day}, '%Y-%m-%d')", f"'FRED Unemployment Rate: ' || doc_id || ' (as of ' || strftime({day}, '%Y-%m-%d') || ')'", "'fred'", "official",
          "'https://fred.stlouisfed.org/series/UNRATE'", "''", f"'fred-UNRATE-' || strftime({day}, '%Y-%m-%d')", "resolution", day, "true"),
         ("eia", f"'OTHER — ' || strftime({day}, '%Y-%m-%d')", f"'EIA OTHER: ' || doc_id || ' (period: ' || strftime({day}, '%Y-%m-%d') || ')'", "'eia'", "official",
          "'https://www.eia.gov/opendata/browser/?id=OTHER'", "''", f"'eia-OTHER-' || strftime({day}, '%Y-%m-%d')", "resolution", day, "true"),
-        ("polymarket", "body", "body", "'polymarket'", "market", "'https://polymarket.com/event/' || doc_id", "''", None, "benchmark", at, "true"),
+        ("polymarket", "body", "body", "'polymarket'", "market", "'https://polymarket.com/event/' || doc_id", "''", None, "discovery", at, "true"),
         ("kalshi", title, f"{title} || '. ' || body || ' [Category: Politics]'", "'kalshi'", "market", "'https://kalshi.com/markets/' || doc_id", "''", None, "benchmark", at, "doc_id % 3 <> 0"),
     ]
     parts = [

@@ -6,11 +6,13 @@ from .text import as_col, let
 
 
 def clamp(c, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), as_col(c)))
+    """Into [low, high]; a missing value counts as 0."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(as_col(c), F.lit(0.0))))
 
 
 def log_scale(c, scale: float) -> Column:
-    c = as_col(c)
+    """log(1 + c) against log(1 + scale), at most 1; a missing value counts as 0."""
+    c = F.coalesce(as_col(c), F.lit(0.0))
     return F.when(c <= 0, 0.0).otherwise(F.least(F.log1p(c) / F.log1p(F.lit(scale)), F.lit(1.0)))
 
 

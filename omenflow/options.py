@@ -13,8 +13,10 @@ class Options:
     generation_limit: int | None = 5
     questions_per_story: int = 2
     wiki_min_views: int = 10000
-    hn_max_stories: int = 30
-    body_chars: int = 500
+    # limits that only apply where the caller sets them
+    hn_max_stories: int | None = None
+    body_chars: int | None = None
+    # newest items a prompt lists: a top-k, as a prompt has to end somewhere
     prompt_headlines: int = 20
     schema_retries: int = 2
     min_resolution_confidence: float = 0.65

@@ -33,6 +33,11 @@ def _items(raw: DataFrame, schema: str, path: str) -> DataFrame:
     return raw.select("received_at", "hint", F.explode(body).alias("i"))
 
 
+def _body(c: Column, opts: Options) -> Column:
+    """The whole text, or its beginning where the caller asks for that."""
+    return c if opts.body_chars is None else F.substring(c, 1, opts.body_chars)
+
+
 def _f(name: str) -> Column:
     return or_empty(F.col(f"i.{name}"))
 
@@ -100,8 +105,8 @@ def gdelt(raw: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
                   url=_f("url"), when=when)
 
 
-def polymarket(raw: DataFrame, opts: Options = DEFAULTS, role: str = "benchmark") -> DataFrame:
-    """Market listings are benchmark signals; pass role="discovery" for the role older rows carry."""
+def polymarket(raw: DataFrame, opts: Options = DEFAULTS, role: str = "discovery") -> DataFrame:
+    """Market listings; `role` says what kind of signal they are taken for."""
     df = _items(raw, "ARRAY<STRUCT<question: STRING, description: STRING, endDate: STRING, slug: STRING>>", "")
     return _event(df, title=_f("question"), content=_with(_f("question"), _f("description")), source="polymarket", source_type="market",
                   url=_prefixed("https://polymarket.com/event/", _f("slug")), when=_wall(F.col("i.endDate")), role=role)
@@ -118,14 +123,14 @@ def kalshi(raw: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
 def reddit(raw: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     df = _items(raw, "data STRUCT<children: ARRAY<STRUCT<data: STRUCT<title: STRING, selftext: STRING, permalink: STRING, created_utc: DOUBLE>>>>", "data.children")
     df = df.withColumn("i", F.col("i.data"))
-    content = _with(_f("title"), F.substring(_f("selftext"), 1, opts.body_chars))
+    content = _with(_f("title"), _body(_f("selftext"), opts))
     return _event(df, title=_f("title"), content=content, source="reddit", source_type="social",
                   url=_prefixed("https://reddit.com", _f("permalink")), when=_epoch(F.col("i.created_utc")), role="attention")
 
 
 def hackernews(raw: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     """One payload per item; `position`, where given, is its place in the top list."""
-    if "position" in raw.columns:
+    if "position" in raw.columns and opts.hn_max_stories is not None:
         raw = raw.where(F.col("position").isNull() | (F.col("position") < opts.hn_max_stories))
     body = F.from_json("payload", "type STRING, title STRING, url STRING, time DOUBLE")
     df = raw.select("received_at", "hint", body.alias("i")).where("i.type = 'story'")
@@ -151,7 +156,7 @@ def federal_register(raw: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     names = F.filter(F.transform("i.agencies", lambda x: x["name"]), lambda n: F.coalesce(n, F.lit("")) != "")
     agencies = F.coalesce(F.array_join(names, ", "), F.lit(""))
     head = F.concat(F.lit("["), _f("type"), F.lit("] "), _f("title"))
-    content = F.concat(_with(head, F.substring(_f("abstract"), 1, opts.body_chars)),
+    content = F.concat(_with(head, _body(_f("abstract"), opts)),
                        F.when(agencies == "", "").otherwise(F.concat(F.lit(" (Agencies: "), agencies, F.lit(")"))))
     return _event(df, title=_f("title"), content=content, source="federal_register", source_type="official", url=_f("html_url"),
                   when=_day(F.col("i.publication_date")), role="resolution", entities=agencies)
@@ -171,7 +176,7 @@ def sec(raw: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     body = F.from_xml("payload", "entry ARRAY<STRUCT<title: STRING, summary: STRING, link: STRUCT<_href: STRING>, updated: STRING>>")
     df = raw.select("received_at", "hint", F.explode(body["entry"]).alias("i"))
     head = F.concat(F.lit("[SEC "), or_empty("hint"), F.lit("] "), _f("title"))
-    return _event(df, title=_f("title"), content=_with(head, F.substring(_f("summary"), 1, opts.body_chars)), source="sec_edgar",
+    return _event(df, title=_f("title"), content=_with(head, _body(_f("summary"), opts)), source="sec_edgar",
                   source_type="official", url=_f("link._href"), when=_wall(F.col("i.updated")), role="resolution")
 
 
@@ -217,7 +222,11 @@ ADAPTERS = {
     "federal_register": federal_register, "congress": congress, "sec_edgar": sec, "bls": bls, "fred": fred, "eia": eia,
     "polymarket": polymarket, "kalshi": kalshi,
 }
-XML_FEEDS = ["rss", "sec_edgar"]
+#: The part of a payload that holds a feed's items: where it is missing or of another kind, the payload is rejected.
+ITEMS = {
+    "gdelt": "$.articles", "reddit": "$.data.children", "wikipedia": "$.items", "federal_register": "$.results", "congress": "$.bills",
+    "bls": "$.Results.series", "fred": "$.observations", "eia": "$.response.data", "polymarket": "$", "kalshi": "$.markets",
+}
 
 
 def register(name: str, adapter) -> None:
@@ -226,11 +235,23 @@ def register(name: str, adapter) -> None:
 
 
 def malformed(raw: DataFrame) -> DataFrame:
-    """Payloads that do not parse, with their source: the reject table."""
-    xml = F.col("source").isin(XML_FEEDS)
-    bad_json = ~xml & F.try_parse_json("payload").isNull()
-    bad_xml = xml & ~F.trim("payload").rlike(r"(?s)^<.*>$")
-    return raw.where(bad_json | bad_xml | ~F.col("source").isin(list(ADAPTERS)))
+    """Payloads that do not parse or do not have the shape of their feed, with their source: the reject table.
+
+    A JSON payload needs its list of items (Hacker News: an item object), an XML payload must
+    parse to a channel or to a feed. A list that is empty is no reject.
+    """
+    parsed = F.try_parse_json("payload")
+    kind = lambda path: F.try_variant_get(parsed, path, "array<variant>")
+    shaped = F.when(F.col("source") == "hackernews", F.try_variant_get(parsed, "$", "map<string,variant>").isNotNull())
+    for feed, path in ITEMS.items():
+        shaped = shaped.when(F.col("source") == feed, kind(path).isNotNull())
+    channel = F.from_xml("payload", "channel STRUCT<title: STRING, item: ARRAY<STRUCT<title: STRING>>>, title STRING, _corrupt_record STRING",
+                         {"columnNameOfCorruptRecord": "_corrupt_record"})
+    sound = F.trim("payload").rlike(r"(?s)^<.*>$") & F.coalesce(channel["_corrupt_record"].isNull(), F.lit(False))
+    rss_like = F.contains("payload", F.lit("<rss")) & channel["channel"].isNotNull()
+    shaped = shaped.when(F.col("source") == "rss", sound & (rss_like | F.contains("payload", F.lit("<feed"))))
+    shaped = shaped.when(F.col("source") == "sec_edgar", sound & F.contains("payload", F.lit("<feed")))
+    return raw.where(~F.coalesce(shaped, F.lit(False)))
 
 
 def fan_in(raw: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
