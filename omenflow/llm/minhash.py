@@ -45,7 +45,9 @@ def _with_print(rows: DataFrame, text: str, name: str) -> DataFrame:
         return F.get("_bins", at(F.get(found, F.lit(0))))
 
     dense = F.transform("_bins", lambda h, p: F.when(filled(h), h).otherwise(F.coalesce(walk(p, _FIRST), walk(p, BINS), F.lit(0).cast("long"))))
-    rows = rows.withColumn(name, F.transform(dense, lambda h: h.bitwiseAND(F.lit((1 << KEPT_BITS) - 1)).cast("byte")))
+    # the bin's number goes into the hash: bins that hold one value agree by chance independently
+    kept = F.transform(dense, lambda h, p: F.xxhash64(h, p).bitwiseAND(F.lit((1 << KEPT_BITS) - 1)).cast("byte"))
+    rows = rows.withColumn(name, kept)
     return rows.drop("_words", "_sorted", "_bins")
 
 
