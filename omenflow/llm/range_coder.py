@@ -15,31 +15,36 @@ import numpy as np
 MAGIC = b"OFT1"
 #: magic, ids, crc32 of the ids as little-endian unsigned 32-bit integers, bytes that follow
 _HEAD = "<4sIII"
-_CONTEXTS, _SLOTS, _LEVELS, _SCALE = 2048, 512, 8, 12
+_CONTEXTS, _SLOTS, _LEVELS, _SCALE = 1024, 512, 8, 12
 _MASK = (1 << 48) - 1
 _FULL, _FLOOR = 1 << 16, 1 << _SCALE
-_REFRESH = 256
+#: Ids after which the order-0 intervals follow the counts again.
+_EARLY, _REFRESH = (16, 64, 128, 256), 512
 
 
 class _Model:
-    """The predictions of a number of blocks, and what they learn from each id."""
+    """The predictions of a number of blocks, and what they learn from each id.
 
-    def __init__(self, lanes: int):
+    A context's entry is 8 * (id + 1) + confidence, 0 before it is met. Entries, slots and counts of all
+    blocks lie in one array each, so that one lookup serves all of them.
+    """
+
+    def __init__(self, lanes: int, decodes: bool):
+        self.decodes = decodes
         self.context_base = np.arange(lanes) * _CONTEXTS
         self.slot_base = np.arange(lanes) * (_SLOTS + 1)
         self.cum_base = np.arange(lanes) * (_SLOTS + 2)
         self.level_base = np.arange(lanes) * _LEVELS
         self.pair_base = np.arange(lanes) * _LEVELS * _LEVELS
         self.quantile_base = np.arange(lanes) << _SCALE
-        self.guess = [np.full(lanes * _CONTEXTS, -1, np.int32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * _CONTEXTS, np.uint8) for _ in range(2)]
-        self.trust2 = np.full(lanes * _LEVELS, 1 << 14, np.int64)
-        self.trust1 = np.full(lanes * _LEVELS * _LEVELS, 1 << 13, np.int64)
+        self.order2, self.order1 = (np.zeros(lanes * _CONTEXTS, np.int32) for _ in range(2))
+        self.trust2 = np.full(lanes * _LEVELS, 1 << 14, np.int32)
+        self.trust1 = np.full(lanes * _LEVELS * _LEVELS, 1 << 13, np.int32)
         self.held = np.full(lanes * (_SLOTS + 1), -1, np.int32)
         self.counts = np.zeros((lanes, _SLOTS + 1), np.int32)
         self.counts[:, _SLOTS] = 24
-        self.cum = np.zeros((lanes, _SLOTS + 2), np.int64)
-        self.symbol = np.zeros(lanes << _SCALE, np.int16)
+        self.cum = np.zeros((lanes, _SLOTS + 2), np.int32)
+        self.symbol = np.zeros(lanes << _SCALE if decodes else 0, np.int16)
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
         self.refresh(lanes)
@@ -48,57 +53,60 @@ class _Model:
         """Interval bounds of the order-0 frequencies; what is left over goes to the escape symbol."""
         counts = self.counts[:n]
         seen = counts > 0
-        room = _FLOOR - seen.sum(1, keepdims=True)
-        share = seen + counts * room // counts.sum(1, keepdims=True)
+        room = _FLOOR - np.count_nonzero(seen, axis=1)
+        factor = room / counts.sum(1)
+        share = (counts * factor[:, None]).astype(np.int32) + seen
         share[:, _SLOTS] += _FLOOR - share.sum(1)
         np.cumsum(share, axis=1, out=self.cum[:n, 1:])
-        symbols = np.broadcast_to(np.arange(_SLOTS + 1, dtype=np.int16), share.shape)
-        self.symbol[: n << _SCALE] = np.repeat(symbols.ravel(), share.ravel())
+        if self.decodes:
+            symbols = np.broadcast_to(np.arange(_SLOTS + 1, dtype=np.int16), share.shape)
+            self.symbol[: n << _SCALE] = np.repeat(symbols.ravel(), share.ravel())
 
     def predict(self, n: int) -> None:
         """The mixture for the next id of the first n blocks: [0, m2) order 2, [m2, m2 + m1) order 1, the rest order 0."""
-        last, before = self.last[:n], self.before[:n]
-        self.at2 = self.context_base[:n] + (((last * 40503 + before * 30011 + (before >> 5)) >> 3) & (_CONTEXTS - 1))
-        self.at1 = self.context_base[:n] + ((last * 40503 >> 4) & (_CONTEXTS - 1))
-        self.g2, self.g1 = self.guess[1][self.at2], self.guess[0][self.at1]
-        self.s2, self.s1 = self.sure[1][self.at2], self.sure[0][self.at1]
+        spread = self.last[:n] * 40503
+        before = self.before[:n]
+        self.at2 = (((spread + before * 30011 + (before >> 5)) >> 3) & (_CONTEXTS - 1)) + self.context_base[:n]
+        self.at1 = ((spread >> 4) & (_CONTEXTS - 1)) + self.context_base[:n]
+        e2, e1 = self.order2.take(self.at2), self.order1.take(self.at1)
+        self.g2, self.g1 = (e2 >> 3) - 1, (e1 >> 3) - 1
+        self.s2, self.s1 = e2 & 7, e1 & 7
         self.t2 = self.level_base[:n] + self.s2
-        self.t1 = self.pair_base[:n] + self.s2 * np.int64(_LEVELS) + self.s1
-        self.has2 = self.g2 >= 0
-        self.has1 = (self.g1 >= 0) & (self.g1 != self.g2)
-        self.w2, self.w1 = self.trust2[self.t2], self.trust1[self.t1]
-        self.m2 = ((self.w2 * (_FULL - 2 * _FLOOR) >> 16) + 16) * self.has2
-        rest = _FULL - self.m2
-        self.m1 = (((rest - _FLOOR - 16) * self.w1 >> 16) + 16) * self.has1
+        self.t1 = self.pair_base[:n] + ((self.s2 << 3) + self.s1)
+        self.has2 = e2 > 0
+        self.has1 = (e1 > 0) & (self.g1 != self.g2)
+        self.w2, self.w1 = self.trust2.take(self.t2), self.trust1.take(self.t1)
+        self.m2 = ((self.w2 * ((_FULL - 2 * _FLOOR) >> 4) >> 12) + 16) * self.has2
+        self.m1 = (((_FULL - _FLOOR - 16 - self.m2 >> 2) * (self.w1 >> 2) >> 12) + 16) * self.has1
         self.low0 = self.m2 + self.m1
         self.room = _FULL - self.low0
 
     def bounds(self, n: int, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = self.cum_base[:n] + symbol
         cum = self.cum.reshape(-1)
-        start = self.room * cum[at] >> _SCALE
-        return self.low0 + start, (self.room * cum[at + 1] >> _SCALE) - start
+        start = self.room * cum.take(at) >> _SCALE
+        return self.low0 + start, (self.room * cum.take(at + 1) >> _SCALE) - start
 
     def slots(self, n: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """An id's slot, and whether the slot can stand for it."""
         slot = (ids * 40503 >> 5) & (_SLOTS - 1)
         at = self.cum_base[:n] + slot
         cum = self.cum.reshape(-1)
-        return slot, (self.held[self.slot_base[:n] + slot] == ids) & (cum[at + 1] > cum[at])
+        return slot, (self.held.take(self.slot_base[:n] + slot) == ids) & (cum.take(at + 1) > cum.take(at))
 
     def learn(self, n: int, ids: np.ndarray, slot: np.ndarray, escaped: np.ndarray) -> None:
         hit2, hit1 = ids == self.g2, ids == self.g1
-        self.trust2[self.t2] = np.where(self.has2, self.w2 + ((hit2 * 65535 - self.w2) >> 5), self.w2)
-        self.trust1[self.t1] = np.where(self.has1 & ~hit2, self.w1 + ((hit1 * 65535 - self.w1) >> 5), self.w1)
-        for order, at, hit, guess, sure in ((1, self.at2, hit2, self.g2, self.s2), (0, self.at1, hit1, self.g1, self.s1)):
-            replace = ~hit & (sure <= 1)
-            self.guess[order][at] = np.where(replace, ids, guess)
-            self.sure[order][at] = np.where(hit, np.minimum(sure + 1, _LEVELS - 1), np.where(replace, 1, sure >> 1))
+        self.trust2[self.t2] = self.w2 + ((hit2 * np.int32(65535) - self.w2) >> 5) * self.has2
+        self.trust1[self.t1] = self.w1 + ((hit1 * np.int32(65535) - self.w1) >> 5) * (self.has1 & ~hit2)
+        fresh = ((ids + 1) << 3 | 1).astype(np.int32)
+        for table, at, hit, guess, sure in ((self.order2, self.at2, hit2, self.g2, self.s2), (self.order1, self.at1, hit1, self.g1, self.s1)):
+            kept = (guess + 1 << 3) + np.where(hit, np.minimum(sure + 1, _LEVELS - 1), sure >> 1)
+            table[at] = np.where(hit | (sure > 1), kept, fresh)
         at = self.slot_base[:n] + slot
         self.held[at] = ids
         counts = self.counts.reshape(-1)
         counts[at] += 24
-        counts[self.slot_base[:n] + _SLOTS] += 24 * escaped
+        self.counts[:n, _SLOTS] += 24 * escaped
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
@@ -111,7 +119,7 @@ def _sorted_lanes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _due(step: int) -> bool:
-    return step % _REFRESH == 0 or step in (16, 32, 64, 128)
+    return step % _REFRESH == 0 or step in _EARLY
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -128,7 +136,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     flat, row, width = words.reshape(-1), np.arange(lanes), words.shape[1]
     filled = np.zeros(lanes, np.int64)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
-    model = _Model(lanes)
+    model = _Model(lanes, decodes=False)
 
     def narrow(at, start, size):
         """One symbol of the blocks `at`, a slice or positions."""
@@ -196,7 +204,7 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
     read = np.full(lanes, 3, np.int64)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
     ids = np.zeros((longest, lanes), np.uint16)
-    model = _Model(lanes)
+    model = _Model(lanes, decodes=True)
 
     def narrow(at, r, start, size):
         a, s = low[at] + r * start, r * size

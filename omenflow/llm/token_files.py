@@ -1,6 +1,8 @@
 """Token-id files: documents as ids in range-coded blocks, written and read back by Spark."""
 
 import re
+import sys
+import types
 import uuid
 import zlib
 
@@ -17,7 +19,8 @@ from .common import id_back, keyed
 BLOCK, LANES = 4096, 2048
 #: Id that ends a document.
 END = 0
-_CHUNKS = 300_000
+#: Chunks whose ids a worker remembers at most, before it starts anew.
+_CHUNKS = 600_000
 #: Where a space follows white space, or a special token is spelled out, the text goes to the library whole.
 _WHOLE = re.compile(r"\s |<\|endoftext\|>")
 
@@ -32,9 +35,11 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        # Spark reuses its Python workers: what one task has met helps the next
+        kept = sys.modules.setdefault(f"{__name__}.kept", types.SimpleNamespace(of={}))
+        if path not in kept.of:
+            kept.of[path] = (Tokenizer.from_file(path), {}, {})
+        self.tokenizer, self.first, self.later = kept.of[path]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
