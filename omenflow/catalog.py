@@ -87,6 +87,19 @@ def scored_rank(spark, sf):
     return scored_all(spark, sf).select(*cols)
 
 
+def scored_rank_sparse(spark, sf):
+    """The same scores where the stored texts lack the batch and rows without flags have none at all."""
+    from .operators import scoring
+
+    rows = scoring_rows(spark, sf)
+    rows = rows.withColumn("validation_flags", F.when(F.size("validation_flags") > 0, F.col("validation_flags")))
+    stored = question_texts(spark, sf).join(rows, "question_id", "left_anti")
+    cols = ["question_id", "rank", "quality_flags", "explanation"] + [
+        F.round(c, 6).alias(c) for c in scoring.COMPONENTS + ["penalty_total", "total_score"]
+    ]
+    return scoring.score(rows, stored, QDAY).select(*cols)
+
+
 def top_questions(spark, sf):
     from .operators import scoring
 
@@ -154,6 +167,20 @@ def generation_input(spark, sf):
     return priority.event_priorities(events, priority.source_flags(bridge))
 
 
+def event_priority_sparse(spark, sf):
+    """Priorities of events of which some have no confidence and no cluster features: missing numbers count as 0."""
+    gone = lambda c, cond: F.when(~F.expr(cond), F.col(c)).alias(c)
+    events = b.view(spark, sf, "extracted").where("tradability = 'suitable'").withColumn("confidence", gone("confidence", "id % 4 = 0"))
+    features = b.view(spark, sf, "clusters")
+    for c in ("weighted_mention_velocity", "source_diversity", "coherence_score"):
+        features = features.withColumn(c, gone(c, "cluster_id % 3 = 0"))
+    bridge = b.view(spark, sf, "cluster_events").join(
+        b.view(spark, sf, "articles").select(F.col("id").alias("event_id"), "source"), "event_id"
+    )
+    queue = priority.event_priorities(events.join(features, "cluster_id"), priority.source_flags(bridge))
+    return queue.select("id", "priority_topic", "priority_score")
+
+
 def event_priority_queue(spark, sf):
     return generation_input(spark, sf).select("id", "priority_topic", "priority_score")
 
@@ -186,6 +213,60 @@ def pending_not_in_null(spark, sf):
     return not_in(question_texts(spark, sf), b.view(spark, sf, "questions"), "question_id", "repair_parent_question_id")
 
 
+def pending_generation(spark, sf):
+    """Suitable events without a question among those of every third order."""
+    from .plans import stages
+
+    asked = b.view(spark, sf, "questions").where("question_id % 3 = 0")
+    return stages.generation_pending(b.view(spark, sf, "extracted"), asked).select("id", "cluster_id")
+
+
+def pending_validation(spark, sf):
+    from .plans import stages
+
+    done = b.view(spark, sf, "validation").where("question_id % 5 <> 0")
+    return stages.validation_pending(question_texts(spark, sf), done)
+
+
+def pending_scoring(spark, sf):
+    from .plans import stages
+
+    done = b.view(spark, sf, "scored").where("question_id % 4 = 1")
+    views = [b.view(spark, sf, v) for v in ("questions", "extracted", "clusters", "validation")]
+    return stages.scoring_input(*views, scored=done).select("question_id", "cluster_id", "mention_velocity", "clarity_score")
+
+
+def _second_pass(spark, sf):
+    from .plans import stages
+
+    queue = b.view(spark, sf, "validation").where("NOT is_valid").withColumnRenamed("flags", "validation_flags")
+    responses = b.view(spark, sf, "questions").where("repair_parent_question_id IS NOT NULL")
+    return queue, stages.second_pass(queue, responses, QDAY)
+
+
+def repair_second_pass(spark, sf):
+    """Questions that name a parent, as answers to the failed ones: gated again, with their parent."""
+    return _second_pass(spark, sf)[1].select("question_id", "repair_parent_question_id", "is_valid", "flags")
+
+
+def repair_counts(spark, sf):
+    from .plans import stages
+
+    return stages.second_pass_counts(*_second_pass(spark, sf))
+
+
+def suitability_counts(spark, sf):
+    from .plans import stages
+
+    return stages.suitability_counts(b.view(spark, sf, "extracted"))
+
+
+def stage_summaries(spark, sf):
+    from .plans import stages
+
+    return stages.stage_summaries(*[b.view(spark, sf, v) for v in ("articles", "clusters", "extracted", "questions", "validation", "scored")])
+
+
 # ---- dashboards ---------------------------------------------------------------------------
 def review_rows(spark, sf, with_validation=False):
     from .plans import dashboard
@@ -618,17 +699,18 @@ QUERIES = [
     # feeds and storage
     feed_events, feed_counts, exact_dedupe, ingest_counts, windowed_velocity,
     # clusters and priorities
-    cluster_features, cluster_coherence, cluster_priority_topk, priority_tiered, event_priority_queue, event_priority_tiered,
+    cluster_features, cluster_coherence, cluster_priority_topk, priority_tiered, event_priority_queue, event_priority_sparse, event_priority_tiered,
     # similarity
     vector_dedupe, vector_dedupe_strict, dbscan, dbscan_features, story_dedupe, question_dedupe, capped_story_dedupe,
     novelty, near_duplicate_theme,
     # gate, admission, scoring
-    gate_flags, gate_summary, salvage_flags, admission_errors, soft_flags, scored_rank, top_questions,
+    gate_flags, gate_summary, salvage_flags, admission_errors, soft_flags, scored_rank, scored_rank_sparse, top_questions,
     # inference tables
     event_contract, event_response_rows, event_retries, question_contract, question_response_rows,
     extraction_prompts, generation_prompts, repair_prompts,
     # pending work, dashboards, run log
-    pending_anti, pending_not_in, pending_not_in_null, dashboard_queue, filtered_queue, status_stats, repair_queue, repair_children,
+    pending_anti, pending_generation, pending_validation, pending_scoring, repair_second_pass, repair_counts, suitability_counts,
+    stage_summaries, pending_not_in, pending_not_in_null, dashboard_queue, filtered_queue, status_stats, repair_queue, repair_children,
     review_latest, run_stages, run_progress,
     # discovery
     discovery_markets, discovery_filter, topic_rollup, trend_topk, topic_notes, summary_metrics, category_counts,

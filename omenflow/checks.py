@@ -371,6 +371,10 @@ def scored_rank() -> str:
 SELECT * EXCLUDE (question_text, category, deadline, resolution_source) FROM ranked"""
 
 
+def scored_rank_sparse() -> str:
+    return scored_rank()
+
+
 def top_questions() -> str:
     return f"""{views(*SCORE_VIEWS)}, {score_cte()}
 SELECT * EXCLUDE (question_id, penalty_total) FROM ranked ORDER BY rank LIMIT 10"""
@@ -467,6 +471,16 @@ SELECT cluster_id, round({D(.45)} * {tier_case([f'tier{i}' for i in range(6)], '
   + {D(.05)} * CASE WHEN bench THEN {D(.08)} ELSE 0 END - CASE WHEN proc THEN {D(.35)} ELSE 0 END, 4) AS priority_score FROM f"""
 
 
+def event_priority_sparse() -> str:
+    """The full query over views that hold 0 where the other side's have nothing."""
+    gone = ", ".join(f"CASE WHEN cluster_id % 3 = 0 THEN 0 ELSE {c} END AS {c}" for c in ("weighted_mention_velocity", "source_diversity", "coherence_score"))
+    full = event_priority_queue().replace("v_extracted AS (", "all_extracted AS (").replace("v_clusters AS (", "all_clusters AS (")
+    extra = f"""v_extracted AS (SELECT * REPLACE (CASE WHEN id % 4 = 0 THEN 0 ELSE confidence END AS confidence) FROM all_extracted),
+v_clusters AS (SELECT * REPLACE ({gone}) FROM all_clusters),
+s AS (SELECT"""
+    return full.replace("\ns AS (SELECT", "\n" + extra, 1)
+
+
 EVENT_TEXT = """event_summary || ' ' || market_angle || ' ' || outcome_variable || ' ' || event_type || ' ' || array_to_string(entities, ' ') || ' ' || array_to_string(resolution_sources, ' ')"""
 
 
@@ -512,6 +526,59 @@ def pending_not_in_null() -> str:
 WHERE question_id NOT IN (SELECT repair_parent_question_id FROM v_questions)"""
 
 
+def pending_generation() -> str:
+    return f"""{views('extracted', 'questions')} SELECT id, cluster_id FROM v_extracted
+WHERE tradability = 'suitable' AND id NOT IN (SELECT extracted_event_id FROM v_questions WHERE question_id % 3 = 0)"""
+
+
+def pending_validation() -> str:
+    return f"""{views('questions', 'validation')} SELECT question_id, question_text FROM v_questions q
+WHERE NOT EXISTS (SELECT 1 FROM v_validation v WHERE v.question_id = q.question_id AND v.question_id % 5 <> 0)"""
+
+
+def pending_scoring() -> str:
+    return f"""{views('questions', 'extracted', 'clusters', 'validation', 'scored')}
+SELECT q.question_id, e.cluster_id, c.mention_velocity, v.clarity_score
+FROM v_questions q JOIN v_extracted e ON e.id = q.extracted_event_id JOIN v_clusters c ON c.cluster_id = e.cluster_id
+JOIN v_validation v ON v.question_id = q.question_id AND v.is_valid
+WHERE NOT EXISTS (SELECT 1 FROM v_scored s WHERE s.question_id = q.question_id AND s.question_id % 4 = 1)"""
+
+
+def second_pass_cte() -> str:
+    return f"""{views('questions', 'validation')}, {gate_cte()},
+rows_again AS ({GATE_ROWS}),
+open_rows AS (SELECT question_id FROM v_validation WHERE NOT is_valid AND {salvageable('flags')}),
+again AS (SELECT g.question_id, q.repair_parent_question_id, g.is_valid, g.flags FROM rows_again g JOIN v_questions q USING (question_id)
+  WHERE q.repair_parent_question_id IN (SELECT question_id FROM open_rows))"""
+
+
+def repair_second_pass() -> str:
+    return f"{second_pass_cte()} SELECT * FROM again"
+
+
+def repair_counts() -> str:
+    return f"""{second_pass_cte()}, best AS (SELECT repair_parent_question_id AS question_id, bool_or(is_valid) AS ok FROM again GROUP BY 1)
+SELECT count(*) AS open, count(ok) AS answered, count(*) FILTER (ok) AS repaired FROM open_rows LEFT JOIN best USING (question_id)"""
+
+
+def suitability_counts() -> str:
+    return f"{views('extracted')} SELECT tradability, count(*) AS n FROM v_extracted GROUP BY 1"
+
+
+def stage_summaries() -> str:
+    parts = [
+        ("ingestion", "events", "count(*)", "articles"), ("ingestion", "sources", "count(DISTINCT source)", "articles"),
+        ("clustering", "clusters", "count(*)", "clusters"),
+        ("extraction", "suitable", "count(*) FILTER (tradability = 'suitable')", "extracted"),
+        ("extraction", "unsuitable", "count(*) FILTER (tradability <> 'suitable')", "extracted"),
+        ("generation", "questions", "count(*)", "questions"), ("generation", "repairs", "count(repair_parent_question_id)", "questions"),
+        ("validation", "valid", "count(*) FILTER (is_valid)", "validation"), ("validation", "failed", "count(*) FILTER (NOT is_valid)", "validation"),
+        ("scoring", "scored", "count(*)", "scored"),
+    ]
+    arms = " UNION ALL ".join(f"SELECT '{s}' AS stage, '{m}' AS metric, {e} AS n FROM v_{v}" for s, m, e, v in parts)
+    return f"{views('articles', 'clusters', 'extracted', 'questions', 'validation', 'scored')} {arms}"
+
+
 # ---- dashboards -------------------------------------------------------------------------------------
 REVIEW_CTE = f"""rv AS (
   SELECT s.*, q.* EXCLUDE (question_id), r.status AS review_status, {deadline('q.deadline')} AS due,
