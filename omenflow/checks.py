@@ -1005,15 +1005,15 @@ def generation_prompts() -> str:
     lines = ", ".join([
         "'Event type: ' || event_type", f"CASE WHEN event_type = 'election' THEN {L(ELECTION_CATEGORY)} END", f"CASE WHEN event_type = 'election' THEN {L(ELECTION_SOURCE)} END",
         f"CASE WHEN event_type = 'geopolitics' THEN {L(GEOPOLITICS_SOURCE)} END", "'Outcome variable: ' || outcome_variable",
-        "'Candidate deadlines: ' || array_to_string(candidate_deadlines, ', ')", "'Authoritative resolution sources (from FR3): ' || array_to_string(resolution_sources, ', ')",
+        "'Candidate deadlines: ' || array_to_string(candidate_deadlines, ', ')", "'Sources that can settle it: ' || array_to_string(resolution_sources, ', ')",
         "'Market angle: ' || market_angle",
-        "CASE WHEN confidence < 0.5 THEN 'Note: FR3 extraction confidence was low (' || printf('%.2f', confidence) || ') — apply extra scrutiny' END",
-        "CASE WHEN contradiction_flag THEN 'Note: FR3 detected conflicting signals in source cluster — ' || contradiction_details END",
+        "CASE WHEN confidence < 0.5 THEN 'Caution: the event was read with low confidence (' || printf('%.2f', confidence) || ')' END",
+        "CASE WHEN contradiction_flag THEN 'Caution: the sources disagree: ' || contradiction_details END",
     ])
     body = stacked(
         section("TODAY'S DATE", L(b.AS_OF_QUESTIONS)), section("EVENT SUMMARY", "event_summary"), section("KEY ENTITIES", "array_to_string(entities, ', ')"),
-        section("EXPECTED TIME HORIZON", "time_horizon"), section("FR3 STRUCTURED CONTEXT (use these fields to craft precise, well-sourced questions)", f"concat_ws({NL}, {lines})"),
-        section("RESOLUTION HINTS (observable outcomes that could resolve this event)", f"'- ' || array_to_string(resolution_hints, {NL} || '- ')"),
+        section("EXPECTED TIME HORIZON", "time_horizon"), section("WHAT IS KNOWN OF THE EVENT", f"concat_ws({NL}, {lines})"),
+        section("OUTCOMES TO LOOK FOR", f"'- ' || array_to_string(resolution_hints, {NL} || '- ')"),
     )
     return f"{views('extracted')} SELECT id, {body} AS prompt FROM v_extracted WHERE tradability <> 'unsuitable'"
 
@@ -1023,10 +1023,10 @@ def repair_prompts() -> str:
         section("TODAY'S DATE", L(b.AS_OF_QUESTIONS)), section("ORIGINAL QUESTION", "question_text"), section("ORIGINAL TYPE", "question_type"),
         section("ORIGINAL OPTIONS", "'[''' || array_to_string(options, ''', ''') || ''']'"), section("ORIGINAL DEADLINE", "deadline"),
         section("ORIGINAL DEADLINE SOURCE", "deadline_source"), section("ORIGINAL RESOLUTION SOURCE", "resolution_source"),
-        section("ORIGINAL RESOLUTION CRITERIA", "resolution_criteria"), section("VALIDATION FLAGS TO FIX", "array_to_string(flags, ', ')"),
+        section("ORIGINAL RESOLUTION CRITERIA", "resolution_criteria"), section("FLAGS TO MEND", "array_to_string(flags, ', ')"),
         section("EVENT SUMMARY", "event_summary"), section("KEY ENTITIES", "array_to_string(entities, ', ')"), section("EXPECTED TIME HORIZON", "time_horizon"),
-        section("CANDIDATE DEADLINES FROM FR3", "array_to_string(candidate_deadlines, ', ')"),
-        section("AUTHORITATIVE RESOLUTION SOURCES FROM FR3", "array_to_string(resolution_sources, ', ')"), section("MARKET ANGLE", "market_angle"),
+        section("POSSIBLE DEADLINES", "array_to_string(candidate_deadlines, ', ')"),
+        section("SOURCES THAT CAN SETTLE IT", "array_to_string(resolution_sources, ', ')"), section("MARKET ANGLE", "market_angle"),
     )
     return f"""{views('questions', 'validation', 'extracted')} SELECT q.question_id, {body} AS prompt
 FROM v_questions q JOIN v_validation v USING (question_id) JOIN v_extracted e ON e.id = q.extracted_event_id

@@ -14,16 +14,17 @@ STORY_ALIASES = [
     ("elections", "election"), ("midterms", "midterm"), ("mid-term", "midterm"),
     ("mid term", "midterm"),
 ]
-STOPWORDS = (
-    "the a an and or of to in on for by with from at as will be is are was were has have had it its "
-    "that this these those what which how many within next current before after into about than their "
-    "they them his her our your who whom if all more less least most over under full period initial "
-    "officially publicly announce announced agreement"
-).split()
-MONTH_WORDS = (
-    "january february march april may june july august september october november december "
-    "jan feb mar apr jun jul aug sep sept oct nov dec"
-).split()
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "by", "with", "from", "at", "as", "will", "be",
+    "is", "are", "was", "were", "has", "have", "had", "it", "its", "that", "this", "these", "those", "what", "which",
+    "how", "many", "within", "next", "current", "before", "after", "into", "about", "than", "their", "they", "them",
+    "his", "her", "our", "your", "who", "whom", "if", "all", "more", "less", "least", "most", "over", "under", "full",
+    "period", "initial", "officially", "publicly", "announce", "announced", "agreement",
+]
+MONTH_WORDS = [
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
+    "december", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec",
+]
 
 # ---- source weights and lookups ------------------------------------------
 SOURCE_WEIGHTS = {
