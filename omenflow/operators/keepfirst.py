@@ -49,9 +49,9 @@ def _beyond(side: DataFrame) -> DataFrame:
     return heads.join(sizes, "key").select("key", "last")
 
 
-def similar_pairs(keys: Keys, rule: Column, salted: bool = False) -> DataFrame:
+def similar_pairs(keys: Keys, rule: Column) -> DataFrame:
     """a < b for every pair of the relation, once."""
-    pairs = meet(keys.left, keys.right, salted, (F.col("l_pos") != F.col("r_pos")) & rule)
+    pairs = meet(keys.left, keys.right, True, (F.col("l_pos") != F.col("r_pos")) & rule)
     return pairs.select(F.least("l_pos", "r_pos").alias("a"), F.greatest("l_pos", "r_pos").alias("b")).distinct()
 
 

@@ -6,19 +6,22 @@ from ..functions.text import aliased, let, squash, story_token_set, story_tokens
 from .durable import written
 from .keepfirst import keep_first, similar_pairs
 from .ranks import global_rank
-from .tokenjoin import PAIR_BUDGET, SKETCH, Keys, distinct_sets, number_tokens, overlap, overlap_bound, pair_estimate, publish
+from .tokenjoin import SKETCH, Keys, distinct_sets, number_tokens, overlap, overlap_bound, publish
 
 FINGERPRINT = 14
 
 
 def token_fingerprint(rows: DataFrame, key: str, text: Column, size: int = FINGERPRINT) -> DataFrame:
-    """key, tokens: the most frequent content tokens, ties by first appearance."""
-    counted = (
-        rows.select(key, F.posexplode(story_tokens(text)).alias("at", "token"))
-        .groupBy(key, "token").agg(F.count("*").alias("c"), F.min("at").alias("at"))
+    """key, tokens: the most frequent content tokens, ties by first appearance. Counted inside the row: nothing is shuffled."""
+    placed = F.array_sort(F.transform(story_tokens(text), lambda w, i: F.struct(w.alias("token"), i.alias("at"))))
+    rows = rows.select(key, placed.alias("placed")).where(F.size("placed") > 0)
+    new = lambda j: (j == 0) | (F.get("placed", j)["token"] != F.get("placed", j - 1)["token"])
+    rows = rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("placed") - 1), new))
+    entry = lambda s, k: F.struct(
+        (s - F.coalesce(F.get("starts", k + 1), F.size("placed"))).alias("c"), F.get("placed", s)["at"].alias("at"), F.get("placed", s)["token"].alias("token")
     )
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "at", "token"))), 1, size)
-    return counted.groupBy(key).agg(F.array_sort(F.transform(best, lambda s: s["token"])).alias("tokens"))
+    rows = rows.withColumn("best", F.slice(F.array_sort(F.transform("starts", entry)), 1, size))
+    return rows.select(key, F.array_sort(F.transform("best", lambda s: s["token"])).alias("tokens"))
 
 
 def story_text() -> Column:
@@ -121,8 +124,7 @@ def accept_questions(questions: DataFrame, cap: int = 2, stored: DataFrame | Non
     groups, members = distinct_sets(pool, ["tokens", "norm"])
     sets = _sets_with_blanks(groups)
     keys = publish(sets, 0.66, contained=True)
-    crowded = pair_estimate(keys.left, keys.right) > PAIR_BUDGET
-    pairs = written(similar_pairs(keys, near_duplicate(), salted=crowded))
+    pairs = written(similar_pairs(keys, near_duplicate()))
     own = sets.where("n > 0 OR norm <> ''").select(F.col("pos").alias("g"), F.col("pos").alias("h"))
     near = written(pairs.select(F.col("a").alias("g"), F.col("b").alias("h")).union(pairs.select("b", "a")).union(own))
     rows = written(members.select("pos", "story", F.col("first").alias("g")))

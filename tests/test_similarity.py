@@ -26,8 +26,6 @@ def limits(request, monkeypatch):
     rare, budget = request.param
     monkeypatch.setattr(tokenjoin, "RARE", rare)
     monkeypatch.setattr(tokenjoin, "PAIR_BUDGET", budget)
-    monkeypatch.setattr(tokenjoin, "HEAD_BUDGET", budget)
-    monkeypatch.setattr(tokenjoin, "CHECKS_PER_CORE", budget // 8)
     monkeypatch.setattr(tokenjoin, "TASK_ROWS", 8 if rare == 4 else 4096)
     monkeypatch.setattr(keepfirst, "HEADS", 4)
     return budget
