@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from omenflow.options import Options
 from omenflow.operators import clusters, pending, priority, prompts, responses
 from omenflow.plans import dashboard, discovery, runlog
 from omenflow.sources import adapters, sinks
@@ -76,7 +77,9 @@ def test_feeds(spark):
     assert got["gdelt", "A"].source == "gdelt" and got["gdelt", "A"].timestamp == NOW
     assert got["gdelt", "B"].source == "d.com" and got["gdelt", "B"].timestamp == dt.datetime(2026, 1, 2, 3, 4, 5)
     assert got["polymarket", "Q?"].timestamp == dt.datetime(2027, 1, 1) and got["polymarket", "Q?"].url.endswith("/event/q")
-    assert len(got["reddit", "T"].content) == 503 and got["reddit", "T"].timestamp == NOW
+    cut = adapters.fan_in(df, Options(body_chars=500)).where("feed = 'reddit'").first()
+    assert len(got["reddit", "T"].content) == 903 and len(cut.content) == 503 and cut.content_hash != got["reddit", "T"].content_hash
+    assert got["reddit", "T"].timestamp == NOW
     assert got["wikipedia", "Some One"].content.endswith("received 1,234,567 pageviews") and ("wikipedia", "Main Page") not in got
     assert got["bls", "Unemployment Rate — May 2026"].content == "BLS Unemployment Rate: 4.0 (May 2026)"
     assert got["rss", "Hi"].source == "my_wire" and got["rss", "Hi"].timestamp == dt.datetime(2026, 1, 1, 22)
@@ -206,3 +209,25 @@ def test_extraction_prompt_takes_the_newest_twenty(spark):
     m = spark.createDataFrame(rows, "cluster_id long, id long, content string, source string, signal_role string, timestamp timestamp_ntz")
     text = prompts.extraction_prompts(m, clusters.cluster_features(m, NOW)).first().prompt
     assert text.count("\n- text") == 20 and "- text 29" in text and "- text 9\n" not in text and "cluster of 30 related" in text
+
+
+def test_rejects_by_shape(spark):
+    """Every payload gives events or is rejected, or its list is empty."""
+    payloads = [
+        ("rss", "<rss><channel><item></rss>", 1), ("rss", "<rss version='2.0'><channel><title>T</title><item><title>a</title></item></channel></rss>", 0),
+        ("rss", "<feed><title>F</title><entry><title>x</title></entry></feed>", 0), ("rss", "<rss><chanel/></rss>", 1),
+        ("gdelt", '{"articles": "oops"}', 1), ("gdelt", '{"artikles": []}', 1), ("gdelt", '{"articles": []}', 0), ("gdelt", None, 1),
+        ("polymarket", "{}", 1), ("polymarket", '[{"question": "q"}]', 0), ("hackernews", "[1]", 1), ("kalshi", "{broken", 1), ("nope", "{}", 1),
+        ("sec_edgar", "<html></html>", 1), ("sec_edgar", "<feed><entry><title>t</title></entry></feed>", 0),
+    ]
+    rows = [(s, p, None, NOW) for s, p, _ in payloads]
+    df = spark.createDataFrame(rows, "source string, payload string, hint string, received_at timestamp")
+    bad = {(r.source, r.payload) for r in adapters.malformed(df).collect()}
+    assert bad == {(s, p) for s, p, rejected in payloads if rejected}
+
+
+def test_missing_numbers_count_as_zero(spark):
+    from omenflow.functions.numeric import clamp, log_scale
+
+    r = spark.createDataFrame([(None,)], "x double").select(clamp("x").alias("a"), log_scale("x", 10.0).alias("b")).first()
+    assert (r.a, r.b) == (0.0, 0.0)
