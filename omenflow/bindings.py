@@ -167,14 +167,15 @@ FROM documents"""
 
 
 def cluster_events(d: Dialect) -> str:
-    """Every article belongs to one cluster; extracted clusters repeat over the customers' clusters."""
-    return "SELECT doc_id % (SELECT count(*) FROM customer) AS cluster_id, doc_id AS event_id FROM documents"
+    """Every article belongs to one of the customers' clusters, all of which exist."""
+    count = "SELECT CAST((max(c_custkey) - max(c_custkey) % 3) / 3 AS BIGINT) + 1 FROM customer"
+    return f"SELECT doc_id % ({count}) AS cluster_id, doc_id AS event_id FROM documents"
 
 
 def labelled_members(d: Dialect) -> str:
-    """Articles grouped by the label of their vector."""
+    """Articles grouped by the label of their vector; those without one are dealt out over ten clusters."""
     return f"""
-SELECT label AS cluster_id, a.* FROM ({articles(d)}) a JOIN embeddings ON vec_id = a.id"""
+SELECT coalesce(CAST(label AS BIGINT), a.id % 10) AS cluster_id, a.* FROM ({articles(d)}) a LEFT JOIN embeddings ON vec_id = a.id"""
 
 
 def validation(d: Dialect) -> str:

@@ -199,10 +199,11 @@ def pending_anti(spark, sf):
 
 
 def pending_not_in(spark, sf):
-    """Clusters not extracted yet, null-aware: articles' clusters against customers' clusters."""
+    """Clusters not extracted yet, null-aware: the articles' ids over the number of customers against customers' clusters."""
     from .operators.pending import not_in
 
-    ids = b.view(spark, sf, "cluster_events").select("cluster_id").distinct()
+    customers = b.table(spark, sf, "customer").agg(F.count("*").alias("n"))
+    ids = b.table(spark, sf, "documents").join(F.broadcast(customers)).select((F.col("doc_id") % F.col("n")).alias("cluster_id")).distinct()
     return not_in(ids, b.view(spark, sf, "extracted"), "cluster_id", "cluster_id")
 
 

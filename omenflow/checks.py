@@ -517,7 +517,7 @@ WHERE NOT EXISTS (SELECT 1 FROM v_scored s WHERE s.question_id = q.question_id)"
 
 
 def pending_not_in() -> str:
-    return f"""{views('cluster_events', 'extracted')} SELECT DISTINCT cluster_id FROM v_cluster_events
+    return f"""{views('extracted')} SELECT DISTINCT cluster_id FROM (SELECT doc_id % (SELECT count(*) FROM customer) AS cluster_id FROM documents)
 WHERE cluster_id NOT IN (SELECT cluster_id FROM v_extracted)"""
 
 

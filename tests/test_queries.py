@@ -61,3 +61,12 @@ def test_candidates_meet_on_keys(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "SortMergeJoin" in plan
     scan = catalog.windowed_velocity(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "props" not in scan.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_views_cover_their_tables(spark):
+    """Every article lies in one labelled cluster, and in one customers' cluster that exists."""
+    from omenflow import bindings as b
+
+    docs = b.table(spark, SF, "documents").count()
+    assert b.view(spark, SF, "labelled_members").count() == docs == b.view(spark, SF, "articles").count()
+    assert b.view(spark, SF, "cluster_events").join(b.view(spark, SF, "clusters"), "cluster_id").count() == docs
