@@ -188,9 +188,9 @@ def find_leaks(
 
 
 def leak_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = find_leaks(docs, benchmark)
-    return found.select(id_back().alias("doc_id"), F.size("items").cast("long").alias("n_items"), "items",
-                        F.col("distance").cast("long").alias("distance"), (F.size("items") > 0).alias("contaminated"))
+    """doc_id, n_items, items, distance of the documents in which a passage of a test item stands."""
+    found = find_leaks(docs, benchmark).where(F.size("items") > 0)
+    return found.select(id_back().alias("doc_id"), F.size("items").cast("long").alias("n_items"), "items", F.col("distance").cast("long").alias("distance"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -268,10 +268,10 @@ def test_range_coder_round_trip_and_checks():
 
 
 def test_joined_checksums():
-    rng = random.Random(2)
+    rng, zeros = random.Random(2), []
     for _ in range(50):
         a, b = (bytes(rng.randrange(256) for _ in range(rng.randrange(300))) for _ in range(2))
-        assert token_files.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+        assert token_files.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b), zeros) == zlib.crc32(a + b)
 
 
 def edit_distance(pattern, text):
@@ -322,20 +322,21 @@ def test_leaks(spark, odd, none):
     benchmark = spark.createDataFrame(items, schema)
     table = spark.createDataFrame(docs, "doc_id long, text string")
     expected = leaks_by_brute_force(docs, [(i, t or "") for i, t in items if i is not None])
-    found = decontaminate.leak_digest(table, benchmark)
-    assert {r["doc_id"]: r["items"] for r in found.collect()} == expected
+    assert {r["id"]: r["items"] for r in decontaminate.find_leaks(table, benchmark).collect()} == expected
+    assert {r["doc_id"]: r["items"] for r in decontaminate.leak_digest(table, benchmark).collect()} == {d: x for d, x in expected.items() if x}
     assert sum(map(bool, expected.values())) >= 6
     kept = decontaminate.drop_leaks(table, benchmark)
     assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} == {d for d, x in expected.items() if not x}
-    assert decontaminate.leak_digest(odd, benchmark).count() == odd.count() == decontaminate.drop_leaks(odd, benchmark).count()
+    assert decontaminate.find_leaks(odd, benchmark).count() == odd.count() == decontaminate.drop_leaks(odd, benchmark).count()
     empty = spark.createDataFrame([], schema)
-    assert decontaminate.leak_digest(odd, empty).where("contaminated").count() == 0 and decontaminate.leak_digest(none, benchmark).count() == 0
+    assert decontaminate.leak_digest(odd, empty).count() == 0 == decontaminate.find_leaks(none, benchmark).count()
+    assert decontaminate.find_leaks(odd, empty).count() == odd.count()
 
 
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 2)
     items = [(i, f"the benchmark question number {i * 1111} asks for something quite particular") for i in range(5)]
     docs = [(1, "before " + items[3][1] + " after"), (1, "before " + items[3][1] + " after"), (2, "nothing here"), (3, items[0][1] + " " + items[4][1])]
-    found = decontaminate.leak_digest(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    by_doc = {r["doc_id"]: set(r["items"]) for r in found.collect()}
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    by_doc = {r["id"]: set(r["items"]) for r in found.collect()}
     assert found.count() == 4 and 3 in by_doc[1] and not by_doc[2] and {0, 4} <= by_doc[3]
