@@ -25,6 +25,10 @@ BAD_WORDS = {
     "toolbar", "copyright", "legal", "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "form", "login", "search", "hidden",
     "contentinfo", "complementary", "skip", "trending", "popular",
 }
+#: Bad words that say where a box lies: on an article itself they describe the page around it.
+LAYOUT_WORDS = {"sidebar", "header", "footer", "nav", "navbar", "navigation", "menu", "aside", "rail", "topbar", "toolbar"}
+#: A class name with one of these tells what a box has beside it, not what it is.
+BESIDE_WORDS = {"has", "no", "with", "without", "is"}
 GOOD_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text", "maincontent"}
 TAG_WEIGHT = {
     "article": 4.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "header": -5.0, "menu": -9.0, "dialog": -9.0, "head": -20.0,
@@ -62,8 +66,13 @@ def _evidence(tag: str, attributes: str) -> float:
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     weight += BAD_WEIGHT
             else:
-                words.update(_WORDS.findall(_CAMEL.sub(" ", value).lower()))
-        if words & BAD_WORDS:
+                for name in value.split():
+                    own = set(_WORDS.findall(_CAMEL.sub(" ", name).lower()))
+                    words |= set() if own & BESIDE_WORDS else own
+        bad = words & BAD_WORDS
+        if tag in ("article", "main"):
+            bad -= LAYOUT_WORDS
+        if bad:
             weight += BAD_WEIGHT
         elif words & GOOD_WORDS:
             weight += GOOD_WEIGHT

@@ -1,8 +1,8 @@
 """Language identification by error-correcting output codes over hashed character n-grams."""
 
+import hashlib
 import math
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +51,7 @@ def codewords(n: int) -> np.ndarray:
     length, draw = max(BITS, 10 * math.ceil(math.log2(n))), 0
     seen = set()
     while len(bits) < length:
-        bit = tuple(1 if zlib.crc32(f"{draw}:{c}".encode()) >> 7 & 1 else -1 for c in range(n))
+        bit = tuple(1 if hashlib.md5(f"{draw}:{c}".encode()).digest()[0] & 1 else -1 for c in range(n))
         draw += 1
         if abs(sum(bit)) <= max(2, n // 3) and bit not in seen and tuple(-b for b in bit) not in seen:
             seen.add(bit)

@@ -82,7 +82,7 @@ def test_codewords_tell_languages_apart(n):
     assert len({tuple(x) for x in code}) == n
     if n > 2:
         gaps = [(code[i] != code[j]).sum() for i in range(n) for j in range(i)]
-        assert min(gaps) >= (code.shape[1] // 3 if n > 4 else 2)
+        assert min(gaps) >= (code.shape[1] // 4 if n > 4 else 2)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -106,6 +106,14 @@ def test_main_text(spark):
     assert html_main.extract_main_text(empty).count() == 0
 
 
+def test_main_text_by_class_names():
+    body = "<p>A sentence of the article, long enough to be one.</p>"
+    for box in ('<article class="post has-sidebar">', '<div class="content with-sidebar">', "<main class='main-header'>", "<div>"):
+        assert html_main.main_text(f"<body>{box}{body}</body>") == "A sentence of the article, long enough to be one."
+    for box in ('<div class="entry-footer">', '<div id="mainSidebar">', '<div role="navigation">', "<aside>", '<div class="x related-posts">', '<ol class="commentlist">', "<div hidden>"):
+        assert html_main.main_text(f"<body>{box}{body}</body>") == ""
+
+
 def test_minimum_cut_against_all_cuts():
     rng = np.random.default_rng(0)
     for _ in range(60):
