@@ -101,7 +101,7 @@ def test_main_text(spark):
     assert len(found) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in found)
     texts = {r["page_id"]: r["text"] for r in found}
     assert texts[1] == "A & B First part second line. Third, x<y. item"
-    assert texts[2] == texts[None] == texts[3] == "" and texts[4] == "just text, no tags." and len(texts[5]) == 5000 * 40 - 1
+    assert texts[2] == texts[None] == texts[3] == "" and texts[4] == "just text, no tags." and len(texts[5]) == 5000 * 37 - 1
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_main.extract_main_text(empty).count() == 0
 
