@@ -178,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.col("id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("id"))
     ).groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = written(texts.join(kinds, "id").select("text", "toxic", "id"))
+    texts = texts.where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    # one plan at every size: the labels grow with the documents, so they are never broadcast whole
+    rows = texts.join(kinds.hint("merge"), "id")
     counts = rows.select("text", "toxic").mapInArrow(_counted, "name string, n long, n_toxic long").groupBy("name").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
     counts = written(counts.where(F.col("n") >= LEAST))
     whole = counts.where("name = ''").first()
@@ -193,7 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = {n: i for i, n in enumerate(dict.fromkeys([r["name"] for r in best] + terms))}
     # about `sample` rows, and never more: the driver holds a bounded number of feature lists
     part = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, 0.95 * sample / total) * (1 << 30))
-    taken = rows.where(part).select("text", "toxic").mapInArrow(_sampled(names), "found array<int>, named array<array<int>>, toxic int").limit(sample).toArrow()
+    chosen = F.broadcast(kinds.where(part).limit(sample))
+    taken = texts.join(chosen, "id").select("text", "toxic").mapInArrow(_sampled(names), "found array<int>, named array<array<int>>, toxic int").limit(sample).toArrow()
     found, named, toxic = (taken.column(c).combine_chunks() for c in ("found", "named", "toxic"))
     if not 0 < sum(toxic.to_pylist()) < len(toxic):
         return Classifier({}, math.log(rate / (1 - rate)))
