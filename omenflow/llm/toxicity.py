@@ -138,16 +138,14 @@ def _back(m, v):
 def fit(found, named, toxic, groups, width, counterfactual: float = 1.0, ridge: float = 0.01, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias by gradient steps on log loss + ridge + counterfactual * mean squared change of the logit.
 
-    The change is that between a sentence and the same with an identity term swapped. Toxic rows
-    count as much as the others together would at three to one.
+    The change is that between a sentence and the same with an identity term swapped.
     """
     y = np.asarray(toxic, float)
     m = _matrix(found, width)
     pairs = list(_swaps(named, groups))
     a, b = (_matrix(pa.array([p[i] for p in pairs], pa.list_(pa.int32())), width) for i in (0, 1))
     share = y.mean()
-    weight = np.where(y > 0, min(3.0, (1 - share) / max(share, 1e-9)), 1.0)
-    weight /= weight.sum()
+    weight = 1 / len(y)  # rows weigh alike: without evidence the score is the share of toxic rows
     w, bias = np.zeros(width), math.log(share / (1 - share))
     first, second, g0 = np.zeros(width), np.zeros(width), [0.0, 0.0]
     for t in range(1, steps + 1):
