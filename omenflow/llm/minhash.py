@@ -2,7 +2,7 @@
 
 import random
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..operators.durable import written
 from ..operators.ranks import global_rank
@@ -12,6 +12,8 @@ from .common import id_back, keyed, words
 BINS, KEPT_BITS, SHINGLE = 256, 4, 5
 #: Probes tried at once for an empty bin before all bins are.
 _FIRST = 16
+#: Consecutive documents that are dealt out together, at least, and groups of them at most.
+GROUP, GROUPS = 256, 50_000
 
 
 def _with_print(rows: DataFrame, text: str, name: str) -> DataFrame:
@@ -68,35 +70,55 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return _with_print(keyed(docs, id_col, text_col), "text", "bits")
 
 
+def _cuts(docs: DataFrame, id_col: str, text_col: str) -> list:
+    """The first (id, tid) of each group of consecutive documents: GROUPS at most, whatever the input."""
+    keys = keyed(docs, id_col, text_col).select("id", "tid")
+    placed = global_rank(keys, [F.col("id"), F.col("tid")], "place", 0)
+    placed = written(placed)
+    step = max(GROUP, -(-placed.count() // GROUPS))
+    return placed.where(F.col("place") % step == 0).select("id", "tid").distinct().orderBy("id", "tid").collect()
+
+
+def _group_of(cuts: list) -> Column:
+    """Number of the group in which (id, tid) lies: a binary search in one literal."""
+    ids = F.split(F.lit(",".join(str(c["id"]) for c in cuts)), ",").cast("array<bigint>")
+    tids = F.split(F.lit(",".join(str(c["tid"]) for c in cuts)), ",").cast("array<bigint>")
+
+    def narrowed(span: Column, _: Column) -> Column:
+        middle = ((span["low"] + span["high"]) / 2).cast("int")
+        reached = (F.col("id") > F.get(ids, middle)) | ((F.col("id") == F.get(ids, middle)) & (F.col("tid") >= F.get(tids, middle)))
+        return F.when(reached, F.struct(middle.alias("low"), span["high"].alias("high"))).otherwise(F.struct(span["low"].alias("low"), middle.alias("high")))
+
+    whole = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1)), whole, narrowed)["low"]
+
+
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited, bits, edited_bits, near_edited, near_next for each row.
 
     The edited text has its last half (rounded down) replaced by as much of the beginning of the
-    next document, by ascending id; the last document's next is the first. Ids are numbered in range
-    partitions, and each document fetches the part it needs of its next one: no task sees more than its share.
+    next document, by ascending id; the last document's next is the first. Documents are dealt out once,
+    by groups of consecutive ids; the first of each group also goes to the group before, so that
+    every document meets its next one there.
 
     A null text is empty; an empty text's fingerprint is that of the empty shingle. A null id comes
-    first. Rows with one id are ordered by their text's hash; repeated rows are one document, with
-    one result each. A single document is its own next. An empty table gives none.
+    first. Rows with one id are ordered by their text's hash, and repeated rows follow each other. A
+    single document is its own next. An empty table gives none.
     """
-    prints = document_fingerprints(docs, id_col, text_col)
-    rows = keyed(docs, id_col, text_col).select("id", "tid", F.length("text").alias("n")).distinct()
-    placed = written(global_rank(rows, [F.col("id"), F.col("tid")], "place", 0))
-    total = placed.count()
-    if not total:
-        total = 1
-    link = placed.select(
-        ((F.col("place") + (total - 1)) % total).alias("place"), F.col("id").alias("next_id"), F.col("tid").alias("next_tid")
-    )
-    link = placed.join(link, "place").select("id", "tid", F.floor(F.col("n") / 2).cast("int").alias("half"), "next_id", "next_tid")
-    after = prints.select(F.col("id").alias("next_id"), F.col("tid").alias("next_tid"), "text", "bits").join(link, ["next_id", "next_tid"])
-    after = after.groupBy("id", "tid").agg(
-        F.first(F.substring(F.col("text"), F.lit(1), F.col("half"))).alias("tail"), F.first("bits").alias("next_bits"), F.first("half").alias("half")
-    )
-    rows = prints.join(after, ["id", "tid"])
+    cuts = _cuts(docs, id_col, text_col) or [{"id": 0, "tid": 0}]
+    rows = document_fingerprints(docs, id_col, text_col).withColumn("group", _group_of(cuts))
+    ids = F.split(F.lit(",".join(str(c["id"]) for c in cuts)), ",").cast("array<bigint>")
+    tids = F.split(F.lit(",".join(str(c["tid"]) for c in cuts)), ",").cast("array<bigint>")
+    leads = (F.get(ids, "group") == F.col("id")) & (F.get(tids, "group") == F.col("tid"))
+    here = F.struct(F.col("group").alias("group"), F.lit(False).alias("guest"))
+    before = F.struct(F.pmod(F.col("group") - 1, F.lit(len(cuts))).alias("group"), F.lit(True).alias("guest"))
+    rows = rows.select("id", "tid", "text", "bits", F.explode(F.when(leads, F.array(here, before)).otherwise(F.array(here))).alias("at"))
+    order = W.partitionBy("at.group").orderBy("at.guest", "id", "tid")
+    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_bits", F.lead("bits").over(order)).where("not at.guest")
     n = F.length("text")
+    half = F.floor(n / 2).cast("int")
     rows = rows.select("id", n.alias("n_chars"), "bits", "next_bits",
-                       F.concat(F.substring(F.col("text"), F.lit(1), n - F.col("half")), F.col("tail")).alias("edited"))
+                       F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"))
     rows = _with_print(rows, "edited", "edited_bits")
     return rows.select(
         id_back().alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited", "bits", "edited_bits",
