@@ -113,8 +113,9 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     here = F.struct(F.col("group").alias("group"), F.lit(False).alias("guest"))
     before = F.struct(F.pmod(F.col("group") - 1, F.lit(len(cuts))).alias("group"), F.lit(True).alias("guest"))
     rows = rows.select("id", "tid", "text", "bits", F.explode(F.when(leads, F.array(here, before)).otherwise(F.array(here))).alias("at"))
-    order = W.partitionBy("at.group").orderBy("at.guest", "id", "tid")
-    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_bits", F.lead("bits").over(order)).where("not at.guest")
+    rows = rows.select("id", "tid", "text", "bits", "at.group", "at.guest")
+    order = W.partitionBy("group").orderBy("guest", "id", "tid")
+    rows = rows.select("id", "text", "bits", "guest", F.lead("text").over(order).alias("next_text"), F.lead("bits").over(order).alias("next_bits")).where("not guest")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.select("id", n.alias("n_chars"), "bits", "next_bits",
