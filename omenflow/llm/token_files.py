@@ -19,8 +19,8 @@ from .common import id_back, keyed
 BLOCK, LANES = 4096, 2048
 #: Id that ends a document.
 END = 0
-#: Chunks whose ids a worker remembers at most, before it starts anew.
-_CHUNKS = 600_000
+#: Chunks whose ids a worker remembers at most; past that it forgets those of more than _SHORT characters, which come back less often.
+_CHUNKS, _SHORT = 900_000, 8
 #: Where a space follows white space, or a special token is spelled out, the text goes to the library whole.
 _WHOLE = re.compile(r"\s |<\|endoftext\|>")
 
@@ -46,8 +46,11 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.first) + len(self.later) > _CHUNKS:
-            self.first.clear()
-            self.later.clear()
+            for known in (self.first, self.later):
+                short = {c: ids for c, ids in known.items() if len(c) <= _SHORT}
+                known.clear()
+                if len(short) <= _CHUNKS // 4:
+                    known.update(short)
         split = [None if _WHOLE.search(t) else t.split(" ") for t in texts]
         new_first = list({s[0] for s in split if s} - self.first.keys())
         new_later = list({c for s in split if s for c in s[1:]} - self.later.keys())
@@ -160,36 +163,44 @@ def _reading(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["part", "no", "id", "start", "at", "n", "crc"])
 
 
-def crc32_joined(first: int, second: int, length: int) -> int:
-    """crc32 of two byte strings in a row, from the crc32 of each and the length of the second."""
-    def times(matrix, vector):
-        total, i = 0, 0
-        while vector:
-            if vector & 1:
-                total ^= matrix[i]
-            vector >>= 1
-            i += 1
-        return total
-
-    # the operator that shifts a checksum by one zero bit, squared again and again
-    power = [0xEDB88320] + [1 << i for i in range(31)]
-    for _ in range(3):
-        power = [times(power, row) for row in power]
+def _moved(matrix: list[int], crc: int) -> int:
+    total, i = 0, 0
+    while crc:
+        if crc & 1:
+            total ^= matrix[i]
+        crc >>= 1
+        i += 1
+    return total
+
+
+def crc32_joined(first: int, second: int, length: int, zeros: list[list[int]]) -> int:
+    """crc32 of two byte strings in a row, from the crc32 of each and the length of the second.
+
+    `zeros` keeps what 1, 2, 4 ... zero bytes do to a checksum: matrices over bits, each squared from
+    the one before. It starts empty and grows as needed.
+    """
+    k = 0
     while length:
+        if k == len(zeros):
+            half, squares = (zeros[-1], 1) if zeros else ([0xEDB88320] + [1 << i for i in range(31)], 3)
+            for _ in range(squares):
+                half = [_moved(half, row) for row in half]
+            zeros.append(half)
         if length & 1:
-            first = times(power, first)
-        power = [times(power, row) for row in power]
+            first = _moved(zeros[k], first)
         length >>= 1
+        k += 1
     return first ^ second
 
 
 def _joined(batches):
+    zeros: list[list[int]] = []
     for batch in batches:
         sums = []
         for pieces in batch.column(4).to_pylist():
             total = pieces[0]["crc"]
             for piece in pieces[1:]:
-                total = crc32_joined(total, piece["crc"], 4 * piece["n"])
+                total = crc32_joined(total, piece["crc"], 4 * piece["n"], zeros)
             sums.append(total)
         yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.array(sums, pa.int64())], ["part", "id", "start", "n_tokens", "ids_crc32"])
 
