@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import id_back, keyed
 
-#: A passage of a test item this long (in characters) is looked for by itself; passages overlap by half.
-PASSAGE = 120
+#: The shortest leak that counts: so many words of a test item, or so many characters if these words are longer.
+WORDS, PASSAGE = 13, 120
+#: Within a longer word, passages start this many characters apart.
+STEP = 20
+#: Passages of a test item that are looked for together; a longer item is cut into overlapping stretches.
+STRETCH = 64
 #: Edits allowed in a passage, as a share of its characters.
 ERRORS = 0.08
-#: Test passages that a pass over the documents looks for; a larger test set takes more passes.
+#: Stretches of test items that a pass over the documents looks for; a larger test set takes more passes.
 BLOCK = 20_000
 #: Characters of the grams by which most false places are told before the distance is computed.
 GRAM = 4
@@ -20,12 +24,41 @@ def _plain(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def spans(text: str, length: int = PASSAGE, words: int = WORDS) -> list[tuple[int, int]]:
+    """Start and end of each passage: `words` words from each word on, cut to `length` characters.
+
+    A text of up to `words` words and `length` characters is one passage. Only where a word is longer than STEP
+    do passages start inside it.
+    """
+    starts, at = [], 0
+    for word in text.split(" "):
+        starts.append(at)
+        at += len(word) + 1
+    if not text or (len(starts) <= words and len(text) <= length):
+        return [(0, len(text))] if text else []
+    ends = [*(a - 1 for a in starts[words:]), *[len(text)] * words]
+    out = []
+    for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(text) + 1])):
+        out += [(x, min(ends[i], x + length)) for x in range(a, max(a + 1, b - 1), STEP)]
+    # the last passages reach the end: of these, the longest holds the others
+    last = next(i for i, (_, b) in enumerate(out) if b == len(text))
+    return out[:last + 1]
+
+
 def passages(text: str, length: int = PASSAGE) -> list[str]:
-    """Overlapping passages that cover the item; one that is hardly longer than a passage stays whole."""
-    if len(text) <= length * 3 // 2:
-        return [text] if text else []
-    step = length // 2
-    return [text[at:at + length] for at in [*range(0, len(text) - length, step), len(text) - length]]
+    """The overlapping passages of an item, of which each counts as a leak."""
+    return [text[a:b] for a, b in spans(text, length)]
+
+
+def stretches(text: str, length: int = PASSAGE) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Parts of the item with up to STRETCH passages each, and where these lie in them."""
+    found = spans(text, length)
+    out = []
+    for i in range(0, len(found), STRETCH):
+        part = found[i:i + STRETCH]
+        start, end = part[0][0], max(b for _, b in part)
+        out.append((text[start:end], [(a - start, b - start) for a, b in part]))
+    return out
 
 
 def pieces(passage: str, errors: int) -> list[tuple[int, str]]:
@@ -73,44 +106,82 @@ class Pattern:
         return least
 
 
+class Stretch:
+    """A part of a test item: its passages, and the tiles of which each passage keeps one within its budget."""
+
+    def __init__(self, text: str, where: list[tuple[int, int]], errors: float):
+        self.where = where
+        self.budget = [int((b - a) * errors) for a, b in where]
+        self.patterns: dict[int, Pattern] = {}
+        self.text = text
+        self.length, self.most = max(b - a for a, b in where), max(self.budget)
+        if len(where) == 1:
+            self.tiles = pieces(text, self.budget[0])
+        else:
+            # a passage of n characters holds at least budget + 1 whole tiles, wherever it starts
+            size = max(1, min((b - a + 1) // (k + 2) for (a, b), k in zip(where, self.budget)))
+            self.tiles = [(at, text[at:at + size]) for at in range(0, len(text) - size + 1, size)]
+        self.chunks = [text[at:at + GRAM] for at in range(0, len(text) - GRAM + 1, GRAM)]
+        #: an edit spoils one of the disjoint chunks that lie in a passage
+        self.need = min((b - a - GRAM + 1) // GRAM - k for (a, b), k in zip(where, self.budget))
+
+    def may_be_near(self, offset: int, place: str) -> bool:
+        """False only if no passage around the offset stands in the place."""
+        if self.need <= 0:
+            return True
+        near = self.chunks[max(0, (offset - self.length) // GRAM): (offset + self.length) // GRAM + 1]
+        return sum([c in place for c in near]) >= self.need
+
+    def pattern(self, j: int) -> Pattern:
+        if j not in self.patterns:
+            a, b = self.where[j]
+            self.patterns[j] = Pattern(self.text[a:b])
+        return self.patterns[j]
+
+
 class Index:
-    """Automaton over the pieces of a block of passages."""
-
-    def __init__(self, block: list[tuple[str, list[int]]], errors: float):
-        self.budget = [int(len(p) * errors) for p, _ in block]
-        self.items = [items for _, items in block]
-        self.length = [len(p) for p, _ in block]
-        self.patterns = [Pattern(p) for p, _ in block]
-        where: dict[str, list[tuple[int, int]]] = {}
-        for i, (passage, _) in enumerate(block):
-            for offset, piece in pieces(passage, self.budget[i]):
-                where.setdefault(piece, []).append((i, offset))
+    """Automaton over the tiles of a block of stretches."""
+
+    def __init__(self, block: list[tuple[str, list[tuple[int, int]], list[int]]], errors: float):
+        self.items = [items for _, _, items in block]
+        self.stretches = [Stretch(text, where, errors) for text, where, _ in block]
+        tiles: dict[str, list[tuple[int, int]]] = {}
+        for i, stretch in enumerate(self.stretches):
+            for offset, tile in stretch.tiles:
+                tiles.setdefault(tile, []).append((i, offset))
         self.automaton = ahocorasick.Automaton()
-        for piece, at in where.items():
-            self.automaton.add_word(piece, (len(piece), at))
+        for tile, at in tiles.items():
+            self.automaton.add_word(tile, (len(tile), at))
         self.automaton.make_automaton()
 
     def search(self, text: str) -> dict[int, int]:
-        """Least distance of each passage that stands in the text within its budget."""
+        """Least distance of a passage of each stretch that stands in the text within its budget."""
         found: dict[int, int] = {}
-        tried: set[tuple[int, int]] = set()
+        tried: set[tuple[int, int, int]] = set()
         for end, (size, at) in self.automaton.iter(text):
             for i, offset in at:
-                start = end - size + 1 - offset
-                if found.get(i) == 0 or (i, start) in tried:
+                if found.get(i) == 0:
                     continue
-                tried.add((i, start))
-                k = self.budget[i]
-                place = text[max(0, start - k): start + self.length[i] + k]
-                if not self.patterns[i].may_be_near(place, k):
+                s, begin = self.stretches[i], end - size + 1
+                reach = s.length + s.most
+                if not s.may_be_near(offset, text[max(0, begin - reach): begin + reach]):
                     continue
-                distance = self.patterns[i].best(place)
-                if distance <= k and distance < found.get(i, k + 1):
-                    found[i] = distance
+                for j, (a, b) in enumerate(s.where):
+                    start = begin - offset + a
+                    if a > offset or b < offset + size or (i, j, start) in tried:
+                        continue
+                    tried.add((i, j, start))
+                    k, pattern = s.budget[j], s.pattern(j)
+                    place = text[max(0, start - k): max(0, start + b - a + k)]
+                    if not pattern.may_be_near(place, k):
+                        continue
+                    distance = pattern.best(place)
+                    if distance <= k and distance < found.get(i, k + 1):
+                        found[i] = distance
         return found
 
 
-def _searching(block: list[tuple[str, list[int]]], errors: float):
+def _searching(block: list[tuple[str, list[tuple[int, int]], list[int]]], errors: float):
     def run(batches):
         index = Index(block, errors)
         for batch in batches:
@@ -130,23 +201,27 @@ def _searching(block: list[tuple[str, list[int]]], errors: float):
     return run
 
 
-def test_passages(benchmark: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """passage, items: each distinct passage with the ids of the items that hold it."""
+def test_stretches(benchmark: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """stretch, at, items: each distinct stretch, the ends of its passages (start, end, start, ...) and the items that hold it."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null")
 
     def run(batches):
         for batch in batches:
-            pairs = [(i, p) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p in passages(_plain(t), length)]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int64()), pa.array([p for _, p in pairs], pa.string())], ["item", "passage"])
+            found = [(i, s, [x for ab in where for x in ab]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                     for s, where in stretches(_plain(t), length)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.list_(pa.int32()))],
+                ["item", "stretch", "at"],
+            )
 
-    return rows.mapInArrow(run, "item long, passage string").groupBy("passage").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return rows.mapInArrow(run, "item long, stretch string, at array<int>").groupBy("stretch", "at").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def _blocks(found: DataFrame, size: int):
-    """The passages in blocks of `size`, one block on the driver at a time."""
+    """The stretches in blocks of `size`, read one block at a time."""
     block = []
-    for row in found.orderBy("passage").toLocalIterator():
-        block.append((row["passage"], list(row["items"])))
+    for row in found.orderBy("stretch", "at").toLocalIterator():
+        block.append((row["stretch"], list(zip(row["at"][::2], row["at"][1::2])), list(row["items"])))
         if len(block) == size:
             yield block
             block = []
@@ -160,9 +235,10 @@ def find_leaks(
 ) -> DataFrame:
     """id, tid, items, distance for each row of `docs`: the test items of which a passage stands in it.
 
-    Both sides are compared in lower case with single spaces. A passage within its error budget of
-    some place of the document has a piece unchanged there; an automaton finds the pieces, and the
-    places they point to are verified. The test set goes through in blocks against all
+    Both sides are compared in lower case with single spaces. A passage is thirteen words of an item, from
+    each of its words on, or 120 characters if they are longer; an item of fewer words is one passage. An
+    edit budget of 8 % of its characters leaves a tile of it unchanged; an automaton finds the tiles,
+    and the places they point to are verified. The test set goes through in blocks against all
     documents, so what a task holds does not grow with it.
 
     Null and empty texts hold nothing; null item ids are left out; items of equal text are all named.
@@ -171,7 +247,7 @@ def find_leaks(
     """
     rows = keyed(docs, id_col, text_col)
     parts = [rows.mapInArrow(_searching(b, errors), "id long, tid long, items array<long>, distance int")
-             for b in _blocks(test_passages(benchmark, item_id, item_text, length), BLOCK)]
+             for b in _blocks(test_stretches(benchmark, item_id, item_text, length), BLOCK)]
     if not parts:
         return rows.select("id", "tid", F.array().cast("array<long>").alias("items"), F.lit(None).cast("int").alias("distance"))
     if len(parts) == 1:
