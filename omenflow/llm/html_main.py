@@ -41,16 +41,18 @@ SIBLING, NEIGHBOUR, CROSSING = 0.8, 0.4, 0.05
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S
 )
-_NAMED = re.compile(r"\b(class|id|role|aria-label|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_NAMED = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_TELLING = {"class", "id", "role", "aria-label", "hidden", "aria-hidden", "style"}
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class _Element:
-    __slots__ = ("tag", "weight", "region", "parent")
+    __slots__ = ("tag", "weight", "region", "parent", "inside")
 
     def __init__(self, tag, weight, region, parent):
         self.tag, self.weight, self.region, self.parent = tag, weight, region, parent
+        self.inside = 0  # open elements of the same tag in an inline one
 
 
 def _evidence(tag: str, attributes: str) -> float:
@@ -60,6 +62,8 @@ def _evidence(tag: str, attributes: str) -> float:
         words = set()
         for name, a, b, c in _NAMED.findall(attributes):
             name, value = name.lower(), a or b or c
+            if name not in _TELLING:
+                continue
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
                 weight += BAD_WEIGHT
             elif name == "style":
@@ -121,6 +125,13 @@ def page_blocks(page: str) -> list[tuple[str, float, int, int]]:
             chars += size
             links += size if in_link else 0
 
+    def marked(tag):
+        """The place of the nearest open inline element of this tag within the current block, or 0."""
+        at = len(stack) - 1
+        while stack[at].tag in INLINE and stack[at].tag != tag:
+            at -= 1
+        return at if stack[at].tag == tag else 0
+
     pos, size = 0, len(page)
     while pos < size:
         found = _TAG.search(page, pos)
@@ -145,8 +156,17 @@ def page_blocks(page: str) -> list[tuple[str, float, int, int]]:
                 parts.append(" ")
         elif tag in VOID or tag in RAW:
             pass
-        elif tag in INLINE and (closing or _evidence(tag, attributes) >= 0):
-            pass
+        elif tag in INLINE and closing:
+            at = marked(tag)
+            if at and stack[at].inside:
+                stack[at].inside -= 1
+            elif at:
+                flush()
+                del stack[at:]
+        elif tag in INLINE and _evidence(tag, attributes) >= 0:
+            at = marked(tag)
+            if at:
+                stack[at].inside += 1
         elif closing:
             flush()
             in_link = False
@@ -155,7 +175,7 @@ def page_blocks(page: str) -> list[tuple[str, float, int, int]]:
                     pass
         else:
             flush()
-            in_link = False
+            in_link = in_link and tag in INLINE
             for ended in (ENDS.get(tag, ()),):
                 while len(stack) > 1 and stack[-1].tag in ended:
                     stack.pop()
