@@ -121,16 +121,25 @@ class Stretch:
             # a passage of n characters holds at least budget + 1 whole tiles, wherever it starts
             size = max(1, min((b - a + 1) // (k + 2) for (a, b), k in zip(where, self.budget)))
             self.tiles = [(at, text[at:at + size]) for at in range(0, len(text) - size + 1, size)]
-        self.chunks = [text[at:at + GRAM] for at in range(0, len(text) - GRAM + 1, GRAM)]
+        self.near: dict[int, list[tuple[str, int, int]]] = {}
         #: an edit spoils one of the disjoint chunks that lie in a passage
         self.need = min((b - a - GRAM + 1) // GRAM - k for (a, b), k in zip(where, self.budget))
 
-    def may_be_near(self, offset: int, place: str) -> bool:
-        """False only if no passage around the offset stands in the place."""
+    def may_be_near(self, offset: int, text: str, begin: int) -> bool:
+        """False only if no passage around the tile at the offset stands around `begin` in the text.
+
+        The tile being unchanged, an unchanged chunk stands at its own distance from it, give or take the edits.
+        """
         if self.need <= 0:
             return True
-        near = self.chunks[max(0, (offset - self.length) // GRAM): (offset + self.length) // GRAM + 1]
-        return sum([c in place for c in near]) >= self.need
+        near = self.near.get(offset)
+        if near is None:
+            within = [c for c in range(0, len(self.text) - GRAM + 1, GRAM) if abs(c - offset) <= self.length]
+            near = self.near[offset] = [(self.text[c:c + GRAM], c - offset - self.most, c - offset + GRAM + self.most) for c in within]
+        find = text.find
+        if begin < self.length + self.most:
+            return sum([find(c, max(0, begin + lo), max(0, begin + hi)) >= 0 for c, lo, hi in near]) >= self.need
+        return sum([find(c, begin + lo, begin + hi) >= 0 for c, lo, hi in near]) >= self.need
 
     def pattern(self, j: int) -> Pattern:
         if j not in self.patterns:
@@ -163,8 +172,7 @@ class Index:
                 if found.get(i) == 0:
                     continue
                 s, begin = self.stretches[i], end - size + 1
-                reach = s.length + s.most
-                if not s.may_be_near(offset, text[max(0, begin - reach): begin + reach]):
+                if not s.may_be_near(offset, text, begin):
                     continue
                 for j, (a, b) in enumerate(s.where):
                     start = begin - offset + a
