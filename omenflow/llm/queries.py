@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hard_negatives, html_main, langid, licenses, line_dedup, minhash, mixing, ngram_lm, simhash, token_files, toxicity
+from . import alignment, decontaminate, hard_negatives, html_main, langid, licenses, line_dedup, minhash, mixing, ngram_lm, simhash, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,5 +64,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negative_digest(_table(spark, sf_dir, "embeddings"))
 
 
-NAMED = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_toxicity, op4_simhash, op5_token_files, op6_main_text, op7_decontaminate, op8_language_id, op9_license_scan, op10_fingerprints, op11_lm_scores, op12_hard_negatives)}
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_corpus(_table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+NAMED = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_toxicity, op4_simhash, op5_token_files, op6_main_text, op7_decontaminate, op8_language_id, op9_license_scan, op10_fingerprints, op11_lm_scores, op12_hard_negatives, op13_tokenizer_alignment)}
 ORACLE = {"op1_line_dedup": line_dedup.LINE_SQL, "op2_mix_sources": mixing.mix_sql(), "op12_hard_negatives": hard_negatives.HARD_NEGATIVE_SQL}
