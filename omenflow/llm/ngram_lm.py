@@ -23,7 +23,7 @@ from ..operators.durable import written
 from .common import NO_ID, held_out, id_back
 
 #: Tokens of a unit at most, n-grams of a bucket about, and buckets for each order at least.
-UNIT, BUCKET, BUCKETS = 3 << 19, 1_000_000, 64
+UNIT, BUCKET, BUCKETS = 1 << 20, 1_000_000, 64
 #: One in HELD of the learned texts is held out of the counts that the weights are learned on.
 HELD = 10
 #: Rounds of expectation-maximisation at most; they end once no weight moves by more than STILL.
@@ -148,14 +148,21 @@ class _Grams:
         weight = scored.copy()
         weight[starts + 1] = [p["first"] for p in row["pieces"]]
         self.weight = {1: weight[asked], 2: weight[asked], 3: None}
+        self.word = word
+
+    def keys(self, order: int) -> np.ndarray:
+        """Hashes of the n-grams of one order, at the places that ask for them."""
+        word = self.word
+        if order == 1:
+            return _mixed(word[self.asked])
         pair = word[1:] * _ODD[1] + word[:-1] * _ODD[2]
-        triple = pair[1:] * _ODD[2] + word[:-2]
-        short = np.uint64(8)
-        self.keys = {1: _mixed(word[asked]), 2: _mixed(pair[asked[1:]]) >> short, 3: _mixed(triple[scored[2:]]) >> short}
+        if order == 2:
+            return _mixed(pair[self.asked[1:]]) >> np.uint64(8)
+        return _mixed((pair[1:] * _ODD[2] + word[:-2])[self.scored[2:]]) >> np.uint64(8)
 
     def spread(self, order: int, counts: np.ndarray, back: np.ndarray) -> np.ndarray:
         """Counts of the distinct n-grams, at each place where one ends."""
-        out = np.zeros(len(self.asked), np.int64)
+        out = np.zeros(len(self.asked), counts.dtype)
         out[self.scored if order == 3 else self.asked] = counts[back]
         return out
 
@@ -178,9 +185,9 @@ def _asking(buckets: int):
                 out = []
                 for order in (1, 2, 3):
                     if order == 3:
-                        keys, counts = np.unique(grams.keys[order], return_counts=True)
+                        keys, counts = np.unique(grams.keys(order), return_counts=True)
                     else:
-                        keys, back = np.unique(grams.keys[order], return_inverse=True)
+                        keys, back = np.unique(grams.keys(order), return_inverse=True)
                         counts = np.bincount(back, grams.weight[order], len(keys))
                     cuts = _bounds(keys, order, buckets)
                     steps = np.diff(keys, prepend=np.uint64(0))
@@ -229,13 +236,18 @@ def _counts(unit: pa.Table, answers: pa.Table, column: str) -> tuple:
     grams = _Grams(row)
     parts = sorted(zip(answers["bucket"].to_pylist(), answers["n"].to_pylist(), answers[column].to_pylist()))
     counts = np.concatenate([_unpacked(data, n, np.int64) for _, n, data in parts])
-    at, found = 0, {}
-    for order in (1, 2, 3):
-        keys, back = np.unique(grams.keys[order], return_inverse=True)
-        found[order] = grams.spread(order, counts[at:at + len(keys)], back)
-        at += len(keys)
+    if len(counts) and counts.max() < 2**31:
+        counts = counts.astype(np.int32)
     here = np.flatnonzero(grams.scored)
-    return row, grams, found[3][here], found[2][here - 1], found[2][here], found[1][here - 1], found[1][here]
+    at, found = 0, []
+    for order in (1, 2, 3):  # one order at a time: the hashes are what takes memory
+        keys, back = np.unique(grams.keys(order), return_inverse=True)
+        spread = grams.spread(order, counts[at:at + len(keys)], back)
+        at += len(keys)
+        del keys, back
+        found += [spread[here], spread[here - 1]][: 1 if order == 3 else 2]
+    c1, n2, c2, n3, c3 = found
+    return row, grams, c3, n3, c2, n2, c1
 
 
 def frequency_bucket(count):
