@@ -43,7 +43,7 @@ _UNIT = "unit long, cls int, n long, pieces array<struct<row:long,id:long,n:int,
 
 def _packed(values: np.ndarray) -> bytes:
     """Bytes of equal weight side by side, compressed: small numbers and small differences take little."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
