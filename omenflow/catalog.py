@@ -449,6 +449,19 @@ def vector_dedupe_strict(spark, sf):
     return vectors.dedupe_vectors(vector_rows(spark, sf)).select(F.col("pos").alias("vec_id"))
 
 
+def vector_dedupe_blocks(spark, sf):
+    """The same rows where a block holds 64 vectors, so that many cells and visits take part."""
+    from .operators import vectors
+
+    return vectors.dedupe_vectors(vector_rows(spark, sf), VECTOR_THRESHOLD, block=64).select(F.col("pos").alias("vec_id"))
+
+
+def dbscan_blocks(spark, sf):
+    from .operators import vectors
+
+    return vectors.dbscan(vector_rows(spark, sf), VECTOR_EPS, block=64).withColumnRenamed("pos", "vec_id")
+
+
 def dbscan(spark, sf):
     from .operators import vectors
 
@@ -702,7 +715,7 @@ QUERIES = [
     # clusters and priorities
     cluster_features, cluster_coherence, cluster_priority_topk, priority_tiered, event_priority_queue, event_priority_sparse, event_priority_tiered,
     # similarity
-    vector_dedupe, vector_dedupe_strict, dbscan, dbscan_features, story_dedupe, question_dedupe, capped_story_dedupe,
+    vector_dedupe, vector_dedupe_strict, vector_dedupe_blocks, dbscan_blocks, dbscan, dbscan_features, story_dedupe, question_dedupe, capped_story_dedupe,
     novelty, near_duplicate_theme,
     # gate, admission, scoring
     gate_flags, gate_summary, salvage_flags, admission_errors, soft_flags, scored_rank, scored_rank_sparse, top_questions,

@@ -761,6 +761,10 @@ def vector_dedupe_strict() -> str:
     return vector_dedupe(0.92)
 
 
+def vector_dedupe_blocks() -> str:
+    return vector_dedupe()
+
+
 DBSCAN_CTE = f"""WITH RECURSIVE {vec_pairs(0.35)},
 nb AS MATERIALIZED (SELECT a, b FROM vp UNION ALL SELECT b, a FROM vp),
 core AS MATERIALIZED (SELECT vec_id AS v FROM embeddings LEFT JOIN nb ON nb.a = vec_id GROUP BY vec_id HAVING count(nb.b) + 1 >= 3),
@@ -776,6 +780,10 @@ def dbscan() -> str:
     return f"{DBSCAN_CTE} SELECT vec_id, label FROM db"
 
 
+def dbscan_blocks() -> str:
+    return dbscan()
+
+
 def dbscan_features() -> str:
     return f"""{DBSCAN_CTE}, art AS ({b.check_sql('articles')}), m AS (SELECT label AS cluster_id, art.* FROM db JOIN art ON art.id = db.vec_id),
 coh AS (SELECT x.label AS cluster_id, avg(list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) AS c

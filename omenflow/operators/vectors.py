@@ -1,8 +1,10 @@
 """Exact cosine neighbours, greedy vector dedupe and density clustering.
 
-Vectors are put in cells around a bounded set of pivots. By the triangle inequality a vector can
-only have neighbours within distance r in cells whose pivot is at most 2r further away than its own
-pivot, so it visits just those. Each visit is a block product in numpy between at most `BLOCK`
+Vectors are put in cells around a bounded set of pivots. Three certain bounds tell which cells a vector has to visit: by the
+triangle inequality a neighbour within distance r lies in a cell whose pivot is at most 2r further away than the
+vector's own, and its distance to each of several watched pivots lies within r of the cell's interval; and by
+Cauchy-Schwarz a product is at most that of the leading components plus that of the lengths of the tails, so a
+cell in which no head comes near enough gets no visit. Each visit is a block product in numpy between at most `block`
 vectors on either side; a cell of any size is a grid of such blocks over many tasks, and the tasks
 hand on flags, counts or spanning edges - never all pairs of a cell.
 """
@@ -16,6 +18,9 @@ from .durable import written
 
 BLOCK = 2048
 PIVOTS = 1024  # at most this many pivots; fewer for small tables
+WATCHED = 16  # pivots whose distances are kept as an interval for each cell
+#: Heads are as long as it takes for unrelated vectors to lie HEAD times as far apart in them as neighbours may; at most that share of a vector.
+HEAD, LONGEST = 4.0, 0.75
 SLACK = 1e-6
 
 
@@ -38,51 +43,106 @@ def distinct_vectors(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups.withColumnRenamed("first", "pos"), members
 
 
-def cells(units: DataFrame, t: float) -> DataFrame:
-    """One row per vector and visited cell: pos, u, weight, cell, home, block.
+def _leading(units: DataFrame, t: float) -> list[int] | None:
+    """The components that make heads, those of most energy first; None if heads would be no shorter than vectors."""
+    def energy(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"e": [(np.vstack(pdf["u"].to_numpy()) ** 2).sum(0)]})
+
+    parts = units.select("u").mapInPandas(energy, "e array<double>").select(F.posexplode("e").alias("i", "e"))
+    total = sorted((-r["e"], r["i"]) for r in parts.groupBy("i").agg(F.sum("e").alias("e")).collect())  # one row for each component
+    size = int(np.ceil(HEAD * (1.0 - t) * len(total)))
+    return [i for _, i in total[:size]] if total and size <= LONGEST * len(total) else None
+
+
+def cells(units: DataFrame, t: float, block: int | None = None) -> DataFrame:
+    """One row per vector and visited cell: pos, u, weight, cell, home.
 
     `home` marks the cell of the nearest pivot; the others are visits that may hold neighbours.
     """
     # a fixed number of pivots, by hash order: the only rows that reach the driver
-    wanted = min(PIVOTS, 1 + units.count() // BLOCK)
+    wanted = min(PIVOTS, 1 + units.count() // (block or BLOCK))
     pivots = [r.u for r in units.select("u").distinct().orderBy(F.xxhash64("u")).limit(wanted).collect()]
     table = np.array(pivots) if pivots else np.zeros((1, 1))
     sq = (table**2).sum(1)
     radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * t)))
+    watched = min(WATCHED, len(table))
+    names, columns = list(units.columns), ", ".join(f"{n} {ty}" for n, ty in units.dtypes)
+
+    def distances(x):
+        return np.sqrt(np.maximum((x**2).sum(1)[:, None] + sq[None, :] - 2 * x @ table.T, 0))
 
     def assign(batches):
+        for pdf in batches:
+            if len(pdf):
+                d = distances(np.vstack(pdf["u"].to_numpy()))
+                yield pdf.assign(own=d.argmin(1), near=d.min(1), seen=list(d[:, :watched]))
+
+    homes = written(units.mapInPandas(assign, columns + ", own int, near double, seen array<double>"))
+    ends = [f(F.get("seen", F.lit(i))).alias(f"{n}{i}") for i in range(watched) for n, f in (("low", F.min), ("high", F.max))]
+    spans = homes.groupBy("own").agg(F.max("near").alias("near"), *ends).collect()  # one row for each pivot at most
+    # a cell without vectors is out of reach
+    reach, low, high = np.full(len(table), -np.inf), np.full((len(table), watched), np.inf), np.full((len(table), watched), -np.inf)
+    for r in spans:
+        reach[r["own"]] = r["near"]
+        low[r["own"]], high[r["own"]] = [r[f"low{i}"] for i in range(watched)], [r[f"high{i}"] for i in range(watched)]
+    leading = _leading(units, t)
+
+    def visit(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.vstack(pdf["u"].to_numpy())
-            own = (x**2).sum(1)
-            d = np.sqrt(np.maximum(own[:, None] + sq[None, :] - 2 * x @ table.T, 0))
-            near = d.min(1)
-            # a zero vector is no neighbour of anything at a positive threshold; unit vectors obey the bound
-            row, cell = np.nonzero(d <= near[:, None] + 2 * radius + SLACK)
-            out = pdf.iloc[row].reset_index(drop=True)
+            d, far = distances(x), radius + SLACK
+            # a zero vector is no neighbour of anything at a positive threshold; unit vectors obey the bounds
+            stay = (d <= d.min(1)[:, None] + 2 * radius + SLACK) & (d <= reach[None, :] + far)
+            for i in range(watched):
+                stay &= (d[:, i, None] >= low[None, :, i] - far) & (d[:, i, None] <= high[None, :, i] + far)
+            row, cell = np.nonzero(stay)
+            out = pdf[["pos"] if leading else names].iloc[row].reset_index(drop=True)
             out["cell"] = cell
-            out["home"] = cell == d.argmin(1)[row]
+            out["home"] = cell == pdf["own"].to_numpy()[row]
+            if leading:
+                head = x[:, leading]
+                out["head"] = list(head[row])
+                out["tail"] = np.sqrt(np.maximum((x**2).sum(1) - (head**2).sum(1), 0))[row]
             yield out
 
-    schema = ", ".join(f"{n} {ty}" for n, ty in units.dtypes) + ", cell int, home boolean"
-    return units.mapInPandas(assign, schema)
+    if not leading:
+        return homes.select(*units.columns, "own").mapInPandas(visit, columns + ", cell int, home boolean")
+    heads = homes.mapInPandas(visit, "pos long, cell int, home boolean, head array<double>, tail double")
+
+    def sieve(a, z):
+        if not len(a) or not len(z):
+            return pd.DataFrame({"pos": np.array([], int), "cell": np.array([], int)})
+        bound = np.vstack(a["head"].to_numpy()) @ np.vstack(z["head"].to_numpy()).T + np.outer(a["tail"], z["tail"])
+        return a.loc[(bound >= t - SLACK).any(axis=1), ["pos", "cell"]]
+
+    heads = written(heads)
+    passed = block_join(heads, heads.where("home"), sieve, "pos long, cell int", block).distinct()
+    return passed.join(homes.select(*units.columns, "own"), "pos").select(*units.columns, "cell", (F.col("cell") == F.col("own")).alias("home"))
+
+
+def visit_counts(placed: DataFrame) -> DataFrame:
+    """One row: vectors, cells that hold any, and visits of whole vectors to cells, their own included."""
+    return placed.agg(F.count_if("home").alias("vectors"), F.count_distinct("cell").alias("cells"), F.count("*").alias("visits"))
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Split each cell into blocks of about BLOCK vectors."""
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+def _blocks(rows: DataFrame, block: int | None) -> DataFrame:
+    """Split each cell into blocks of about `block` vectors."""
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / (block or BLOCK)).cast("int").alias("blocks"))
     return rows.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("pos"), F.col("blocks")).cast("int"))
 
 
-def block_join(left: DataFrame, right: DataFrame, work, schema: str) -> DataFrame:
+def block_join(left: DataFrame, right: DataFrame, work, schema: str, block: int | None = None) -> DataFrame:
     """Run `work(left_frame, right_frame)` on every block pair of each cell.
 
     `left`: visiting rows, `right`: home rows (pos, u, cell, ...). The number of cells and the
     block counts are bounded or small, so the grid is laid out by two light joins.
     """
     # fresh column ids on the right, as both sides may come from one table
-    a, z = _blocks(left), _blocks(right.select(*[F.col(c).alias(c) for c in right.columns]))
+    a, z = _blocks(left, block), _blocks(right.select(*[F.col(c).alias(c) for c in right.columns]), block)
     other = z.select("cell", F.col("blocks").alias("rb")).distinct()
     mine = a.select("cell", F.col("blocks").alias("lb")).distinct()
     a = a.join(F.broadcast(other), "cell").select("*", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("zb")).drop("rb")
@@ -99,7 +159,7 @@ def _product(a: pd.DataFrame, z: pd.DataFrame, t: float):
     return np.nonzero(np.vstack(a["u"].to_numpy()) @ np.vstack(z["u"].to_numpy()).T >= t)
 
 
-def earlier_neighbours(visits: DataFrame, homes: DataFrame, t: float) -> DataFrame:
+def earlier_neighbours(visits: DataFrame, homes: DataFrame, t: float, block: int | None = None) -> DataFrame:
     """pos, n: how many of `homes` are earlier neighbours of each visiting vector (only n > 0)."""
 
     def work(a, z):
@@ -109,11 +169,11 @@ def earlier_neighbours(visits: DataFrame, homes: DataFrame, t: float) -> DataFra
         pos, n = np.unique(p[i], return_counts=True)
         return pd.DataFrame({"pos": pos, "n": n})
 
-    return block_join(visits, homes, work, "pos long, n long").groupBy("pos").agg(F.sum("n").alias("n"))
+    return block_join(visits, homes, work, "pos long, n long", block).groupBy("pos").agg(F.sum("n").alias("n"))
 
 
-def dedupe_vectors(rows: DataFrame, t: float = 0.92, key: str = "pos", vec: str = "embedding") -> DataFrame:
-    """Positions kept by greedy removal: an item goes if its cosine to an earlier kept one is >= t.
+def dedupe_vectors(rows: DataFrame, t: float = 0.92, key: str = "pos", vec: str = "embedding", block: int | None = None) -> DataFrame:
+    """Positions kept by greedy removal: an item goes if its cosine to an earlier kept one is >= t. `block` limits a block product.
 
     `key` orders the scan and is unique. Each round keeps the items without an earlier undecided
     neighbour and drops the neighbours of what it kept; only flags leave the block products.
@@ -123,21 +183,21 @@ def dedupe_vectors(rows: DataFrame, t: float = 0.92, key: str = "pos", vec: str
     zero = F.forall("u", lambda v: v == 0)
     zeros = units.where(zero).select("pos") if t > 0 else units.where(F.lit(False)).select("pos")
     groups, _ = distinct_vectors(units.where(~zero) if t > 0 else units)
-    placed = written(cells(groups.select("pos", "u"), t))
+    placed = written(cells(written(groups.select("pos", "u")), t, block))
     undecided = written(placed.select("pos").distinct())
     kept = zeros
     while not undecided.isEmpty():
         visits = placed.join(undecided, "pos", "left_semi")
-        blocked = earlier_neighbours(visits, visits.where("home"), t)
+        blocked = earlier_neighbours(visits, visits.where("home"), t, block)
         keep = written(undecided.join(blocked, "pos", "left_anti"))
         rest = visits.join(keep, "pos", "left_anti")
-        gone = earlier_neighbours(rest, placed.where("home").join(keep, "pos", "left_semi"), t)
+        gone = earlier_neighbours(rest, placed.where("home").join(keep, "pos", "left_semi"), t, block)
         undecided = written(undecided.join(keep, "pos", "left_anti").join(gone, "pos", "left_anti"))
         kept = kept.unionByName(keep)
     return kept.select(F.col("pos").alias(key))
 
 
-def dbscan(rows: DataFrame, eps: float = 0.35, min_samples: int = 3, key: str = "pos", vec: str = "embedding") -> DataFrame:
+def dbscan(rows: DataFrame, eps: float = 0.35, min_samples: int = 3, key: str = "pos", vec: str = "embedding", block: int | None = None) -> DataFrame:
     """Density clusters under cosine distance: key, label. Noise is left out.
 
     Labels count from 0 by the smallest core position of a cluster; a border point joins the
@@ -149,14 +209,14 @@ def dbscan(rows: DataFrame, eps: float = 0.35, min_samples: int = 3, key: str =
     units = unit_vectors(rows, key, vec).where(F.exists("u", lambda v: v != 0))
     units = written(units)
     groups, members = distinct_vectors(units)
-    placed = written(cells(groups.select("pos", "u", "weight"), t))
+    placed = written(cells(written(groups.select("pos", "u", "weight")), t, block))
 
     def count(a, z):
         i, j = _product(a, z, t)
         n = np.bincount(i, weights=z["weight"].to_numpy()[j] if len(j) else None, minlength=len(a)) if len(a) else []
         return pd.DataFrame({"pos": a["pos"].to_numpy(), "n": np.asarray(n, dtype="int64")})
 
-    degree = written(block_join(placed, placed.where("home"), count, "pos long, n long").groupBy("pos").agg(F.sum("n").alias("n")))
+    degree = written(block_join(placed, placed.where("home"), count, "pos long, n long", block).groupBy("pos").agg(F.sum("n").alias("n")))
     core = degree.where(F.col("n") >= min_samples).select("pos", F.lit(True).alias("core"))
     marked = written(placed.join(core, "pos", "left").withColumn("core", F.coalesce("core", F.lit(False))))
 
@@ -171,7 +231,7 @@ def dbscan(rows: DataFrame, eps: float = 0.35, min_samples: int = 3, key: str =
         return pd.DataFrame({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out]),
                              "core": np.concatenate([o[2] for o in out])})
 
-    linked = written(block_join(marked, marked.where("home AND core"), edges, "a long, b long, core boolean"))
+    linked = written(block_join(marked, marked.where("home AND core"), edges, "a long, b long, core boolean", block))
     comp = written(connected_components(core.select("pos"), linked.where("core").select("a", "b")))
     labels = _dense_labels(comp.select("root").distinct())
     cored = comp.join(labels, "root").select("pos", "label")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from omenflow.operators import keepfirst, stories, tokenjoin, vectors
 from omenflow.operators.components import connected_components
+from omenflow.operators.durable import written
 from omenflow.operators.ranks import global_rank
 
 
@@ -104,6 +105,21 @@ def test_dbscan(spark, monkeypatch, block):
     assert got == {int(k): v for k, v in label.items()} and nxt > 1
 
 
+def test_visits_are_few_and_lose_no_neighbour(spark):
+    """At the default threshold of the dedupe, a vector visits under a fifth of the cells of unrelated vectors."""
+    given = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS pos", "embedding")
+    units = written(vectors.unit_vectors(given))
+    counts = vectors.visit_counts(vectors.cells(units, 0.92, block=16)).first()
+    assert counts["vectors"] == 500 and counts["cells"] >= 16
+    assert counts["visits"] < 0.2 * counts["vectors"] * counts["cells"]
+    x = clustered(7, 150, 24, 0.2)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "pos long, embedding array<double>")
+    placed = vectors.cells(written(vectors.unit_vectors(df)), 0.92, block=8).select("pos", "cell", "home").collect()
+    home, visits = {r.pos: r.cell for r in placed if r.home}, {(r.pos, r.cell) for r in placed}
+    near = np.argwhere(unit(x) @ unit(x).T >= 0.92)
+    assert len(home) == 150 and len(near) > 1000 and all((a, home[b]) in visits for a, b in near.tolist())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (200, 150)]
     nodes = sorted({v for e in edges for v in e} | {999})
