@@ -21,7 +21,9 @@ from .common import id_back, keyed
 #: Segments of the hash, by B id; rows of a segment that one step of a tree joins; pairs that are broadcast at once, about.
 SEGMENTS, FAN, SLICE = 256, 64, 4_000_000
 #: Chunks and characters that a task remembers, and characters of texts that are encoded together.
-CHUNKS, CHARS, TOGETHER = 400_000, 32_000_000, 2_000_000
+CHUNKS, CHARS, TOGETHER = 600_000, 32_000_000, 2_000_000
+#: Chunks that a tokenizer is given as one text.
+JOINED = 500
 #: Slots for each pair that a level of the hash has to place.
 ROOM = 2.0
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -60,31 +62,69 @@ class TokenPair:
         self.sizes = [np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b)]
         self.names = [[str(i) for i in range(len(t))] for t in (self.bytes_a, self.bytes_b)]
 
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of each chunk with a space before it, by A and by B, and whether both spell it out; else it has no ids."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
-        b = self.b.encode(chunks, num_threads=1)  # B adds the space itself, but not to an empty text
-        b = [ids if c else [self.b.piece_to_id("▁")] for c, ids in zip(chunks, b)]
+    def _spelt(self, sides: list[np.ndarray]) -> list[bytes]:
+        return [b"".join(map(table.__getitem__, ids.tolist())) for table, ids in zip((self.bytes_a, self.bytes_b), sides)]
+
+    def _ids(self, texts: list[str]) -> list[list[list[int]]]:
+        """Ids of each text, which begins with a space, by A and by B: B adds that space itself, but not to an empty text."""
+        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        return [a, [ids if len(t) > 1 else [self.b.piece_to_id("▁")] for t, ids in zip(texts, b)]]
+
+    def encode(self, chunks: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Ids of all chunks in a row, each with a space before it, and ids of each chunk, by A and by B; and which chunks
+        both spell out: the others have no ids.
+
+        Chunks are encoded many at a time, as nothing is joined over the space that follows a chunk; byte lengths tell them apart.
+        """
+        # what ends in white space might join with the next space
+        order = sorted(range(len(chunks)), key=lambda k: not (chunks[k] and not chunks[k][-1].isspace()))
+        alone = sum(1 for c in chunks if not c or c[-1].isspace())
+        texts = [" " + chunks[k] for k in order]
+        dense = len(texts) - alone
+        size = np.array([len(t.encode()) for t in texts], np.int64)
+        joined = ["".join(texts[k:min(k + JOINED, dense)]) for k in range(0, dense, JOINED)] + texts[dense:]
+        sides = [np.fromiter((i for x in side for i in x), np.int64) for side in self._ids(joined)]
         good = np.ones(len(chunks), bool)
-        wanted = b"".join((" " + c).encode() for c in chunks)
-        spelled = [b"".join(map(table.__getitem__, (i for ids in side for i in ids))) for table, side in ((self.bytes_a, a), (self.bytes_b, b))]
-        if spelled != [wanted, wanted]:
-            for k, c in enumerate(chunks):
-                bare = (" " + c).encode()
-                good[k] = all(b"".join(map(t.__getitem__, ids)) == bare for t, ids in ((self.bytes_a, a[k]), (self.bytes_b, b[k])))
-                if not good[k]:
-                    a[k], b[k] = [], []
-        return a, b, good
-
-
-def align(a: list[list[int]], b: list[list[int]], sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, list]:
+        wanted, ends = "".join(texts).encode(), np.cumsum(size)
+        counts = self._counts(sides, ends) if self._spelt(sides) == [wanted, wanted] else None
+        if counts is None:  # some chunk is not spelled out: one by one
+            each = self._ids(texts)
+            for k, t in enumerate(texts):
+                if self._spelt([np.array(side[k], np.int64) for side in each]) != [t.encode()] * 2:
+                    good[k], each[0][k], each[1][k] = False, [], []
+            sides = [np.fromiter((i for x in side for i in x), np.int64) for side in each]
+            counts = [np.array([len(x) for x in side], np.int64) for side in each]
+        # back to the order of the chunks
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        moved = [_regrouped(ids, n, back) for ids, n in zip(sides, counts)]
+        return moved, [n[back] for n in counts], good[back]
+
+    def _counts(self, sides: list[np.ndarray], ends: np.ndarray) -> list[np.ndarray] | None:
+        """Tokens of each chunk, if every chunk ends with a token of either side."""
+        out = []
+        for ids, sizes in zip(sides, self.sizes):
+            stops = np.cumsum(sizes[ids])
+            at = np.searchsorted(stops, ends)
+            if len(ends) and not (stops[at] == ends).all():
+                return None
+            out.append(np.diff(at + 1, prepend=0))
+        return out
+
+
+def _regrouped(ids: np.ndarray, counts: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Groups of ids in another order."""
+    starts, counts = (np.cumsum(counts) - counts)[order], counts[order]
+    return ids[np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)]
+
+
+def align(ids: list[np.ndarray], count: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Over chunks that A and B spell alike: links as codes a * 65536 + b, links and groups of each chunk, and where groups end.
 
     A link is a pair of tokens whose bytes overlap; a group ends where a token of A and one of B end together. Places
-    where groups end are token numbers inside the chunk, for A and for B.
+    where groups end are numbers of tokens so far, for A and for B.
     """
-    count = [np.array([len(x) for x in side], np.int64) for side in (a, b)]
-    ids = [np.fromiter((i for x in side for i in x), np.int64, int(n.sum())) for side, n in zip((a, b), count)]
     ends = [np.cumsum(size[i]) for size, i in zip(sizes, ids)]
     starts = [e - size[i] for e, size, i in zip(ends, sizes, ids)]
     first = np.searchsorted(ends[1], starts[0], side="right")
@@ -93,13 +133,11 @@ def align(a: list[list[int]], b: list[list[int]], sizes: list[np.ndarray]) -> tu
     left = np.repeat(np.arange(len(width)), width)
     right = np.arange(len(left)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first, width)
     codes = (ids[0][left] << 16 | ids[1][right]).astype(np.uint32)
-    chunk_of = [np.repeat(np.arange(len(n)), n) for n in count]
-    links = np.bincount(chunk_of[0][left], minlength=len(a))
+    chunk_of = np.repeat(np.arange(len(count[0])), count[0])
+    links = np.bincount(chunk_of[left], minlength=len(count[0]))
     _, at_a, at_b = np.intersect1d(ends[0], ends[1], assume_unique=True, return_indices=True)
-    groups = np.bincount(chunk_of[0][at_a], minlength=len(a))
-    before = [np.cumsum(n) - n for n in count]
-    cuts = [(at + 1 - base[chunk_of[side][at]]).tolist() for side, (at, base) in enumerate(zip((at_a, at_b), before))]
-    return codes, links, groups, cuts[0], cuts[1]
+    groups = np.bincount(chunk_of[at_a], minlength=len(count[0]))
+    return codes, links, groups, at_a + 1, at_b + 1
 
 
 def _chunks(text: str) -> list[str]:
@@ -159,8 +197,8 @@ class _PairCounts:
         self.times = np.zeros(0, np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
-        a, b, good = self.pair.encode(chunks)
-        codes, links, *_ = align(a, b, self.pair.sizes)
+        ids, counts, good = self.pair.encode(chunks)
+        codes, links, *_ = align(ids, counts, self.pair.sizes)
         self.parts.append(codes)
         self.sizes.append(links)
         self.good.append(good)
@@ -367,16 +405,16 @@ class _Lookups:
         self.sums, self.good, self.names = np.zeros((0, len(_SUMS)), np.int64), np.zeros(0, bool), []
 
     def _learn(self, chunks: list[str]) -> None:
-        a, b, good = self.pair.encode(chunks)
-        codes, links, groups, cuts_a, cuts_b = align(a, b, self.pair.sizes)
+        ids, sizes, good = self.pair.encode(chunks)
+        codes, links, groups, cuts_a, cuts_b = align(ids, sizes, self.pair.sizes)
         counts, best = self.table.find(codes)
         owner = np.repeat(np.arange(len(chunks)), links)
         total = np.zeros(len(chunks), np.int64)
         np.add.at(total, owner, counts)
-        sums = np.stack([[len(x) for x in a], [len(x) for x in b], groups, links, np.bincount(owner, best, len(chunks)).astype(np.int64), total], axis=1)
+        sums = np.stack([*sizes, groups, links, np.bincount(owner, best, len(chunks)).astype(np.int64), total], axis=1)
         self.sums, self.good = np.concatenate([self.sums, sums]), np.concatenate([self.good, good])
         if self.spell:
-            self.names += _spelled(a, b, groups.tolist(), cuts_a, cuts_b, self.pair.names)
+            self.names += _spelled(ids, groups, cuts_a, cuts_b, self.pair.names)
 
     def rows(self, batch):
         for rows, ids, sizes in self.texts.take(batch, 2):
@@ -395,22 +433,15 @@ class _Lookups:
             yield rows, sums, marks
 
 
-def _spelled(a, b, groups, cuts_a, cuts_b, names) -> list[bytes]:
+def _spelled(ids, groups, cuts_a, cuts_b, names) -> list[bytes]:
     """The groups of each chunk as text."""
-    out, at = [], 0
-    names_a, names_b = names
-    for ids_a, ids_b, n in zip(a, b, groups):
-        text_a, text_b = [names_a[i] for i in ids_a], [names_b[i] for i in ids_b]
-        if n == 1:
-            out.append(f"{','.join(text_a)}|{','.join(text_b)}".encode())
-        else:
-            parts, i, j = [], 0, 0
-            for k in range(at, at + n):
-                parts.append(f"{','.join(text_a[i:cuts_a[k]])}|{','.join(text_b[j:cuts_b[k]])}")
-                i, j = cuts_a[k], cuts_b[k]
-            out.append(";".join(parts).encode())
-        at += n
-    return out
+    text_a, text_b = (list(map(n.__getitem__, i.tolist())) for n, i in zip(names, ids))
+    parts, i, j = [], 0, 0
+    for a, b in zip(cuts_a.tolist(), cuts_b.tolist()):
+        parts.append(f"{text_a[i] if a - i == 1 else ','.join(text_a[i:a])}|{text_b[j] if b - j == 1 else ','.join(text_b[j:b])}")
+        i, j = a, b
+    ends = np.cumsum(groups).tolist()
+    return [";".join(parts[end - n:end]).encode() for end, n in zip(ends, groups.tolist())]
 
 
 def _looking(path_a: str, path_b: str, table, spell: bool):
