@@ -286,7 +286,7 @@ def _tuning(unit: pa.Table, answers: pa.Table) -> pa.Table:
     for c in counts:
         mark = _mixed(mark * _ODD[1] + c.astype(np.uint64))
     _, first, times = np.unique(mark, return_index=True, return_counts=True)
-    return pa.table([*(c[first] for c in counts), times], names=["c3", "n3", "c2", "n2", "c1", "times"])
+    return pa.table([*(c[first].astype(np.int64) for c in counts), times], names=["c3", "n3", "c2", "n2", "c1", "times"])
 
 
 def learn_weights(events: DataFrame, tokens: int, known: int, rounds: int = ROUNDS) -> Model:
