@@ -34,17 +34,17 @@ def keep_first_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return written(kept.unionByName(undecided))
 
 
-def _heads(side: DataFrame) -> DataFrame:
-    """The first `HEADS` members of each key, and the key's size. Cut per salt before per key."""
+def _heads(side: DataFrame, by: str = "pos") -> DataFrame:
+    """The first `HEADS` members of each key, in the order of `by`. Cut per salt before per key."""
     dealt = side.withColumn("_salt", F.pmod(F.xxhash64("pos"), F.lit(64)))
-    cut = dealt.withColumn("_r", F.row_number().over(W.partitionBy("key", "_salt").orderBy("pos"))).where(F.col("_r") <= HEADS)
-    top = cut.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy("pos"))).where(F.col("_r") <= HEADS)
+    cut = dealt.withColumn("_r", F.row_number().over(W.partitionBy("key", "_salt").orderBy(by))).where(F.col("_r") <= HEADS)
+    top = cut.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy(by))).where(F.col("_r") <= HEADS)
     return top.drop("_r", "_salt")
 
 
-def _beyond(side: DataFrame) -> DataFrame:
-    """key, last: for keys with more members than heads, the last position that is a head."""
-    heads = _heads(side).groupBy("key").agg(F.max("pos").alias("last"))
+def _beyond(side: DataFrame, by: str = "pos") -> DataFrame:
+    """key, last: for keys with more members than heads, the last place that is a head's."""
+    heads = _heads(side, by).groupBy("key").agg(F.max(by).alias("last"))
     sizes = side.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HEADS)
     return heads.join(sizes, "key").select("key", "last")
 
@@ -88,3 +88,33 @@ def keep_first(nodes: DataFrame, keys: Keys, rule: Column, budget: int = PAIR_BU
         right = written(right.join(undecided, "pos", "left_semi"))
     rest = keep_first_edges(undecided, written(similar_pairs(Keys(left, right), rule)))
     return rest if kept is None else written(kept.unionByName(rest))
+
+
+def first_of_neighbours(keys: Keys, rule: Callable[[str, str], Column]) -> DataFrame:
+    """`pos` of the members that no similar member precedes for certain, by their column `m`.
+
+    `rule(small, large)` is the test on columns with these two prefixes, of which the first names the published side of the
+    smaller set. Members are compared with the first ones of their keys only, and just a flag leaves the join; one that stands
+    behind unseen members of a key has to wait until those in front are gone. The first member of all is never held up.
+    """
+    left, right = keys.left, keys.right
+    lh, rh = written(_heads(left, "m")), written(_heads(right, "m"))
+    earlier = F.col("r_m") < F.col("l_m")
+    held = [
+        meet(left, rh, True, earlier & rule("l", "r"), semi=True).select(F.col("l_pos").alias("pos")),
+        meet(right, lh, True, earlier & rule("r", "l"), semi=True).select(F.col("l_pos").alias("pos")),
+        left.join(_beyond(right, "m"), "key").where("m > last").select("pos"),
+        right.join(_beyond(left, "m"), "key").where("m > last").select("pos"),
+    ]
+    members = left.select("pos").union(right.select("pos")).distinct()
+    return members.join(held[0].union(held[1]).union(held[2]).union(held[3]).distinct(), "pos", "left_anti")
+
+
+def neighbours(keys: Keys, of: DataFrame, rule: Callable[[str, str], Column]) -> DataFrame:
+    """`pos` of the members that are similar to one of `of` (pos), each once: flags, not pairs."""
+    near = lambda side: side.join(of, "pos", "left_semi")
+    found = [
+        meet(keys.left, near(keys.right), True, rule("l", "r"), semi=True),
+        meet(keys.right, near(keys.left), True, rule("r", "l"), semi=True),
+    ]
+    return found[0].select("l_pos").union(found[1].select("l_pos")).distinct().withColumnRenamed("l_pos", "pos")

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import aliased, let, squash, story_token_set, story_tokens
 from .durable import written
-from .keepfirst import keep_first, similar_pairs
+from .keepfirst import first_of_neighbours, keep_first, neighbours
 from .ranks import global_rank
 from .tokenjoin import SKETCH, Keys, distinct_sets, number_tokens, overlap, overlap_bound, publish
 
@@ -57,11 +57,11 @@ def dedupe_stories(events: DataFrame, order: list[Column]) -> DataFrame:
     return ranked.join(kept.select("pos").unionByName(blank), "pos", "left_semi").drop("pos")
 
 
-def near_duplicate() -> Column:
+def near_duplicate(smaller: str = "l", larger: str = "r") -> Column:
     """Jaccard >= 0.66 or containment >= 0.80 of content tokens."""
-    both, small = F.col("l_n") + F.col("r_n"), F.col("l_n")
+    both, small = F.col("l_n") + F.col("r_n"), F.col(f"{smaller}_n")
     close = lambda i: (i * 166 >= 66 * both) | (i * 100 >= 80 * small)
-    return (F.col("l_n") <= F.col("r_n")) & close(overlap_bound()) & let(overlap(), close)
+    return (small <= F.col(f"{larger}_n")) & close(overlap_bound()) & let(overlap(), close)
 
 
 def _sets_with_blanks(groups: DataFrame) -> DataFrame:
@@ -111,9 +111,10 @@ def accept_questions(questions: DataFrame, cap: int = 2, stored: DataFrame | Non
     """Scan questions in `pos` order: skip near-duplicates of stored or accepted texts, and stop a
     story at `cap` accepted questions.
 
-    Questions with one token set are one group. A round accepts the first open question of a group
-    when no neighbouring group has an earlier open one and its story cannot fill up before it; the
-    group and its neighbours are then closed. Groups, not questions, are compared.
+    Questions with one token set are one group; a group stands where its first open question does. A round accepts that
+    question if no similar group stands before it and its story cannot fill up before it; the group and the groups
+    similar to it are then closed. Rounds hand on flags of groups and the places of a story's accepted
+    questions: similar pairs are never written.
     """
     text = lambda df, *cols: df.select(*cols, story_token_set("question_text").alias("tokens"), aliased("question_text").alias("norm"))
     new = text(questions, F.col(pos).alias("pos"), F.col(story).alias("story"))
@@ -124,9 +125,6 @@ def accept_questions(questions: DataFrame, cap: int = 2, stored: DataFrame | Non
     groups, members = distinct_sets(pool, ["tokens", "norm"])
     sets = _sets_with_blanks(groups)
     keys = publish(sets, 0.66, contained=True)
-    pairs = written(similar_pairs(keys, near_duplicate()))
-    own = sets.where("n > 0 OR norm <> ''").select(F.col("pos").alias("g"), F.col("pos").alias("h"))
-    near = written(pairs.select(F.col("a").alias("g"), F.col("b").alias("h")).union(pairs.select("b", "a")).union(own))
     rows = written(members.select("pos", "story", F.col("first").alias("g")))
     blank = written(sets.where("n = 0 AND norm = ''").select(F.col("pos").alias("g")))
     # a text without any wording resembles nothing: each is its own group
@@ -134,21 +132,24 @@ def accept_questions(questions: DataFrame, cap: int = 2, stored: DataFrame | Non
         "g", F.when(F.col("_b"), -1 - F.col("pos") * 2 - (1 << 40)).otherwise(F.col("g"))
     ).drop("_b")
     rows = written(rows)
-    closed_by = lambda g: near.join(g, "g").select(F.col("h").alias("g")).distinct()
+    closed_by = lambda g: g.union(neighbours(keys, g.withColumnRenamed("g", "pos"), near_duplicate).withColumnRenamed("pos", "g")).distinct()
     taken = written(closed_by(rows.where("pos < 0").select("g").distinct()))
     open_ = written(rows.where("pos >= 0").join(taken, "g", "left_anti"))
     accepted = open_.limit(0)
+    keyed = sets.where("n > 0").select(F.col("pos").alias("g"))
     while not open_.isEmpty():
         least = written(open_.groupBy("g").agg(F.min("pos").alias("m")))
-        around = near.join(least.withColumnRenamed("g", "h"), "h").groupBy("g").agg(F.min("m").alias("nm"))
-        first = open_.join(around, "g", "left").where(F.coalesce("nm", F.col("pos")) == F.col("pos"))
+        standing = lambda side: written(side.drop("m").join(least.withColumnRenamed("g", "pos"), "pos"))
+        keys = Keys(standing(keys.left), standing(keys.right))
+        free = first_of_neighbours(keys, near_duplicate).withColumnRenamed("pos", "g").union(least.select("g").join(keyed, "g", "left_anti"))
+        first = open_.join(least.join(free, "g", "left_semi"), "g").where("pos = m").drop("m")
         running = open_.unionByName(accepted)
         head = _first_per_key(running, "story", cap).select("pos")
-        take = written(first.drop("nm").join(head, "pos", "left_semi"))
+        take = written(first.join(head, "pos", "left_semi"))
         accepted = written(accepted.unionByName(take))
         full = _first_per_key(accepted, "story", cap).where(F.col("_r") == cap).select("story", F.col("pos").alias("last"))
         shut = closed_by(take.select("g").distinct())
-        open_ = open_.join(shut, "g", "left_anti").join(take.select("pos"), "pos", "left_anti")
+        open_ = open_.join(shut, "g", "left_anti")
         open_ = open_.join(full, "story", "left").where(F.col("last").isNull() | (F.col("pos") < F.col("last"))).drop("last")
         open_ = written(open_)
     return questions.join(accepted.select(F.col("pos").alias(pos)), pos, "left_semi")

@@ -184,3 +184,26 @@ def test_accept_questions_against_a_scan(spark):
         want.append(q)
     got = stories.accept_questions(questions(spark, rows), 2, questions(spark, stored))
     assert sorted(x.question_id for x in got.collect()) == want
+
+
+def test_a_crowd_of_near_equal_questions_takes_no_pair_table(spark, monkeypatch):
+    """What the rounds write stays in proportion to the rows, though nearly all pairs are similar."""
+    sizes, largest = [], []
+    for module in (stories, keepfirst):
+        plain = module.written
+
+        def counted(df, plain=plain):
+            out = plain(df)
+            sizes.append(out.count())
+            return out
+
+        monkeypatch.setattr(module, "written", counted)
+    common = " ".join(f"common{i}" for i in range(8))
+    for n in (80, 240):
+        rows = [(i, i % 50, "binary", f"Will {common} word{i} be signed?") for i in range(n)]
+        rows += [(n + i, i % 50, "binary", f"Will other{i} pass{i} vote{i} come{i}?") for i in range(5)]
+        sizes.clear()
+        got = stories.accept_questions(questions(spark, rows), 2)
+        assert sorted(x.question_id for x in got.collect()) == [0, *range(n, n + 5)]
+        largest.append(max(sizes))
+    assert largest[1] <= 3.5 * largest[0]
