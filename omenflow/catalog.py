@@ -72,6 +72,13 @@ def novelty(spark, sf):
     return scoring.novelty(question_texts(spark, sf))
 
 
+def max_similarity(spark, sf):
+    from .operators import scoring
+
+    found = scoring.earlier_similarity(question_texts(spark, sf))
+    return found.select("question_id", F.round("max_similarity", 6).alias("max_similarity"))
+
+
 def near_duplicate_theme(spark, sf):
     from .operators import scoring
 
@@ -716,7 +723,7 @@ QUERIES = [
     cluster_features, cluster_coherence, cluster_priority_topk, priority_tiered, event_priority_queue, event_priority_sparse, event_priority_tiered,
     # similarity
     vector_dedupe, vector_dedupe_strict, vector_dedupe_blocks, dbscan_blocks, dbscan, dbscan_features, story_dedupe, question_dedupe, capped_story_dedupe,
-    novelty, near_duplicate_theme,
+    novelty, max_similarity, near_duplicate_theme,
     # gate, admission, scoring
     gate_flags, gate_summary, salvage_flags, admission_errors, soft_flags, scored_rank, scored_rank_sparse, top_questions,
     # inference tables

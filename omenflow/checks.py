@@ -264,7 +264,8 @@ def earlier_cte(name: str, rel: str, words: int = 5) -> str:
     inter = " + ".join(f"bit_count(a.w{w} & z.w{w})" for w in range(words))
     return f"""
 {name}_tok AS (SELECT question_id, unnest(list_distinct(list_filter(string_split({plain('question_text')}, ' '), lambda w: w <> ''))) AS tok FROM {rel}),
-{name}_voc AS (SELECT tok, row_number() OVER (ORDER BY tok) - 1 AS i FROM (SELECT DISTINCT tok FROM {name}_tok)),
+{name}_voc AS (SELECT tok, CASE WHEN r > {60 * words} THEN CAST(error('more tokens than bits') AS BIGINT) ELSE r - 1 END AS i
+  FROM (SELECT tok, row_number() OVER (ORDER BY tok) AS r FROM (SELECT DISTINCT tok FROM {name}_tok))),
 {name}_m AS (SELECT question_id, count(*) AS n, {masks} FROM {name}_tok JOIN {name}_voc USING (tok) GROUP BY question_id),
 {name}_best AS (SELECT question_id, max(common / CAST(an + zn - common AS DOUBLE)) AS best FROM (
   SELECT a.question_id, a.n AS an, z.n AS zn, CAST({inter} AS INTEGER) AS common
@@ -280,6 +281,11 @@ def novelty() -> str:
 SELECT q.question_id, {novelty_case('coalesce(best, 0)')} AS novelty_score FROM v_questions q LEFT JOIN nov_best USING (question_id)"""
 
 
+def max_similarity() -> str:
+    return f"""{views('questions')}, {earlier_cte('ms', 'v_questions')}
+SELECT q.question_id, CASE WHEN best >= 0.1 THEN round(best, 6) ELSE {D(0)} END AS max_similarity FROM v_questions q LEFT JOIN ms_best USING (question_id)"""
+
+
 def near_duplicate_theme() -> str:
     return f"""{views('questions')}, {earlier_cte('th', 'v_questions')}
 SELECT q.question_id, coalesce(best, 0) >= 0.75 AS near_duplicate_theme FROM v_questions q LEFT JOIN th_best USING (question_id)"""

@@ -120,6 +120,15 @@ def test_visits_are_few_and_lose_no_neighbour(spark):
     assert len(home) == 150 and len(near) > 1000 and all((a, home[b]) in visits for a, b in near.tolist())
 
 
+def test_max_similarity_is_the_best_of_all_earlier(spark):
+    rows = token_rows(11, 120, 40, 0, 9)
+    df = spark.createDataFrame(rows, "id long, pos long, tokens array<string>")
+    want = {k: max([jac(set(w), set(v)) for _, q, v in rows if q < p], default=0.0) for k, p, w in rows}
+    for least in (0.1, 0.5):
+        got = {r.id: r.similarity for r in tokenjoin.max_similarity(df, least).collect()}
+        assert got == pytest.approx({k: v if v >= least - 1e-9 else 0.0 for k, v in want.items()})
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (200, 150)]
     nodes = sorted({v for e in edges for v in e} | {999})
