@@ -598,6 +598,48 @@ def windowed_velocity(spark, sf):
     return velocity(events, "6 hours").select("window_start", "source", "mentions", "weighted_mentions", "users")
 
 
+# ---- streams, sinks and logs, read back ---------------------------------------------------
+def _landed(spark, rows, slices, order):
+    """`rows` in a landing folder, a file set for each slice of the order, the earliest first; and a folder for what a run writes."""
+    import uuid
+
+    from .operators.durable import checkpoint_root
+
+    root = f"{checkpoint_root(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    step = (high - low) / slices
+    for i in range(slices):
+        part = rows.where((F.col(order) >= low + step * i) & ((F.col(order) < low + step * (i + 1)) if i < slices - 1 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/land")
+    return root
+
+
+def stream_ingest(spark, sf):
+    """Documents streamed in four batches to a table that holds each content hash once."""
+    from .streaming.incremental import unique_stream
+
+    docs = b.table(spark, sf, "documents").select("doc_id", "source", text.content_hash("text").alias("content_hash"))
+    root = _landed(spark, docs, 4, "doc_id")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/land")
+    unique_stream(stream, f"{root}/table", f"{root}/checkpoint", order=["doc_id"]).awaitTermination()
+    return spark.read.parquet(f"{root}/table").select("doc_id", "source", "content_hash")
+
+
+def stream_velocity(spark, sf):
+    """Events streamed in four time slices; a last row, a year later, lets the watermark pass all of them."""
+    from .streaming.incremental import velocity_stream
+
+    events = b.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("source"), "user_id")
+    root = _landed(spark, events, 4, "timestamp")
+    events.agg((F.max("timestamp") + F.expr("INTERVAL 1 YEAR")).alias("timestamp")).select(
+        "timestamp", F.lit("end").alias("source"), F.lit(None).cast(events.schema["user_id"].dataType).alias("user_id")
+    ).coalesce(1).write.mode("append").parquet(f"{root}/land")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/land")
+    velocity_stream(stream, f"{root}/table", f"{root}/checkpoint", "6 hours").awaitTermination()
+    out = spark.read.parquet(f"{root}/table").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return out.select("window_start", "source", "mentions", "weighted_mentions", "users")
+
+
 # ---- text and URL scans ------------------------------------------------------------------
 def url_parts(spark, sf):
     url = urls.first_url("url")
@@ -723,7 +765,7 @@ QUERIES = [
     cluster_features, cluster_coherence, cluster_priority_topk, priority_tiered, event_priority_queue, event_priority_sparse, event_priority_tiered,
     # similarity
     vector_dedupe, vector_dedupe_strict, vector_dedupe_blocks, dbscan_blocks, dbscan, dbscan_features, story_dedupe, question_dedupe, capped_story_dedupe,
-    novelty, max_similarity, near_duplicate_theme,
+    novelty, max_similarity, near_duplicate_theme, stream_ingest, stream_velocity,
     # gate, admission, scoring
     gate_flags, gate_summary, salvage_flags, admission_errors, soft_flags, scored_rank, scored_rank_sparse, top_questions,
     # inference tables

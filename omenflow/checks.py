@@ -917,6 +917,14 @@ def windowed_velocity() -> str:
   sum({in_map('event_type', t.SOURCE_WEIGHTS, t.DEFAULT_SOURCE_WEIGHT)}) AS weighted_mentions, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2"""
 
 
+def stream_ingest() -> str:
+    return exact_dedupe()
+
+
+def stream_velocity() -> str:
+    return windowed_velocity()
+
+
 # ---- text and URL scans -------------------------------------------------------------------------------
 def url_parts() -> str:
     home = homepage("u.url", "bare")
