@@ -327,17 +327,20 @@ def repair_children(spark, sf):
     return repair_rows(spark, sf).select("question_id", "has_repair_child")
 
 
-def review_latest(spark, sf):
-    """Latest decision per user from the event stream read as a change log."""
-    from .plans import dashboard
-
+def review_changes(spark, sf):
     kind = F.col("event_type")
-    log = b.table(spark, sf, "events").select(
+    return b.table(spark, sf, "events").select(
         F.col("user_id").alias("question_id"),
         F.when(kind == "click", "selected").when(kind == "error", "removed").otherwise("active").alias("status"),
-        F.col("props").alias("reason"), F.col("event_id").cast("string").alias("notes"), F.col("ts").alias("changed_at"),
+        F.col("props").alias("reason"), F.col("event_id").cast("string").alias("notes"), F.col("ts").cast("timestamp_ntz").alias("changed_at"),
     )
-    return dashboard.latest_review(log)
+
+
+def review_latest(spark, sf):
+    """Latest decision per user from the event stream read as a change log."""
+    from .plans import dashboard
+
+    return dashboard.latest_review(review_changes(spark, sf))
 
 
 def run_log(spark, sf):
@@ -640,6 +643,58 @@ def stream_velocity(spark, sf):
     return out.select("window_start", "source", "mentions", "weighted_mentions", "users")
 
 
+def _sunk(table):
+    """Written in two batches, the second with all rows and once more, as after a failure; read back."""
+    def query(spark, sf):
+        import uuid
+
+        from .operators.durable import checkpoint_root
+        from .sources.sinks import CONTRACTS, stage_sink
+
+        rows = b.view(spark, sf, table)
+        sink = stage_sink(spark, f"{checkpoint_root(spark).rstrip('/')}/{table}-{uuid.uuid4().hex}", table)
+        sink.write(rows.where(F.col(CONTRACTS[table][1][0]) % 3 == 0), 0)
+        sink.write(rows, 1)
+        sink.write(rows, 1)
+        return sink.read()
+    query.__name__ = f"sink_{table}"
+    return query
+
+
+def _logged(log, entries, order, parts=4):
+    """Entries appended part by part, with a snapshot after each second one."""
+    for i in range(parts):
+        log.append(entries.where(F.pmod(order, F.lit(parts)) == i), i)
+        if i % 2:
+            log.compact()
+    return log.entries()
+
+
+def review_store(spark, sf):
+    """The decisions of `review_latest`, kept in a log with snapshots."""
+    import uuid
+
+    from .operators.durable import checkpoint_root
+    from .plans import dashboard
+    from .sources.sinks import review_log as store
+
+    log = store(spark, f"{checkpoint_root(spark).rstrip('/')}/reviews-{uuid.uuid4().hex}")
+    return dashboard.latest_review(_logged(log, review_changes(spark, sf), F.xxhash64("notes")))
+
+
+def run_store(spark, sf):
+    """The stages of `run_stages`, kept in a log with snapshots."""
+    import uuid
+
+    from .operators.durable import checkpoint_root
+    from .plans import runlog
+    from .sources.sinks import stage_log
+
+    log = stage_log(spark, f"{checkpoint_root(spark).rstrip('/')}/runs-{uuid.uuid4().hex}")
+    entries = _logged(log, run_log(spark, sf), F.xxhash64("seq"))
+    return runlog.fold_stages(entries).withColumn("progress", runlog.stage_progress()).drop("summary", "error_message")
+
+
 # ---- text and URL scans ------------------------------------------------------------------
 def url_parts(spark, sf):
     url = urls.first_url("url")
@@ -765,7 +820,7 @@ QUERIES = [
     cluster_features, cluster_coherence, cluster_priority_topk, priority_tiered, event_priority_queue, event_priority_sparse, event_priority_tiered,
     # similarity
     vector_dedupe, vector_dedupe_strict, vector_dedupe_blocks, dbscan_blocks, dbscan, dbscan_features, story_dedupe, question_dedupe, capped_story_dedupe,
-    novelty, max_similarity, near_duplicate_theme, stream_ingest, stream_velocity,
+    novelty, max_similarity, near_duplicate_theme, stream_ingest, stream_velocity, review_store, run_store,
     # gate, admission, scoring
     gate_flags, gate_summary, salvage_flags, admission_errors, soft_flags, scored_rank, scored_rank_sparse, top_questions,
     # inference tables
@@ -778,7 +833,7 @@ QUERIES = [
     # discovery
     discovery_markets, discovery_filter, topic_rollup, trend_topk, topic_notes, summary_metrics, category_counts,
 ]
-NAMED = {f.__name__: f for f in QUERIES} | {
+NAMED = {f.__name__: f for f in QUERIES} | {f"sink_{t}": _sunk(t) for t in ("extracted", "questions", "validation", "scored")} | {
     "discovery_newest": discovery_newest, "discovery_ending": discovery_ending, "discovery_emerging": discovery_emerging,
     "discovery_highest": discovery_highest,
 }

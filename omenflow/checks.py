@@ -925,6 +925,30 @@ def stream_velocity() -> str:
     return windowed_velocity()
 
 
+def review_store() -> str:
+    return review_latest()
+
+
+def run_store() -> str:
+    return run_stages()
+
+
+def sink_extracted() -> str:
+    return f"{views('extracted')} SELECT * FROM v_extracted"
+
+
+def sink_questions() -> str:
+    return f"{views('questions')} SELECT * FROM v_questions"
+
+
+def sink_validation() -> str:
+    return f"{views('questions', 'validation')} SELECT * FROM v_validation"
+
+
+def sink_scored() -> str:
+    return f"{views('scored')} SELECT * FROM v_scored"
+
+
 # ---- text and URL scans -------------------------------------------------------------------------------
 def url_parts() -> str:
     home = homepage("u.url", "bare")

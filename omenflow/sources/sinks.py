@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.ranks import global_rank
+from .store import Sink, UpsertLog
 
 
 def new_events(batch: DataFrame, stored: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
@@ -36,6 +37,56 @@ def append(rows: DataFrame, path: str, partition_by: list[str] | None = None) ->
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
+#: Columns and keys of the tables that the stages append to.
+CONTRACTS = {
+    "extracted": ("id bigint, cluster_id bigint, event_summary string, entities array<string>, event_type string, outcome_variable string, "
+                  "candidate_deadlines array<string>, resolution_sources array<string>, tradability string, rejection_reason string, confidence double, "
+                  "market_angle string, contradiction_flag boolean, contradiction_details string, time_horizon string, resolution_hints array<string>", ["id"]),
+    "questions": ("question_id bigint, extracted_event_id bigint, repair_parent_question_id bigint, question_text string, category string, question_type string, "
+                  "options array<string>, deadline string, deadline_source string, resolution_source string, resolution_criteria string, rationale string, "
+                  "resolution_confidence double, resolution_confidence_reason string, source_independence double, timing_reliability double, "
+                  "already_resolved boolean, created_at timestamp_ntz", ["question_id"]),
+    "validation": ("question_id bigint, is_valid boolean, flags array<string>, clarity_score double", ["question_id"]),
+    "scored": ("question_id bigint, total_score double, mention_velocity_score double, source_diversity_score double, clarity_score double, "
+               "novelty_score double, market_interest_score double, resolution_strength_score double, time_horizon_score double", ["question_id"]),
+}
+
+
+def stage_sink(spark: SparkSession, path: str, table: str) -> Sink:
+    """The append table of a stage: extracted, questions, validation or scored."""
+    contract, key = CONTRACTS[table]
+    return Sink(spark, path, contract, key)
+
+
+def _last_reviews(log: DataFrame) -> DataFrame:
+    last = log.groupBy("question_id").agg(F.max_by(F.struct("status", "reason", "notes", "changed_at"), F.struct("changed_at", "status")).alias("r"))
+    return last.select("question_id", "r.*")
+
+
+def review_log(spark: SparkSession, path: str) -> UpsertLog:
+    """Decisions by question: the last one is all that is kept in a snapshot, `active` ones too, as they clear earlier ones."""
+    return UpsertLog(spark, path, "question_id bigint, status string, reason string, notes string, changed_at timestamp_ntz", _last_reviews)
+
+
+def _needed_stages(log: DataFrame) -> DataFrame:
+    """The last entry of a stage, and the first that says it runs."""
+    entry = F.struct("stage_name", "status", "summary", "error_message", "at", "seq")
+    running = F.lower(F.trim(F.coalesce("status", F.lit("")))) == "running"
+    kept = log.groupBy("run_id", "stage_number").agg(
+        F.max_by(entry, F.struct("at", "seq")).alias("l"), F.min_by(F.when(running, entry), F.when(running, F.struct("at", "seq"))).alias("f")
+    )
+    # a map is no set member: the first entry is another one if its place differs
+    other = F.col("f").isNotNull() & ((F.col("f.at") != F.col("l.at")) | (F.col("f.seq") != F.col("l.seq")))
+    both = F.when(other, F.array("l", "f")).otherwise(F.array("l"))
+    return kept.select("run_id", "stage_number", F.explode(both).alias("e")).select("run_id", "stage_number", "e.*")
+
+
+def stage_log(spark: SparkSession, path: str) -> UpsertLog:
+    """Status entries by run and stage."""
+    schema = "run_id bigint, stage_number int, stage_name string, status string, summary map<string,string>, error_message string, at timestamp_ntz, seq bigint"
+    return UpsertLog(spark, path, schema, _needed_stages)
+
+
 def write_clusters(features: DataFrame, members: DataFrame, clusters_path: str, bridge_path: str) -> None:
     """Cluster rows, and the bridge of their events; members without an id are left out."""
     append(features, clusters_path)
