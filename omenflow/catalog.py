@@ -257,6 +257,41 @@ def repair_second_pass(spark, sf):
     return _second_pass(spark, sf)[1].select("question_id", "repair_parent_question_id", "is_valid", "flags")
 
 
+def repair_open(spark, sf):
+    """Failed questions that may be repaired and have no repair yet."""
+    from .plans import stages
+
+    queue = b.view(spark, sf, "validation").where("NOT is_valid").withColumnRenamed("flags", "validation_flags")
+    stored = b.view(spark, sf, "questions").where("repair_parent_question_id IS NOT NULL")
+    return stages.repair_open(queue, stored).select("question_id")
+
+
+def days_levels(spark, sf):
+    """How near each question's deadline is, as shown and as a level."""
+    due = b.view(spark, sf, "questions").select("question_id", dates.days_until(dates.parse_deadline("deadline"), QDAY).alias("days_left"))
+    return due.select("question_id", "days_left", numeric.days_bucket("days_left").alias("shown"), numeric.days_level("days_left").alias("level"))
+
+
+def run_states(spark, sf):
+    """Current state of each run, from its own entries."""
+    from .plans import runlog
+
+    runs = run_log(spark, sf).where("stage_number = 1").select("run_id", "status", "error_message", "at", "seq")
+    return runlog.fold_runs(runs)
+
+
+def latest_run(spark, sf):
+    from .plans import runlog
+
+    return runlog.latest_run(run_states(spark, sf))
+
+
+def active_run(spark, sf):
+    from .plans import runlog
+
+    return runlog.active_run(run_states(spark, sf))
+
+
 def repair_counts(spark, sf):
     from .plans import stages
 
@@ -827,7 +862,7 @@ QUERIES = [
     event_contract, event_response_rows, event_retries, question_contract, question_response_rows,
     extraction_prompts, generation_prompts, repair_prompts,
     # pending work, dashboards, run log
-    pending_anti, pending_generation, pending_validation, pending_scoring, repair_second_pass, repair_counts, suitability_counts,
+    pending_anti, pending_generation, pending_validation, pending_scoring, repair_second_pass, repair_open, repair_counts, days_levels, run_states, latest_run, active_run, suitability_counts,
     stage_summaries, pending_not_in, pending_not_in_null, dashboard_queue, filtered_queue, status_stats, repair_queue, repair_children,
     review_latest, run_stages, run_progress,
     # discovery

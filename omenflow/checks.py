@@ -562,6 +562,36 @@ def repair_second_pass() -> str:
     return f"{second_pass_cte()} SELECT * FROM again"
 
 
+def repair_open() -> str:
+    return f"""{views('questions', 'validation')} SELECT question_id FROM v_validation v WHERE NOT is_valid AND {salvageable('flags')}
+  AND NOT EXISTS (SELECT 1 FROM v_questions q WHERE q.repair_parent_question_id = v.question_id)"""
+
+
+def days_levels() -> str:
+    return f"""{views('questions')} SELECT question_id, days_left, CASE WHEN days_left IS NULL THEN '' WHEN days_left < 0 THEN 'Expired' WHEN days_left = 0 THEN 'Today' ELSE days_left || 'd left' END AS shown,
+  CASE WHEN days_left IS NULL THEN '' WHEN days_left <= 7 THEN 'urgent' WHEN days_left <= 30 THEN 'soon' ELSE 'ok' END AS level
+FROM (SELECT question_id, CAST({deadline('deadline')} - {Q_DAY} AS INT) AS days_left FROM v_questions)"""
+
+
+RUNS_CTE = """WITH runs AS (SELECT user_id AS run_id, CASE event_type WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'running' ELSE 'pending' END AS status, ts, event_id
+  FROM events WHERE event_id % 6 = 0),
+states AS (SELECT run_id, status, '' AS error_message, (SELECT min(ts) FROM runs r WHERE r.run_id = a.run_id AND r.status = 'running') AS started_at,
+    CASE WHEN status IN ('completed', 'failed') THEN ts END AS finished_at
+  FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) AS rn FROM runs) a WHERE rn = 1)"""
+
+
+def run_states() -> str:
+    return f"{RUNS_CTE} SELECT * FROM states"
+
+
+def latest_run() -> str:
+    return f"{RUNS_CTE} SELECT * FROM states ORDER BY run_id DESC LIMIT 1"
+
+
+def active_run() -> str:
+    return f"{RUNS_CTE} SELECT * FROM states WHERE status IN ('queued', 'running') ORDER BY run_id DESC LIMIT 1"
+
+
 def repair_counts() -> str:
     return f"""{second_pass_cte()}, best AS (SELECT repair_parent_question_id AS question_id, bool_or(is_valid) AS ok FROM again GROUP BY 1)
 SELECT count(*) AS open, count(ok) AS answered, count(*) FILTER (ok) AS repaired FROM open_rows LEFT JOIN best USING (question_id)"""

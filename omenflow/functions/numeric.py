@@ -57,6 +57,12 @@ def days_bucket(days) -> Column:
     )
 
 
+def days_level(days) -> Column:
+    """How near a deadline is: urgent up to a week and once it has passed, soon up to 30 days, else ok; empty without one."""
+    days = as_col(days)
+    return F.when(days.isNull(), "").when(days <= 7, "urgent").when(days <= 30, "soon").otherwise("ok")
+
+
 def score_text(c) -> Column:
     """0-100 whole number, half to even; null shows as a dash."""
     c = as_col(c)
