@@ -2,14 +2,18 @@
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 # Elements by their role.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "button"}
+RAW = {"script", "style", "textarea", "title", "iframe"}
+#: No part of a text either, but only up to their end tag: without one, or where a text block begins before it, the tag alone goes.
+ASIDE = {"noscript", "template", "svg", "object", "select", "button"}
+#: Tags that no button, list of choices or drawing holds, and that end a formula.
+BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "main", "blockquote", "ul", "ol", "table", "figure", "pre"}
 INLINE = {
     "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
@@ -27,6 +31,10 @@ BAD_WORDS = {
 }
 #: Bad words that say where a box lies: on an article itself they describe the page around it.
 LAYOUT_WORDS = {"sidebar", "header", "footer", "nav", "navbar", "navigation", "menu", "aside", "rail", "topbar", "toolbar"}
+#: Bad words that on an article itself tell what it is about or where it was found.
+TOPIC_WORDS = {"search", "form", "login", "legal", "popular", "trending", "notice", "notices"}
+#: Words that stand beside "comment" in the name of a comment; with any other word the name is one of an article.
+COMMENT_WORDS = {"comment", "comments", "commentlist", "reply", "replies", "respond", "div", "item", "list", "body", "thread", "depth", "even", "odd", "alt", "user", "reader", "byuser", "bypostauthor", "parent", "author", "box", "section"}
 #: A class name with one of these tells what a box has beside it, not what it is.
 BESIDE_WORDS = {"has", "no", "with", "without", "is"}
 GOOD_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text", "maincontent"}
@@ -51,7 +59,8 @@ class _Element:
     __slots__ = ("tag", "weight", "region", "parent", "inside")
 
     def __init__(self, tag, weight, region, parent):
-        self.tag, self.weight, self.region, self.parent = tag, weight, region, parent
+        self.tag, self.region, self.parent = tag, region, parent
+        self.weight = weight + (parent.weight if parent else 0.0)  # that of all around it included
         self.inside = 0  # open elements of the same tag in an inline one
 
 
@@ -72,10 +81,11 @@ def _evidence(tag: str, attributes: str) -> float:
             else:
                 for name in value.split():
                     own = set(_WORDS.findall(_CAMEL.sub(" ", name).lower()))
+                    if tag in ("article", "main"):
+                        own -= LAYOUT_WORDS | TOPIC_WORDS
+                        own -= set() if own <= COMMENT_WORDS else COMMENT_WORDS - GOOD_WORDS
                     words |= set() if own & BESIDE_WORDS else own
         bad = words & BAD_WORDS
-        if tag in ("article", "main"):
-            bad -= LAYOUT_WORDS
         if bad:
             weight += BAD_WEIGHT
         elif words & GOOD_WORDS:
@@ -83,18 +93,33 @@ def _evidence(tag: str, attributes: str) -> float:
     return weight
 
 
-def page_blocks(page: str) -> list[tuple[str, float, int, int]]:
-    """(text, score, parent, region) of each text block in page order; the score is above 0 for likely content.
+def page_blocks(page: str) -> list[tuple[str, float, int, int, bool]]:
+    """(text, score, parent, region, plain) of each text block in page order; the score is above 0 for likely content.
 
     Blocks end where an element that is not inline begins or ends. `region` numbers the nearest element around the
-    block that tells for or against content.
+    block that tells for or against content; `plain` says that nothing around the block tells against it.
     """
     root = _Element("", 0.0, 0, None)
     stack, blocks, parts = [root], [], []
     links = chars = regions = 0
-    in_link = False
+    in_link = in_formula = False
     numbers = {id(root): 0}
     kept = [root]
+    opened: Counter = Counter()
+    ends: dict[str, re.Pattern] = {}
+
+    def close(at):
+        """Close the elements from this place of the stack on."""
+        for e in stack[at:]:
+            opened[e.tag] -= 1
+        del stack[at:]
+
+    def skipped(tag, start):
+        """Where an element that is no text ends; its start if it has no end of its own."""
+        if tag not in ends:
+            ends[tag] = re.compile(rf"<(/?)({tag}|{'|'.join(sorted(BLOCKS))})\b[^>]*>" if tag in ("button", "select", "svg") else rf"<(/?)({tag})\b[^>]*>", re.I)
+        end = ends[tag].search(page, start)
+        return end.end() if end and end[1] and end[2].lower() == tag else start
 
     def flush():
         nonlocal links, chars
@@ -103,7 +128,7 @@ def page_blocks(page: str) -> list[tuple[str, float, int, int]]:
             parts.clear()
             if text:
                 top = stack[-1]
-                score = sum(e.weight for e in stack)
+                score = top.weight
                 density = links / max(1, chars)
                 score += -0.4 + min(2.0, len(text) / 60) - 5.0 * (density > 0.5) - density
                 score += 0.4 * min(3, sum(text.count(c) for c in ".!?,;"))
@@ -113,7 +138,7 @@ def page_blocks(page: str) -> list[tuple[str, float, int, int]]:
                     score += 1.0
                 elif top.tag == "li" and density > 0.3:
                     score -= 1.5
-                blocks.append((text, score, numbers[id(top.parent or top)], top.region))
+                blocks.append((text, score, numbers[id(top.parent or top)], top.region, top.weight > -0.6 and density <= 0.5))
             links = chars = 0
 
     def add(text):
@@ -149,6 +174,14 @@ def page_blocks(page: str) -> list[tuple[str, float, int, int]]:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
                 pos = end.end() if end else size
             continue
+        if tag in ASIDE:
+            if not closing and not attributes.endswith("/"):
+                pos = skipped(tag, pos)
+            continue
+        if tag == "math" or (in_formula and tag not in BLOCKS):
+            in_formula = not (tag == "math" and closing)
+            continue
+        in_formula = False
         if tag == "a":
             in_link = not closing
         elif tag in ("br", "wbr", "img", "hr"):
@@ -162,7 +195,7 @@ def page_blocks(page: str) -> list[tuple[str, float, int, int]]:
                 stack[at].inside -= 1
             elif at:
                 flush()
-                del stack[at:]
+                close(at)
         elif tag in INLINE and _evidence(tag, attributes) >= 0:
             at = marked(tag)
             if at:
@@ -170,15 +203,16 @@ def page_blocks(page: str) -> list[tuple[str, float, int, int]]:
         elif closing:
             flush()
             in_link = False
-            if any(e.tag == tag for e in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
+            if opened[tag]:
+                at = len(stack) - 1
+                while stack[at].tag != tag:
+                    at -= 1
+                close(at)
         else:
             flush()
             in_link = in_link and tag in INLINE
-            for ended in (ENDS.get(tag, ()),):
-                while len(stack) > 1 and stack[-1].tag in ended:
-                    stack.pop()
+            while len(stack) > 1 and stack[-1].tag in ENDS.get(tag, ()):
+                close(len(stack) - 1)
             weight = _evidence(tag, attributes)
             region = stack[-1].region
             if weight:
@@ -188,6 +222,7 @@ def page_blocks(page: str) -> list[tuple[str, float, int, int]]:
             numbers[id(element)] = len(numbers)
             kept.append(element)  # keeps id() unique
             stack.append(element)
+            opened[tag] += 1
     flush()
     return blocks
 
@@ -196,48 +231,65 @@ def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> lis
     """Whether each node is on the source's side of a minimum cut.
 
     A positive score is the capacity from the source, a negative one that to the sink; an edge has
-    its capacity both ways. Flow is pushed along shortest paths until none is left; what the source
-    still reaches is content.
+    its capacity both ways. Each round numbers the nodes by their distance from the source and pushes flow along
+    growing numbers until nothing gets through, never trying an arc twice; what the source still reaches in the
+    end is content.
     """
-    n = len(scores)
-    room: list[dict[int, float]] = [{} for _ in range(n)]
+    n, least = len(scores), 1e-9
+    arcs: list[list[int]] = [[] for _ in range(n)]
+    to: list[int] = []
+    room: list[float] = []
     for a, b, c in edges:
-        room[a][b] = room[a].get(b, 0.0) + c
-        room[b][a] = room[b].get(a, 0.0) + c
-    give = [max(0.0, s) for s in scores]
-    take = [max(0.0, -s) for s in scores]
+        arcs[a].append(len(to))
+        arcs[b].append(len(to) + 1)
+        to += (b, a)
+        room += (c, c)
+    give, take = [max(0.0, s) for s in scores], [max(0.0, -s) for s in scores]
     while True:
-        came = {i: -1 for i in range(n) if give[i] > 1e-9}
-        queue, end = deque(came), -1
-        while queue:
-            a = queue.popleft()
-            if take[a] > 1e-9:
-                end = a
-                break
-            for b, c in room[a].items():
-                if c > 1e-9 and b not in came:
-                    came[b] = a
-                    queue.append(b)
-        if end < 0:
-            return [i in came for i in range(n)]
-        flow, b = take[end], end
-        while came[b] >= 0:
-            flow, b = min(flow, room[came[b]][b]), came[b]
-        flow = min(flow, give[b])
-        give[b] -= flow
-        take[end] -= flow
-        b = end
-        while came[b] >= 0:
-            room[came[b]][b] -= flow
-            room[b][came[b]] += flow
-            b = came[b]
+        level = [0 if g > least else -1 for g in give]
+        queue = [i for i in range(n) if not level[i]]
+        starts, open_ = list(queue), False
+        for a in queue:  # grows while it is read
+            open_ = open_ or take[a] > least
+            for e in arcs[a]:
+                if room[e] > least and level[to[e]] < 0:
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        if not open_:
+            return [x >= 0 for x in level]
+        tried = [0] * n
+        for start in starts:
+            path, at = [], start
+            while give[start] > least:
+                if take[at] > least:
+                    flow = min([give[start], take[at], *(room[e] for e in path)])
+                    give[start] -= flow
+                    take[at] -= flow
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    path, at = [], start
+                    continue
+                while tried[at] < len(arcs[at]):
+                    e = arcs[at][tried[at]]
+                    if room[e] > least and level[to[e]] == level[at] + 1:
+                        break
+                    tried[at] += 1
+                else:
+                    if not path:
+                        break
+                    at = to[path.pop() ^ 1]
+                    tried[at] += 1
+                    continue
+                path.append(e)
+                at = to[e]
 
 
 def main_text(page: str) -> str:
     blocks = page_blocks(page)
     edges = []
     last: dict[int, int] = {}
-    for i, (_, _, parent, region) in enumerate(blocks):
+    for i, (_, _, parent, region, _) in enumerate(blocks):
         if i:
             same = region == blocks[i - 1][3]
             edges.append((i - 1, i, CROSSING if not same else NEIGHBOUR))
@@ -245,6 +297,8 @@ def main_text(page: str) -> str:
             edges.append((last[parent], i, SIBLING))
         last[parent] = i
     content = minimum_cut([b[1] for b in blocks], edges)
+    if not any(content):  # a few words, and nothing that tells against them
+        content = [b[4] for b in blocks]
     return " ".join(b[0] for b, keep in zip(blocks, content) if keep)
 
 
