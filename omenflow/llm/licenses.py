@@ -28,9 +28,31 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc-by-nd", "licensed under cc by nd 4 0", ["cc by nd"]),
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+                 "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+                 "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to "
+                 "the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial "
+                 "portions of the software", ["to deal in the software without restriction", "copies or substantial portions of the software"]),
+    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions "
+                 "are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+                 "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+                 "documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce the above copyright notice"]),
+    ("apache-text", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may "
+                    "obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing "
+                    "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express "
+                    "or implied", ["you may not use this file except in compliance with the license"]),
+    ("gpl-text", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published "
+                 "by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the "
+                 "hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular "
+                 "purpose", ["under the terms of the gnu general public license"]),
+    ("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the "
+                 "above copyright notice and this permission notice appear in all copies", ["this permission notice appear in all copies"]),
+    ("zlib-text", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages "
+                  "arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial "
+                  "applications and to alter it and redistribute it freely", ["to alter it and redistribute it freely"]),
 ]
-#: Rare words of a wording that are looked up, and the share of its words that must stand at their places.
-ANCHORS, COVER = 3, 0.75
+#: The share of a wording's words that must stand at their places, its key phrases among them.
+COVER = 0.75
 
 
 def license_words(text: Column) -> Column:
@@ -65,16 +87,16 @@ def word_idf(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
 
 
 def _entries(idf: dict[str, float]) -> list[tuple]:
-    """anchor, offset, label, base, wording, places of its key phrases: for each wording and each of its rarest words."""
+    """anchor, offset, label, base, wording, places of its key phrases, for each wording.
+
+    The anchor is the rarest word of the key phrases: as those have to stand unchanged, the wording stands nowhere without it. In a base
+    phrase every word is one of the key phrase.
+    """
     out = []
     for label, wording, keys, base in [(b, p, [p], True) for p, b in BASE] + [(t, w, k, False) for t, w, k in TEMPLATES]:
-        have = wording.split()
-        # one rare word is enough where the whole phrase must stand
-        rare = sorted(set(have), key=lambda w: (-idf[w], have.index(w)))[: 1 if base else ANCHORS]
-        for word in rare:
-            # any place of the word may serve a wording of which parts may differ
-            places = [i for i, w in enumerate(have) if w == word]
-            out += [(word, i, label, base, have, _places(wording, keys)) for i in places[: 1 if base else None]]
+        have, must = wording.split(), _places(wording, keys)
+        at = min(must, key=lambda i: (-idf[have[i]], i))
+        out.append((have[at], at, label, base, have, must))
     return out
 
 
@@ -89,10 +111,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row.
 
     Words are compared with A-Z lower-cased. The corpus tells how rare the words of the wordings
-    are; each wording is then looked up by its rarest words. Where one stands in a text, the
-    words at the wording's other places, counted from there, are compared: a base phrase needs all
-    of them, another wording its key phrases and three quarters of its words. All of it happens inside the
-    row, so nothing is shuffled. The score is the largest share found: 1 for a base phrase, 0 for none.
+    are; the rarest word of each wording's key phrases leads to it, with its place. Wherever one of these words stands in
+    a text, the places of the wording's other words, counted from there, are intersected with the text's: first those of the key
+    phrases, all of which must agree, then all others, of which three quarters must, key phrases included. So no
+    place that meets the rule is missed. All of it happens inside the row, so nothing is shuffled. The score is the largest share found: 1 for a base phrase, 0 for none.
 
     A null or empty text has no words, no labels and score 0; null ids stay; repeated rows each
     give their row; no rows give none.
@@ -110,13 +132,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         lambda t: F.struct(t["label"].alias("label"), t["base"].alias("base"), t["must"].alias("must"), F.size(t["have"]).alias("size"),
                            (s["i"] - t["offset"]).alias("start"), t["have"].alias("have")),
     )))
+    agrees = lambda m, j: F.lower(F.get(F.col("words"), m["start"] + j)) == F.get(m["have"], j)
+    rows = rows.withColumn("met", F.filter(met, lambda m: F.forall(m["must"], lambda j: F.coalesce(agrees(m, j), F.lit(False)))))
     # the places, relative to the start, at which text and wording agree
-    rows = rows.withColumn("met", F.transform(met, lambda m: F.struct(
-        m["label"].alias("label"), m["base"].alias("base"), m["start"].alias("start"), m["size"].alias("size"), m["must"].alias("must"),
-        F.filter(F.sequence(F.lit(0), m["size"] - 1), lambda j: F.lower(F.get(F.col("words"), m["start"] + j)) == F.get(m["have"], j)).alias("same"),
+    rows = rows.withColumn("met", F.transform("met", lambda m: F.struct(
+        m["label"].alias("label"), m["base"].alias("base"), m["start"].alias("start"), m["size"].alias("size"),
+        F.filter(F.sequence(F.lit(0), m["size"] - 1), lambda j: agrees(m, j)).alias("same"),
     )))
-    rows = rows.withColumn("met", F.filter("met", lambda m: (F.size(F.array_except(m["must"], m["same"])) == 0)
-                                           & (F.size(m["same"]) >= m["size"] * COVER)))
+    rows = rows.withColumn("met", F.filter("met", lambda m: F.size(m["same"]) >= m["size"] * COVER))
     base = F.array_distinct(F.transform(F.filter("met", lambda m: m["base"]), lambda m: F.struct(m["start"].alias("start"), m["label"].alias("label"))))
     rows = rows.withColumn("placed", base)
     sorted_labels = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda m: m["label"]))), ",")
