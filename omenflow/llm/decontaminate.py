@@ -4,6 +4,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.durable import written
 from .common import id_back, keyed
 
 #: The shortest leak that counts: so many words of a test item, or so many characters if these words are longer.
@@ -16,6 +17,8 @@ STRETCH = 64
 ERRORS = 0.08
 #: Stretches of test items that a pass over the documents looks for; a larger test set takes more passes.
 BLOCK = 20_000
+#: Characters of an item from which on it may reject a document.
+REJECT = 13
 #: Characters of the grams by which most false places are told before the distance is computed.
 GRAM = 4
 
@@ -148,6 +151,12 @@ class Stretch:
         return self.patterns[j]
 
 
+def _by_itself(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on beyond either end."""
+    inside = lambda i, j: 0 <= i < j < len(text) and text[i].isalnum() and text[j].isalnum()
+    return not inside(start - 1, start) and not inside(end - 1, end)
+
+
 class Index:
     """Automaton over the tiles of a block of stretches."""
 
@@ -180,6 +189,8 @@ class Index:
                         continue
                     tried.add((i, j, start))
                     k, pattern = s.budget[j], s.pattern(j)
+                    if not k and not _by_itself(text, start, start + b - a):
+                        continue
                     place = text[max(0, start - k): max(0, start + b - a + k)]
                     if not pattern.may_be_near(place, k):
                         continue
@@ -250,25 +261,26 @@ def find_leaks(
     documents, so what a task holds does not grow with it.
 
     Null and empty texts hold nothing; null item ids are left out; items of equal text are all named.
-    Very short items (under 13 characters at these settings) must stand exactly. distance is the
+    Very short items (under 13 characters at these settings) must stand exactly and as words of their own. distance is the
     least over the passages, null if there are none. Repeated rows each give their row.
     """
     rows = keyed(docs, id_col, text_col)
-    parts = [rows.mapInArrow(_searching(b, errors), "id long, tid long, items array<long>, distance int")
-             for b in _blocks(test_stretches(benchmark, item_id, item_text, length), BLOCK)]
-    if not parts:
+    schema = "id long, tid long, items array<long>, distance int"
+    found, part = None, None
+    for block in _blocks(test_stretches(benchmark, item_id, item_text, length), BLOCK):
+        if part is not None:  # the hits of a block are written before the next one is read
+            hits = written(part.where(F.size("items") > 0))
+            found = hits if found is None else found.union(hits)
+        part = rows.mapInArrow(_searching(block, errors), schema)
+    if part is None:
         return rows.select("id", "tid", F.array().cast("array<long>").alias("items"), F.lit(None).cast("int").alias("distance"))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
-    # repeated rows stay repeated: each block has found as many
-    grouped = every.groupBy("id", "tid").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.min("distance").alias("distance"),
-        (F.count("*") / len(parts)).cast("int").alias("n"),
-    )
-    return grouped.select("id", "tid", "items", "distance", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")).drop("k")
+    if found is None:
+        return part
+    # repeated rows have the same hits
+    grouped = found.union(written(part.where(F.size("items") > 0))).groupBy("id", "tid").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.min("distance").alias("distance"))
+    every = rows.select("id", "tid").join(grouped, ["id", "tid"], "left")
+    return every.select("id", "tid", F.coalesce("items", F.array().cast("array<long>")).alias("items"), "distance")
 
 
 def leak_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -278,8 +290,13 @@ def leak_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` in which no passage of a test item stands, with all columns."""
-    found = find_leaks(docs, benchmark, id_col, text_col).where(F.size("items") > 0).select("id", "tid").distinct()
+    """The rows of `docs` in which no passage of a test item stands, with all columns.
+
+    Items of fewer than REJECT characters reject nothing: a few words stand in clean texts as well. Null and empty texts stay, null
+    ids stay, repeated rows share their fate; an empty table gives none.
+    """
+    told = benchmark.where(F.length(F.col("text").cast("string")) >= REJECT)
+    found = find_leaks(docs, told, id_col, text_col).where(F.size("items") > 0).select("id", "tid").distinct()
     mark = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), mark.alias("tid"))

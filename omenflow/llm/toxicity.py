@@ -25,8 +25,8 @@ IDENTITIES = [
     ["frauen", "männer"], ["juden", "christen", "muslime"], ["ausländer", "flüchtlinge"],
     ["femmes", "hommes"], ["juifs", "chrétiens", "musulmans"], ["mujeres", "hombres"], ["judíos", "cristianos", "musulmanes"],
 ]
-#: Documents the weights are fitted on at most (all labelled rows are counted), and features that may have a weight.
-SAMPLE, FEATURES = 20_000, 4096
+#: Documents the weights are fitted on at most; all labelled rows are counted.
+SAMPLE = 20_000
 #: Rows of a feature that are needed before it may have a weight.
 LEAST = 4
 #: Standard deviations by which a feature's toxic rows must differ from what chance gives.
@@ -164,11 +164,11 @@ def fit(found, named, toxic, groups, width, counterfactual: float = 1.0, ridge:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
-          label_col: str = "toxic", sample: int = SAMPLE, features: int = FEATURES) -> Classifier:
+          label_col: str = "toxic", sample: int = SAMPLE) -> Classifier:
     """A classifier from the labelled rows outside the held-out fold.
 
-    The features are counted over all of them; those whose toxic rows differ most from chance, either
-    way and by SIGNIFICANT at least, may have a weight. The weights are fitted to `sample` rows at most, taken by a hash
+    The features are counted over all of them; each one whose toxic rows differ from chance, either
+    way, by SIGNIFICANT at least may have a weight. The weights are fitted to `sample` rows at most, taken by a hash
     of the id. Ids with several labels count as toxic if one is. Without labels of both kinds
     the classifier gives every text the score 0.
     """
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rate = toxic / total
     expected = F.col("n") * rate
     gap = (F.col("n_toxic") - expected) / F.sqrt(expected * (1 - rate) + F.lit(0.5))
-    best = counts.where((F.col("name") != "") & (F.abs(gap) >= SIGNIFICANT)).orderBy(F.abs(gap).desc(), "name").limit(features).select("name").collect()
+    best = counts.where((F.col("name") != "") & (F.abs(gap) >= SIGNIFICANT)).select("name").orderBy("name").collect()
     terms = [t for group in IDENTITIES for t in group]
     names = {n: i for i, n in enumerate(dict.fromkeys([r["name"] for r in best] + terms))}
     # about `sample` rows, and never more: the driver holds a bounded number of feature lists
@@ -226,7 +226,13 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose text scores below the threshold, with all columns; texts are scored in place, without a join."""
+    """The rows of `docs` that are not rejected, with all columns; texts are scored in place, without a join.
+
+    A text is rejected if it scores THRESHOLD or more and more than an empty text does: where the labels have taught nothing,
+    or a text holds nothing that they have taught, it stays, however many of the labelled rows are toxic. Null and empty
+    texts stay; null ids stay; repeated rows share their fate; an empty table gives none.
+    """
+    none = model.score("")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     kept = docs.select(row.alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -235,4 +241,5 @@ def drop_toxic(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_
         for texts in series:
             yield texts.map(model.score)
 
-    return kept.where(score("text") < THRESHOLD).select("row.*")
+    found = score("text")
+    return kept.withColumn("score", found).where((F.col("score") < THRESHOLD) | (F.col("score") <= none)).select("row.*")
