@@ -559,7 +559,8 @@ FEED_ORDER = ["rss", "gdelt", "reddit", "hackernews", "wikipedia", "federal_regi
 
 
 def raw_payloads(spark, sf):
-    """Every document landed as the payload of one of the 13 feeds (by id), whole text inside."""
+    """Every document landed as the payload of one of the 13 feeds (by id): whole text inside, but for the four feeds of figures
+    (Wikipedia views, BLS, FRED, EIA), whose items have no field that an adapter takes a text from."""
     d = b.table(spark, sf, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"[\s\p{Cntrl}]+", " ")).alias("text"), "source")
     k, sid = F.col("doc_id"), F.col("doc_id").cast("string")
     title = F.concat(F.lit("Item "), sid)
