@@ -679,6 +679,33 @@ def stream_velocity(spark, sf):
     return out.select("window_start", "source", "mentions", "weighted_mentions", "users")
 
 
+def _streamed(spark, rows, slices, run):
+    """`rows` streamed in slices by question through `run(stream, table, checkpoint)`, and the table read back."""
+    root = _landed(spark, rows, slices, "question_id")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/land")
+    run(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/table")
+
+
+def stream_gate(spark, sf):
+    """The gate over questions that arrive in three batches."""
+    from .streaming.incremental import gate_stream
+
+    out = _streamed(spark, b.view(spark, sf, "questions"), 3, lambda s, table, ck: gate_stream(s, table, ck, QDAY))
+    return out.select("question_id", "is_valid", "flags", "clarity_score")
+
+
+def stream_score(spark, sf):
+    """Scores of valid questions that arrive in one batch, as scores are scaled within a batch."""
+    from .operators import scoring
+    from .streaming.incremental import score_stream
+
+    texts = question_texts(spark, sf)
+    out = _streamed(spark, scoring_rows(spark, sf), 1, lambda s, table, ck: score_stream(s, texts, table, ck, QDAY))
+    cols = ["question_id", "rank", "quality_flags", "explanation"] + [F.round(c, 6).alias(c) for c in scoring.COMPONENTS + ["penalty_total", "total_score"]]
+    return out.select(*cols)
+
+
 def _sunk(table):
     """Written in two batches, the second with all rows and once more, as after a failure; read back."""
     def query(spark, sf):
@@ -856,7 +883,7 @@ QUERIES = [
     cluster_features, cluster_coherence, cluster_priority_topk, priority_tiered, event_priority_queue, event_priority_sparse, event_priority_tiered,
     # similarity
     vector_dedupe, vector_dedupe_strict, vector_dedupe_blocks, dbscan_blocks, dbscan, dbscan_features, story_dedupe, question_dedupe, capped_story_dedupe,
-    novelty, max_similarity, near_duplicate_theme, stream_ingest, stream_velocity, review_store, run_store,
+    novelty, max_similarity, near_duplicate_theme, stream_ingest, stream_velocity, stream_gate, stream_score, review_store, run_store,
     # gate, admission, scoring
     gate_flags, gate_summary, salvage_flags, admission_errors, soft_flags, scored_rank, scored_rank_sparse, top_questions,
     # inference tables

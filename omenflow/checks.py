@@ -955,6 +955,14 @@ def stream_velocity() -> str:
     return windowed_velocity()
 
 
+def stream_gate() -> str:
+    return gate_flags()
+
+
+def stream_score() -> str:
+    return scored_rank()
+
+
 def review_store() -> str:
     return review_latest()
 

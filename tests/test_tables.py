@@ -105,6 +105,21 @@ def test_cluster_sink(spark, tmp_path):
     assert {r.id: r.new_id for r in ids.collect()} == {4: 8, 3: 9, 2: 10, 1: 11, 0: 12}
 
 
+def test_feeds_are_read_in_one_scan_and_a_further_feed_is_one_more_entry(spark, tmp_path):
+    land = str(tmp_path / "land")
+    raw(spark, ("gdelt", {"articles": [{"title": "A", "url": "u"}]}, None), ("notes", {"notes": [{"text": "B"}, {"text": "C"}]}, None),
+        ("notes", {"other": 1}, None)).write.parquet(land)
+    own = adapters.Feed(adapters._list("$.notes"), lambda opts: adapters._event(
+        title=adapters._f("text"), content=adapters._f("text"), source="notes", source_type="own", url="", when=F.lit(None).cast("timestamp_ntz")), list_at="$.notes")
+    table, feeds = spark.read.schema(RAW).parquet(land), adapters.FEEDS | {"notes": own}
+    events = adapters.fan_in(table, feeds=feeds)
+    assert sorted((r.feed, r.title) for r in events.collect()) == [("gdelt", "A"), ("notes", "B"), ("notes", "C")]
+    counts = adapters.feed_counts(table, feeds=feeds)
+    assert sorted(tuple(r) for r in counts.collect()) == [("gdelt", 1, 0, 1), ("notes", 2, 1, 2)]
+    for df in (events, counts):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
 def test_ingest_stream_keeps_hashes_unique(spark, tmp_path):
     land, table, ck = (str(tmp_path / n) for n in ("land", "table", "ck"))
     post = lambda *titles: raw(spark, ("gdelt", {"articles": [{"title": t, "url": "u"} for t in titles]}, None))
