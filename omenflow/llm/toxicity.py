@@ -236,10 +236,10 @@ def drop_toxic(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     kept = docs.select(row.alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-    @F.pandas_udf("double")
-    def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("boolean")
+    def stays(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in series:
-            yield texts.map(model.score)
+            scores = texts.map(model.score)
+            yield (scores < THRESHOLD) | (scores <= none)
 
-    found = score("text")
-    return kept.withColumn("score", found).where((F.col("score") < THRESHOLD) | (F.col("score") <= none)).select("row.*")
+    return kept.where(stays("text")).select("row.*")
