@@ -9,6 +9,7 @@ from .ranks import global_rank
 from .tokenjoin import SKETCH, Keys, distinct_sets, number_tokens, overlap, overlap_bound, publish
 
 FINGERPRINT = 14
+FEW = 64  # questions of an event that are scanned in one row
 
 
 def token_fingerprint(rows: DataFrame, key: str, text: Column, size: int = FINGERPRINT) -> DataFrame:
@@ -79,24 +80,54 @@ def _with_text_keys(keys: Keys, sets: DataFrame, *by: str) -> Keys:
     return Keys(keys.left.unionByName(extra.select(*keys.left.columns)), keys.right.unionByName(extra.select(*keys.right.columns)))
 
 
+def _kept_in_scan(rows: DataFrame) -> DataFrame:
+    """Kept `pos` of events of few rows: each event is scanned in its own row, and no pairs are made."""
+    item = F.struct("pos", "kind", "norm", "words", F.size("words").alias("n"))
+
+    def near(k, x):
+        both, small = k["n"] + x["n"], F.least(k["n"], x["n"])
+        return (small > 0) & let(F.size(F.array_intersect(k["words"], x["words"])), lambda i: (i * 166 >= 66 * both) | (i * 100 >= 80 * small))
+
+    # texts without any wording are repeats only within their type
+    same = lambda k, x: ((k["norm"] == x["norm"]) & ((x["norm"] != "") | k["kind"].eqNullSafe(x["kind"]))) | ((k["kind"] == x["kind"]) & near(k, x))
+    items = rows.groupBy("event").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    scan = F.aggregate(
+        "items", F.slice("items", 1, 0),
+        lambda kept, x: F.when(F.exists(kept, lambda k: F.coalesce(same(k, x), F.lit(False))), kept).otherwise(F.concat(kept, F.array(x))),
+    )
+    return items.select(F.explode(F.transform(scan, lambda k: k["pos"])).alias("pos"))
+
+
 def dedupe_questions(questions: DataFrame, pos: str = "question_id", event: str = "extracted_event_id") -> DataFrame:
     """Within each event, drop near-duplicates of the same type and repeats of the same text.
 
-    Tokens are tagged with their event, so sets of different events never meet.
+    An event of at most FEW questions is scanned in one row. In larger ones tokens are tagged with their event, so sets of different events never meet.
     """
-    norm = aliased("question_text")
-    tag = F.col(event).cast("string")
     rows = questions.select(
-        F.col(pos).alias("pos"), F.col(event).alias("event"), F.col("question_type").alias("kind"), norm.alias("norm"),
-        F.transform(story_token_set("question_text"), lambda w: F.concat(tag, F.lit("|"), w)).alias("tokens"),
+        F.col(pos).alias("pos"), F.col(event).alias("event"), F.col("question_type").alias("kind"),
+        aliased("question_text").alias("norm"), story_token_set("question_text").alias("words"),
     )
+    large = questions.groupBy(F.col(event).alias("event")).agg(F.count("*").alias("c")).where(F.col("c") > FEW).select("event")
+    large = written(large.where("event IS NOT NULL"))
+    kept = _kept_in_scan(rows.where("event IS NOT NULL").join(large, "event", "left_anti"))
+    if not large.isEmpty():
+        kept = kept.unionByName(_kept_by_keys(rows.join(large, "event", "left_semi")))
+    lost = rows.where("event IS NULL")
+    if not lost.isEmpty():
+        kept = kept.unionByName(_kept_by_keys(lost))
+    return questions.join(kept.select(F.col("pos").alias(pos)), pos, "left_semi")
+
+
+def _kept_by_keys(rows: DataFrame) -> DataFrame:
+    """Kept `pos` of events of any size."""
+    tag = F.col("event").cast("string")
+    rows = rows.select("pos", "event", "kind", "norm", F.transform("words", lambda w: F.concat(tag, F.lit("|"), w)).alias("tokens"))
     groups, _ = distinct_sets(written(rows), ["event", "kind", "norm", "tokens"])
     sets = _sets_with_blanks(groups)
     keys = _with_text_keys(publish(sets, 0.66, contained=True), sets, "event")
     same_text = (F.col("l_norm") == F.col("r_norm")) & (F.col("l_event") == F.col("r_event"))
     rule = same_text | ((F.col("l_kind") == F.col("r_kind")) & near_duplicate())
-    kept = keep_first(sets, keys, rule)
-    return questions.join(kept.select(F.col("pos").alias(pos)), pos, "left_semi")
+    return keep_first(sets, keys, rule).select("pos")
 
 
 def _first_per_key(rows: DataFrame, key: str, n: int) -> DataFrame:
