@@ -14,6 +14,7 @@ from .durable import written
 from .tokenjoin import PAIR_BUDGET, Keys, meet, pair_estimate
 
 HEADS = 32  # members of a crowded key that are compared per round
+LEADERS = 128  # first undecided items that are compared with all others
 
 
 def keep_first_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -90,6 +91,34 @@ def keep_first(nodes: DataFrame, keys: Keys, rule: Column, budget: int = PAIR_BU
     return rest if kept is None else written(kept.unionByName(rest))
 
 
+def settle_by_leaders(items: DataFrame, rule: Callable[[str, str], Column]) -> tuple[list[int], DataFrame]:
+    """Kept positions so far, and the items still undecided.
+
+    `rule(small, large)` is the test on columns with these two prefixes. The first items are settled among themselves, and those kept
+    drop what resembles them among all others: no keys, no pairs of the crowd. It goes on as long as a round halves the rest.
+    """
+    kept: list[int] = []
+    sided = lambda df, side: df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
+    rest, left = items, items.count()
+    while left:
+        front = written(rest.orderBy("pos").limit(LEADERS))
+        met = sided(front, "l").join(F.broadcast(sided(front, "r")), (F.col("l_pos") != F.col("r_pos")) & rule("l", "r"))
+        near = {tuple(sorted(r)) for r in met.select("l_pos", "r_pos").collect()}  # pairs of at most LEADERS items
+        mine: list[int] = []
+        for r in front.select("pos").orderBy("pos").collect():
+            if not any((k, r.pos) in near for k in mine):
+                mine.append(r.pos)
+        kept += mine
+        last = front.agg(F.max("pos")).first()[0]
+        heads = F.broadcast(sided(front.where(F.col("pos").isin(mine)), "r"))
+        others = sided(rest.where(F.col("pos") > last), "l").join(heads, rule("l", "r") | rule("r", "l"), "left_anti")
+        rest = written(others.select(*[F.col(f"l_{c}").alias(c) for c in items.columns]))
+        before, left = left, rest.count()
+        if left > before / 2:
+            break
+    return kept, rest
+
+
 def first_of_neighbours(keys: Keys, rule: Callable[[str, str], Column]) -> DataFrame:
     """`pos` of the members that no similar member precedes for certain, by their column `m`.
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import aliased, let, squash, story_token_set, story_tokens
 from .durable import written
-from .keepfirst import first_of_neighbours, keep_first, neighbours
+from .keepfirst import first_of_neighbours, keep_first, neighbours, settle_by_leaders
 from .ranks import global_rank
 from .tokenjoin import SKETCH, Keys, distinct_sets, number_tokens, overlap, overlap_bound, publish
 
@@ -29,9 +29,9 @@ def story_text() -> Column:
     return F.concat_ws(" ", "event_summary", "market_angle", "outcome_variable", "event_type", F.array_join("entities", " "))
 
 
-def same_story() -> Column:
+def same_story(smaller: str = "l", larger: str = "r") -> Column:
     """Two fingerprints tell the same story: close sets, or looser ones with shared entities or type."""
-    both, small = F.col("l_n") + F.col("r_n"), F.least("l_n", "r_n")
+    both, small = F.col("l_n") + F.col("r_n"), F.col(f"{smaller}_n")
     kind = F.col("l_kind") == F.col("r_kind")
     ents = F.size(F.array_intersect("l_ents", "r_ents"))
 
@@ -40,22 +40,25 @@ def same_story() -> Column:
         c = lambda pct: i * 100 >= pct * small
         return j(42) | (kind & (ents >= 2) & (j(24) | c(42))) | (c(60) & (ents >= 1)) | (kind & c(75))
 
-    return (F.col("l_n") <= F.col("r_n")) & let(overlap(), rule)
+    return (small <= F.col(f"{larger}_n")) & let(overlap(), rule)
 
 
 def dedupe_stories(events: DataFrame, order: list[Column]) -> DataFrame:
     """First event of each story in the given order; a dropped event drops no other."""
     ranked = global_rank(events, order, "pos")
-    marks = token_fingerprint(ranked, "pos", story_text())
+    marks = written(token_fingerprint(ranked, "pos", story_text()))
     rows = ranked.select(
         "pos", squash("event_type").alias("kind"), story_token_set(F.array_join("entities", " ")).alias("ents")
     ).join(marks, "pos")
     # equal fingerprints of one kind and entity set behave alike: only the first can be kept
     groups, _ = distinct_sets(rows, ["tokens", "kind", "ents"])
-    sets = written(number_tokens(groups))
-    kept = keep_first(sets, publish(sets, 0.24, contained=True), same_story())
+    sets = written(number_tokens(written(groups)))
+    first, rest = settle_by_leaders(sets, same_story)
+    kept = sets.where(F.col("pos").isin(first)).select("pos")
+    if not rest.isEmpty():
+        kept = kept.unionByName(keep_first(rest, publish(rest, 0.24, contained=True), same_story()).select("pos"))
     blank = ranked.select("pos").join(marks, "pos", "left_anti")
-    return ranked.join(kept.select("pos").unionByName(blank), "pos", "left_semi").drop("pos")
+    return ranked.join(kept.unionByName(blank), "pos", "left_semi").drop("pos")
 
 
 def near_duplicate(smaller: str = "l", larger: str = "r") -> Column:
