@@ -175,9 +175,33 @@ def event_rows(checked: DataFrame) -> DataFrame:
     )
 
 
+def _question_fits(q) -> Column:
+    """True only where no check of a question can fail: all its fields of the right type and no others, read at once."""
+    kinds = {n: "STRING" for n in t.QUESTION_STRING_FIELDS} | {n: r"(BIGINT|DOUBLE|FLOAT|DECIMAL\([0-9,]+\))" for n in t.QUESTION_NUMBER_FIELDS}
+    kinds |= {"options": "ARRAY<STRING>", "already_resolved": "BOOLEAN"}
+    shape = "^OBJECT<" + ", ".join(f"{n}: {kinds[n]}" for n in sorted(kinds)) + ">$"
+    types = {n: "double" for n in t.QUESTION_NUMBER_FIELDS} | {"options": "array<string>", "already_resolved": "boolean"}
+    fields = F.try_variant_get(q, "$", "struct<" + ", ".join(f"{n}: {types.get(n, 'string')}" for n in kinds) + ">")
+
+    def within(v):
+        out = v["category"].isin(t.QUESTION_CATEGORIES) & v["question_type"].isin(t.QUESTION_TYPES)
+        for name, (low, high) in t.QUESTION_STRING_FIELDS.items():
+            out = out & (F.length(v[name]) >= low)
+            out = out if high is None else out & (F.length(v[name]) <= high)
+        for name in t.QUESTION_NUMBER_FIELDS:
+            out = out & v[name].between(0.0, 1.0)
+        return out & F.size(v["options"]).between(2, 5) & F.forall(v["options"], lambda o: F.length(o).between(1, 200))
+
+    return F.schema_of_variant(q).rlike(shape) & let(fields, within)
+
+
 def question_contract(responses: DataFrame) -> DataFrame:
     """Check question responses: a list of 1 to 5 items, each within its bounds."""
     def item_error(q):
+        # which check fails is asked only where one can
+        return F.when(~F.coalesce(_question_fits(q), F.lit(False)), first_error(q))
+
+    def first_error(q):
         checks = [F.when(~F.schema_of_variant(q).startswith("OBJECT"), F.lit("type: question"))]
         checks += [_string_error(q, name, low, high) for name, (low, high) in t.QUESTION_STRING_FIELDS.items()]
         checks += [_enum_error(q, "category", t.QUESTION_CATEGORIES), _enum_error(q, "question_type", t.QUESTION_TYPES)]
@@ -202,7 +226,9 @@ def question_rows(checked: DataFrame) -> DataFrame:
     """One row per question of the accepted responses, `item` being its place in the list."""
     d = F.from_json("json", f"questions ARRAY<STRUCT<{QUESTION_SCHEMA.replace(' STRING', ': STRING').replace(' ARRAY', ': ARRAY').replace(' DOUBLE', ': DOUBLE').replace(' BOOLEAN', ': BOOLEAN')}>>")
     keep = [c for c in checked.columns if c not in ("json", "error")]
-    return checked.where(F.col("error").isNull()).select(*keep, F.posexplode(d["questions"]).alias("item", "d")).select(*keep, "item", "d.*")
+    # a filter on the error, or one that an inner explode brings along, would check and read every response again
+    items = F.when(F.col("error").isNull(), d["questions"])
+    return checked.select(*keep, F.posexplode_outer(items).alias("item", "d")).where(F.col("item").isNotNull()).select(*keep, "item", "d.*")
 
 
 def retry_set(checked: DataFrame, attempt: int, prompt: str = "prompt", retries: int = 2) -> DataFrame:
