@@ -15,7 +15,9 @@ FEW = 64  # questions of an event that are scanned in one row
 def token_fingerprint(rows: DataFrame, key: str, text: Column, size: int = FINGERPRINT) -> DataFrame:
     """key, tokens: the most frequent content tokens, ties by first appearance. Counted inside the row: nothing is shuffled."""
     placed = F.array_sort(F.transform(story_tokens(text), lambda w, i: F.struct(w.alias("token"), i.alias("at"))))
-    rows = rows.select(key, placed.alias("placed")).where(F.size("placed") > 0)
+    rows = rows.select(key, placed.alias("placed"))
+    # through the explode: a filter on the tokens themselves would be moved down and make them twice
+    rows = rows.select(key, F.explode_outer(F.when(F.size("placed") > 0, F.array("placed"))).alias("placed")).where(F.col("placed").isNotNull())
     new = lambda j: (j == 0) | (F.get("placed", j)["token"] != F.get("placed", j - 1)["token"])
     rows = rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("placed") - 1), new))
     entry = lambda s, k: F.struct(

@@ -2,7 +2,9 @@
 
 import json
 
-from omenflow.operators import responses
+from pyspark.sql import functions as F
+
+from omenflow.operators import responses, stories
 
 GOOD = {
     "question_text": "Will the committee cut rates in June?", "category": "finance", "question_type": "binary", "options": ["Yes", "No"],
@@ -36,3 +38,10 @@ def test_question_rows_read_each_response_once(spark):
     assert plan(out).count("parse_json(") == plan(checked).count("parse_json(")
     assert sorted((r.question_id, r.item, r.timing_reliability) for r in out.collect()) == [
         (0, 0, 0.25), (0, 1, 0.25), (14, 0, 0.25), (14, 1, 0.0), (15, 0, 0.25), (15, 1, 0.001)]
+
+
+def test_fingerprint_tokens_are_made_once(spark):
+    df = spark.createDataFrame([(1, "rates rates committee"), (2, "the of 12"), (3, None), (4, "")], "k long, text string")
+    out = stories.token_fingerprint(df, "k", F.col("text"))
+    assert [(r.k, r.tokens) for r in out.collect()] == [(1, ["committee", "rates"])]
+    assert plan(out).count("[^a-z0-9]+") == 1
