@@ -29,7 +29,7 @@ def prohibited_topic(question, full, hay) -> Column:
     return (
         F.when(tx.has_word(hay, t.TERRORISM_TERMS), named("terrorism_content", tx.first_word(hay, t.TERRORISM_TERMS)))
         .when(tx.has_word(hay, t.ILLEGAL_TERMS), named("illegal_activity", tx.first_word(hay, t.ILLEGAL_TERMS)))
-        .when(tx.matches_any(full, t.DEATH_PATTERNS) & individual, "death_market")
+        .when(tx.contains_any(hay, t.DEATH_WORDS) & tx.matches_any(full, t.DEATH_PATTERNS) & individual, "death_market")
         .when(
             tx.has_word(hay, t.SEVERE_VIOLENCE_TERMS) & asks & individual,
             named("violence_content", F.array_join(tx.all_words(hay, t.VIOLENCE_TERMS), ", ")),
@@ -44,9 +44,10 @@ def manipulation_risk(question, low) -> Column:
 def minor_involvement(low) -> Column:
     """`low` is the collapsed lowercase question."""
     age = F.regexp_extract(low, t.MINOR_AGE, 1)
+    named = lambda word: F.contains(as_col(low), F.lit(word))
     return (
-        (F.coalesce(age.try_cast("int"), F.lit(99)) < 18)
-        | as_col(low).rlike("(?d)" + t.MINOR_CONTEXT)
+        (named("year") & (F.coalesce(age.try_cast("int"), F.lit(99)) < 18))
+        | (named("minor") & as_col(low).rlike("(?d)" + t.MINOR_CONTEXT))
         | tx.has_word(low, t.MINOR_WORD_TERMS)
         | (tx.has_word(low, ["children"]) & ~F.contains(as_col(low), F.lit("children's")))
     )
@@ -105,16 +106,17 @@ def unclear_binary(question, question_type) -> Column:
 def _normalised(questions: DataFrame) -> DataFrame:
     """Each text is lowercased and collapsed once; the rules read these columns."""
     full = pair_text("question_text", "resolution_criteria")
-    return questions.select(
+    texts = questions.select(
         "question_id", "question_text", "question_type", "options", "already_resolved",
         F.coalesce("resolution_confidence", F.lit(0.0)).alias("conf"),
         or_empty("resolution_confidence_reason").alias("reason"),
         F.coalesce("source_independence", F.lit(0.0)).alias("indep"),
         F.coalesce("timing_reliability", F.lit(0.0)).alias("timing"),
-        parse_deadline("deadline").alias("due"), full.alias("full"), squash(full).alias("hay"),
+        parse_deadline("deadline").alias("due"), full.alias("full"),
         squash("question_text").alias("low"), squash("resolution_criteria").alias("crit"),
         squash("resolution_source").alias("src"), squash("category").alias("cat"),
     )
+    return texts.withColumn("hay", F.trim(pair_text("low", "crit")))
 
 
 def gate(questions: DataFrame, as_of, opts: Options = DEFAULTS) -> DataFrame:
@@ -153,10 +155,12 @@ def gate(questions: DataFrame, as_of, opts: Options = DEFAULTS) -> DataFrame:
 
 def is_salvageable(flags) -> Column:
     """Some flag, none of them a hard policy block, all of a repairable kind."""
-    flags = F.transform(as_col(flags), lambda f: tx.strip(or_empty(f)))
-    hard = F.exists(flags, lambda f: f.rlike("^(" + "|".join(t.NON_SALVAGEABLE_PREFIXES) + ")"))
-    soft = F.forall(flags, lambda f: F.substring_index(f, ":", 1).isin(t.SALVAGEABLE_FLAGS))
-    return (F.size(flags) > 0) & ~hard & soft
+    def judged(flags):
+        hard = F.exists(flags, lambda f: f.rlike("^(" + "|".join(t.NON_SALVAGEABLE_PREFIXES) + ")"))
+        soft = F.forall(flags, lambda f: F.substring_index(f, ":", 1).isin(t.SALVAGEABLE_FLAGS))
+        return (F.size(flags) > 0) & ~hard & soft
+
+    return tx.let(F.transform(as_col(flags), lambda f: tx.strip(or_empty(f))), judged)
 
 
 def top_flags(results: DataFrame, n: int = 3) -> DataFrame:

@@ -4,7 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from omenflow.operators import responses, stories
+from omenflow.functions.text import squash
+from omenflow.operators import gate, responses, stories
 
 GOOD = {
     "question_text": "Will the committee cut rates in June?", "category": "finance", "question_type": "binary", "options": ["Yes", "No"],
@@ -45,3 +46,21 @@ def test_fingerprint_tokens_are_made_once(spark):
     out = stories.token_fingerprint(df, "k", F.col("text"))
     assert [(r.k, r.tokens) for r in out.collect()] == [(1, ["committee", "rates"])]
     assert plan(out).count("[^a-z0-9]+") == 1
+
+
+def test_gate_collapses_each_text_once(spark):
+    rows = [(q, c) for q in ("Will a  MINOR student die?", None, " ", "Is a 17-year-old  to pass away") for c in ("How many\tdeaths. ", None, "", "x ΑΣ")]
+    df = spark.createDataFrame(rows, "question_text string, resolution_criteria string").select(
+        "*", F.monotonically_increasing_id().alias("question_id"), *[F.lit("a").alias(c) for c in ("question_type", "deadline", "resolution_source", "category", "resolution_confidence_reason")],
+        F.array(F.lit("Yes")).alias("options"), F.lit(False).alias("already_resolved"), *[F.lit(0.5).alias(c) for c in ("resolution_confidence", "source_independence", "timing_reliability")],
+    )
+    out = gate._normalised(df)
+    assert out.where(~F.col("hay").eqNullSafe(squash(F.col("full")))).count() == 0
+    assert plan(out.select("hay")).count("regexp_replace") == 2 and plan(out.select("low", "crit", "hay")).count("regexp_replace") == 2
+
+
+def test_salvageable_strips_each_flag_once(spark):
+    rows = [(["ambiguous_wording "],), ([" prohibited_topic:x"],), ([],), (None,), ([None],), (["low_timing_reliability:0.10", "weak_resolution_source"],)]
+    out = spark.createDataFrame(rows, "flags array<string>").select(gate.is_salvageable("flags").alias("ok"))
+    assert [r.ok for r in out.collect()] == [True, False, False, None, False, True]
+    assert plan(out).count("regexp_replace") == 1
