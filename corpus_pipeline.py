@@ -12,7 +12,7 @@ def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8), that with the smallest id."""
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8; SimHash, then an exact index), that with the smallest id."""
     return near_copies.keep_one(docs)
 
 

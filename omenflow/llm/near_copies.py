@@ -1,6 +1,7 @@
-"""Near copies by an exact prefix index over word shingles, rarest first.
+"""Near copies by SimHash and, for those it does not reach, an exact prefix index over word shingles, rarest first.
 
-Two texts of which the shingle sets have a Jaccard likeness of LIKE or more share one of the n - ceil(LIKE n) + 1 first shingles of
+Texts whose 64-bit fingerprints link at three or fewer bits are compared first (`simhash.near_links`, on fingerprints of the same
+shingles). Most near copies differ in more bits, so the index has the last word. Two texts of which the shingle sets have a Jaccard likeness of LIKE or more share one of the n - ceil(LIKE n) + 1 first shingles of
 each, in any order that holds for all texts. The order here is by the number of texts that hold a shingle in the
 whole corpus, so wording that many texts share is no key unless a text has little else. Texts meet by key, lengths and
 places rule most meetings out, and arrays of hashes, never texts, are compared.
@@ -15,6 +16,7 @@ from ..operators.components import connected_components
 from ..operators.durable import written
 from .common import NO_ID, id_back, keyed
 from .ngram_lm import _mixed, _packed, _unpacked, _Unit, _windows
+from .simhash import near_links
 
 #: Texts are near copies if the sets of their SHINGLE-word shingles have a Jaccard likeness of LIKE or more.
 SHINGLE, LIKE = 5, 0.8
@@ -126,11 +128,21 @@ def _answering(table: pa.Table) -> pa.Table:
     })
 
 
-_PUBLISHED = "key long, tid long, n int, pos int, hashes binary"
+_PUBLISHED = "key long, tid long, n int, pos int, hashes binary, fp long"
+
+
+def _sketched(hashed: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """SimHash of each text: a bit is 1 if it is set in over half of its shingles' hashes, which come text by text."""
+    mixed, starts = _mixed(hashed * _ODD), np.cumsum(size) - size
+    prints = np.zeros(len(size), np.uint64)
+    for bit in range(64):
+        ones = np.add.reduceat((mixed >> np.uint64(bit) & np.uint64(1)).astype(np.int32), starts)
+        prints |= (2 * ones > size).astype(np.uint64) << np.uint64(bit)
+    return prints
 
 
 def _publishing(unit: pa.Table, answers: pa.Table) -> pa.Table:
-    """The keys of each text, and the whole sets of texts that have keys.
+    """The keys of each text, and the whole sets and fingerprints of texts that have keys.
 
     A shingle that one text alone holds brings nothing together and is no key, but it keeps its place in the order.
     """
@@ -154,11 +166,12 @@ def _publishing(unit: pa.Table, answers: pa.Table) -> pa.Table:
         "tid": pa.array(np.concatenate([tids[by], tids[none]])), "n": pa.array(np.concatenate([size[by], size[none]]), pa.int32()),
         "pos": pa.concat_arrays([pa.array(place[chosen], pa.int32()), pa.nulls(s, pa.int32())]),
         "hashes": pa.concat_arrays([pa.nulls(m, pa.binary()), pa.array([_packed(x) for x in steps], pa.binary())]),
+        "fp": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(_sketched(hashed, size)[none].view(np.int64))]),
     })
 
 
 def published_keys(rows: DataFrame, unit: int = UNIT) -> DataFrame:
-    """key, tid, n, pos for the keys of each text, and tid, n, hashes for the texts that have any.
+    """key, tid, n, pos for the keys of each text, and tid, n, hashes, fp for the texts that have any.
 
     `rows`: tid, text. n is the size of the text's set, pos the place of the key in its order.
     """
@@ -209,10 +222,25 @@ def _linked(roots: DataFrame, links: DataFrame) -> DataFrame:
     return written(roots.join(moved, "root", "left").select("tid", F.coalesce("new", "root").alias("root")))
 
 
+def sketch_pairs(sets: DataFrame) -> DataFrame:
+    """a, b: texts (tid, fp) whose fingerprints SimHash links, each with the least text of the fingerprint it is linked to."""
+    hubs = written(sets.groupBy("fp").agg(F.min("tid").alias("a")))
+    asked = sets.select("fp", F.col("tid").alias("b"))
+    linked = near_links(hubs.select("fp")).join(hubs.select(F.col("fp").alias("a"), F.col("a").alias("tid")), "a")
+    asked = written(asked.union(linked.select(F.col("b").alias("fp"), "tid")))
+    # at most a thousand fingerprints are asked for by more than a thousandth of the rows each
+    often = asked.groupBy("fp").count().where(F.col("count") > asked.count() // 1000).select("fp")
+    often = written(hubs.join(often, "fp"))
+    rare = asked.join(F.broadcast(often), "fp", "left_anti").join(hubs, "fp")
+    met = asked.join(F.broadcast(often), "fp").unionByName(rare)
+    return met.where("a <> b").select("a", "b").distinct()
+
+
 def near_copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """tid, least, root for each distinct text: its least id, null if it has none, and the group it is linked to.
 
-    At first each text is compared with one other, the least by hash among the first members of its keys. After that, a key of which all
+    Texts that SimHash links are compared first. Each text that this has not linked is then compared with one other, the least by hash
+    among the first members of its keys. After that, a key of which all
     but FEW members are in one group is settled in one round: those few are compared with all others. In other
     keys the members are compared with centres, the least text of each slot; slots are cut finer from round to
     round, until the members are in one group or each has been a centre. A pair that is already in one group is not compared, a pair
@@ -229,8 +257,10 @@ def near_copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = written(keys)
     shared = keys.groupBy("key").count().where("count > 1").select("key")
     open_ = written(keys.join(shared, "key", "left_semi"))
-    sets = published.where(F.col("key").isNull()).select("tid", "n", "hashes").join(open_.select("tid").distinct(), "tid", "left_semi")
-    sets = written(sets.groupBy("tid").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")))
+    sets = published.where(F.col("key").isNull()).select("tid", "n", "hashes", "fp").join(open_.select("tid").distinct(), "tid", "left_semi")
+    sets = written(sets.groupBy("tid").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.first("fp").alias("fp")))
+    near = written(sketch_pairs(sets))
+    sketched = written(exact_links(near, sets))
     roots, tested, slots = prints.select("tid", F.col("tid").alias("root")), None, 1
     open_ = open_.withColumn("root", F.col("tid"))
     while not open_.isEmpty():
@@ -248,11 +278,13 @@ def near_copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         centres = written(centres)
         pairs = open_.join(centres.drop("members"), "key").where((F.col("root") != F.col("a_root")) & _may_be_alike(F.col("n"), F.col("pos"), F.col("m"), F.col("place")))
         if tested is None:
-            pairs = pairs.groupBy(F.col("tid").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+            pairs = pairs.groupBy(F.col("tid").alias("b")).agg(F.min("a").alias("a")).select("a", "b").join(sketched.select("b"), "b", "left_anti").select("a", "b")
         else:
             pairs = pairs.select("a", F.col("tid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs)
         found = written(exact_links(pairs, sets))
+        if tested is None:
+            found, pairs = found.union(sketched), pairs.union(near)
         if not found.isEmpty():
             roots = _linked(roots, found)
         rest = open_.drop("root").join(roots, "tid")

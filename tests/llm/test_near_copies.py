@@ -79,3 +79,24 @@ def test_shared_wording_brings_nothing_together(spark, monkeypatch):
         roots = near_copies.near_copy_roots(spark.createDataFrame(rows, "doc_id long, text string"))
         assert roots.select("root").distinct().count() == size
         assert sum(compared) <= size
+
+
+def test_simhash_links_near_copies_first(spark, monkeypatch):
+    """The pairs that SimHash links, most of them directly, are compared first; the index does the rest."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, edited(rng, words, 1)), (len(rows) + 2, edited(rng, words, 7))]
+    compared, links = [], near_copies.exact_links
+
+    def watched(pairs, sets):
+        prints = {r["tid"]: r["fp"] for r in sets.select("tid", "fp").collect()}
+        compared.append([((prints[r["a"]] ^ prints[r["b"]]) & (2**64 - 1)).bit_count() for r in pairs.collect()])
+        return links(pairs, sets)
+
+    monkeypatch.setattr(near_copies, "exact_links", watched)
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 36, 3))
+    assert len(compared[0]) >= 4 and sorted(compared[0])[len(compared[0]) // 2] <= 3 and max(compared[0]) <= 6
+    assert any(d > 3 for later in compared[1:] for d in later)
