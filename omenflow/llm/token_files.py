@@ -21,6 +21,8 @@ BLOCK, LANES = 4096, 2048
 END = 0
 #: Chunks whose ids a worker remembers at most; past that it forgets those of more than _SHORT characters, which come back less often.
 _CHUNKS, _SHORT = 900_000, 8
+#: Chunks that go to the library as one text.
+_JOINED = 2000
 #: Where a space follows white space, or a special token is spelled out, the text goes to the library whole.
 _WHOLE = re.compile(r"\s |<\|endoftext\|>")
 
@@ -29,7 +31,8 @@ class Encoder:
     """Ids of texts by the tokenizers library, which is asked once for each distinct chunk between spaces.
 
     The tokenizer's pre-tokens never reach over the place where a space follows anything but white space, so
-    a text's ids are those of its chunks, each with the space before it.
+    a text's ids are those of its chunks, each with the space before it. New chunks are asked for as one text and their
+    ids cut apart where one begins with a space, which no other byte of a chunk is.
     """
 
     def __init__(self, path: str):
@@ -38,12 +41,30 @@ class Encoder:
         # Spark reuses its Python workers: what one task has met helps the next
         kept = sys.modules.setdefault(f"{__name__}.kept", types.SimpleNamespace(of={}))
         if path not in kept.of:
-            kept.of[path] = (Tokenizer.from_file(path), {}, {})
-        self.tokenizer, self.first, self.later = kept.of[path]
+            tokenizer, opens = Tokenizer.from_file(path), np.zeros(1 << 16, bool)
+            opens[[i for token, i in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True  # the byte-level space
+            kept.of[path] = (tokenizer, opens, {}, {})
+        self.tokenizer, self.opens, self.first, self.later = kept.of[path]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _spaced(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks, each with a space before it."""
+        found, alone = {}, []
+        plain = [c for c in chunks if c and not c[-1].isspace()]
+        parts = [plain[at:at + _JOINED] for at in range(0, len(plain), _JOINED)]
+        for part, ids in zip(parts, self._whole([" " + " ".join(p) for p in parts])):
+            starts = (2 * np.flatnonzero(self.opens[np.frombuffer(ids, "<u2")])).tolist()
+            if len(starts) == len(part):
+                found.update((c, ids[a:b]) for c, a, b in zip(part, starts, starts[1:] + [len(ids)]))
+            else:
+                alone += part
+        # white space at the end of a chunk would run into the space of the next
+        alone += [c for c in chunks if not c or c[-1].isspace()]
+        found.update(zip(alone, self._whole([" " + c for c in alone])))
+        return found
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.first) + len(self.later) > _CHUNKS:
             for known in (self.first, self.later):
@@ -55,7 +76,7 @@ class Encoder:
         new_first = list({s[0] for s in split if s} - self.first.keys())
         new_later = list({c for s in split if s for c in s[1:]} - self.later.keys())
         self.first.update(zip(new_first, self._whole(new_first)))
-        self.later.update(zip(new_later, self._whole([" " + c for c in new_later])))
+        self.later.update(self._spaced(new_later))
         later = self.later.__getitem__
         out = []
         for text, chunks in zip(texts, split):

@@ -253,6 +253,17 @@ def test_encoder_cuts_only_where_the_tokenizer_does():
     assert all(found.tolist() == tokenizer.encode(t, add_special_tokens=False).ids for t, found in zip(texts, encoder.encode(texts)))
 
 
+def test_encoder_asks_for_many_chunks_at_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder, asked = Tokenizer.from_file(tokenizer_path()), token_files.Encoder(tokenizer_path()), []
+    whole = encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda texts: asked.extend(texts) or whole(texts))
+    texts = [" ".join(f"many{k}chunks{i}" for i in range(700)) for k in range(10)]
+    assert all(found.tolist() == tokenizer.encode(t, add_special_tokens=False).ids for t, found in zip(texts, encoder.encode(texts)))
+    assert len(asked) < 30  # the ten that begin a text, and the 6,990 others in a few texts
+
+
 def test_range_coder_round_trip_and_checks():
     rng = np.random.default_rng(1)
     blocks = [rng.integers(0, 65536, n) for n in (0, 1, 5, 700)] + [np.zeros(3000, int), rng.integers(0, 4, 2500), np.tile(rng.integers(0, 50000, 40), 60)]
